@@ -35,7 +35,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: s
     The others are shuffled; none of them can fill a task. `key` is never null here.
     """
     total = groups.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) > max(total // HOT_KEYS, 10_000)
+    hot = F.col(count) > max(total // HOT_KEYS, 100)
     few = groups.where(hot)
     n_hot = few.count()
     if n_hot == 0:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .simhash import simhash_groups
+from .substring import substring_dedup
+from .token_count import token_counts
+
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +22,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -40,5 +52,24 @@ WINDOW same AS (PARTITION BY solid ORDER BY points DESC, doc_id ROWS BETWEEN UNB
 """
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS at, words FROM d WHERE len(words) >= 20),
+k AS (SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(words[at : at + 19], ' ') ORDER BY doc_id, at) AS nth FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS at FROM k WHERE nth > 1),
+lost AS (SELECT doc_id, list(at) AS places FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+         CASE WHEN places IS NULL THEN words
+              ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END AS left_over
+  FROM d LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(left_over, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
