@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .simhash import simhash_groups
 from .substring import substring_dedup
 from .token_count import token_counts
@@ -34,6 +35,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -56,10 +61,10 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
-w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS at, words FROM d WHERE len(words) >= 20),
-k AS (SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(words[at : at + 19], ' ') ORDER BY doc_id, at) AS nth FROM w),
-gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS at FROM k WHERE nth > 1),
-lost AS (SELECT doc_id, list(at) AS places FROM gone GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM d WHERE len(words) >= 20),
+k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(words[pos : pos + 19], ' ') ORDER BY doc_id, pos) AS nth FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM k WHERE nth > 1),
+lost AS (SELECT doc_id, list(pos) AS places FROM gone GROUP BY doc_id),
 kept AS (
   SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
          CASE WHEN places IS NULL THEN words
@@ -73,3 +78,4 @@ FROM kept
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+
