@@ -61,18 +61,15 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
-w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM d WHERE len(words) >= 20),
-k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(words[pos : pos + 19], ' ') ORDER BY doc_id, pos) AS nth FROM w),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM k WHERE nth > 1),
-lost AS (SELECT doc_id, list(pos) AS places FROM gone GROUP BY doc_id),
-kept AS (
-  SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
-         CASE WHEN places IS NULL THEN words
-              ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END AS left_over
-  FROM d LEFT JOIN lost USING (doc_id))
-SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
-       sha256(coalesce(array_to_string(left_over, ' '), '')) AS kept_sha256
-FROM kept
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+win AS (SELECT doc_id, pos, string_agg(word, ' ') OVER nxt AS key, count(*) OVER nxt AS n FROM w
+        WINDOW nxt AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1 AS again FROM win WHERE n = 20),
+m AS (SELECT w.doc_id, w.pos, word, coalesce(bool_or(again) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+      FROM w LEFT JOIN k USING (doc_id, pos)),
+g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
 """
 
 
