@@ -11,6 +11,7 @@ from .langid import language_id
 from .simhash import simhash_groups
 from .substring import substring_dedup
 from .token_count import token_counts
+from .warc import new_folder, read_archives, write_archives
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -39,6 +40,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_archives(table(spark, sf_dir, "pages"), new_folder(spark))
+    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -73,6 +79,16 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS low FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> low THEN low END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op10_warc": OP10_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
 
