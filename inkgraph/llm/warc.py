@@ -76,12 +76,17 @@ def unpack(data: bytes) -> Iterator[bytes]:
     body = data[8 : 8 + size]
     trained = body[:4] == struct.pack("<I", DICTIONARY)
     book = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
-    rest = memoryview(data)[8 + size :]
-    press = zstandard.ZstdDecompressor(dict_data=book)
-    while len(rest):
-        one = press.decompressobj()
-        yield one.decompress(rest)
-        rest = rest[len(rest) - len(one.unused_data) :]
+    press, at, view = zstandard.ZstdDecompressor(dict_data=book), 8 + size, memoryview(data)
+    while at < len(data):
+        one, parts = press.decompressobj(), []
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a record")
+            some = view[at : at + 4096]  # what is left over of it is copied
+            parts.append(one.decompress(some))
+            at += len(some)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def _place(where: str) -> tuple[fs.FileSystem, str]:
