@@ -65,11 +65,11 @@ def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the index of its first word (one more at the end)."""
     n = len(data)
     gap = np.ones(n + 2, bool)
-    gap[1:-1] = SPACE[data]
+    gap[1:-1] = space[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     solid = ~gap[1:-1]

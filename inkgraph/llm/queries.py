@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contained_items
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .mixing import mix_sources
@@ -33,6 +34,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -84,6 +89,22 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+#: Shingles of five words, distinct for each text; a shorter text is one shingle.
+SHINGLES = r"""
+SELECT DISTINCT {id}, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS s
+FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+      FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM {table})
+      WHERE len(w) > 0)
+"""
+
+OP5_SQL = f"""
+WITH d AS ({SHINGLES.format(id='doc_id', table='documents')}), b AS ({SHINGLES.format(id='item_id', table='benchmark')}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*)::DOUBLE / n_shingles AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 5 >= n_shingles * 4
+"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS low FROM p)
@@ -95,5 +116,5 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op10_warc": OP10_SQL, "op5_decontaminate": OP5_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
 
