@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup
 from .langid import language_id
+from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .simhash import simhash_groups
 from .substring import substring_dedup
@@ -46,6 +48,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -105,6 +112,19 @@ FROM d JOIN b USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 5 >= n_shingles * 4
 """
 
+OP8_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
+b AS (SELECT doc_id, i, line, (2 * coalesce(lag(h) OVER w, 0) + h) % 3 = 0 AS border FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, line, coalesce(sum(border::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+t AS (SELECT doc_id, k, min(i) AS i, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, k),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) AS nth FROM t WHERE n >= 2),
+m AS (SELECT c.doc_id, c.i, line, coalesce(nth, 1) > 1 AS gone FROM c LEFT JOIN r USING (doc_id, k)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS low FROM p)
@@ -116,5 +136,5 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op5_decontaminate": OP5_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op10_warc": OP10_SQL, "op8_line_dedup": OP8_SQL, "op5_decontaminate": OP5_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
 
