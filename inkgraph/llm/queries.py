@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .langid import language_id
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .quality import quality
 from .simhash import simhash_groups
 from .substring import substring_dedup
 from .token_count import token_counts
@@ -32,6 +33,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
