@@ -7,6 +7,8 @@ words; prefix sums and inverse powers give all of them without a loop over words
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -121,3 +123,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if total == 0:
         return np.zeros(0, np.int64)
     return np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about `size` bytes of the column's text at a time, one row at the least."""
+    off, i = buffer_of(batch.column(column))[1], 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j

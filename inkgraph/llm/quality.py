@@ -183,13 +183,13 @@ def train(rows: list[np.ndarray], shares: list[np.ndarray], target: np.ndarray,
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in B.slices(whole, 0)):
         p, n = np.unique(pattern(votes(statistics(batch.column(0))[0])), return_counts=True)
         yield pa.record_batch([pa.array(p), pa.array(n.astype(np.int64))], ["pattern", "n"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in B.slices(whole, 0)):
         stats, data, off = statistics(batch.column(0))
         extra = stat_buckets(stats)
         rows = []
@@ -226,7 +226,7 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", least: floa
     scorer = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, text, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in B.slices(whole, 1)):
             yield pa.record_batch([batch.column(0), pa.array(scorer.value.score(batch.column(1)))], ["doc_id", "quality"])
 
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
