@@ -121,17 +121,19 @@ def rejoin_pairs(atoms: DataFrame, fragments: DataFrame, keys: list[str], averag
     atoms: keys, atom_idx, x, y, label; fragments: keys, atom_idx, component. Fragments have over two atoms. A gap over a third and
     under 1.1 of the average bond is a new bond if no label is longer than one character; a smaller one makes the atoms coincide.
     """
-    f = atoms.join(fragments, [*keys, "atom_idx"])
+    own = list(keys)
+    f = atoms.join(fragments, [*own, "atom_idx"]).withColumn("_graph", F.lit(0))
+    fragments, keys = fragments.withColumn("_graph", F.lit(0)), [*own, "_graph"]
     sizes = fragments.groupBy(*keys, "component").count()
     few = sizes.groupBy(*keys).agg(F.count("*").alias("n")).where("n between 2 and 3")
-    f = f.join(sizes.where("count > 2").drop("count"), [*keys, "component"], "left_semi").join(few, keys, "left_semi") if keys else f
+    f = f.join(sizes.where("count > 2").drop("count"), [*keys, "component"], "left_semi").join(few, keys, "left_semi")
     left = f.select(*keys, F.col("component").alias("c1"), F.col("atom_idx").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("label").alias("al"))
     right = f.select(*keys, F.col("component").alias("c2"), F.col("atom_idx").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("label").alias("bl"))
     pairs = left.join(right, keys).where("c1 < c2").withColumn("gap", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
     best = pairs.groupBy(*keys, "c1", "c2").agg(F.min(F.struct("gap", "a", "b", "al", "bl")).alias("p")).select(*keys, "p.*")
     short = (F.length(F.trim("al")) < 2) & (F.length(F.trim("bl")) < 2)
     near = F.col("gap") <= average / 3
-    return best.where(near | ((F.col("gap") < 1.1 * average) & short)).select(*keys, "a", "b", "gap", near.alias("coincide"))
+    return best.where(near | ((F.col("gap") < 1.1 * average) & short)).select(*own, "a", "b", "gap", near.alias("coincide"))
 
 
 def features(atoms: DataFrame, bonds: DataFrame, keys: list[str], rings: DataFrame) -> DataFrame:

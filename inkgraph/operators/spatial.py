@@ -12,10 +12,10 @@ def _cell(c: Column, side: float) -> Column:
     return F.floor(c / side).cast("long")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, reach: float, metric=chebyshev, keys: list[str] = ()) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, reach: float, metric=chebyshev, keys: list[str] = (), ordered: bool = False) -> DataFrame:
     """Pairs of left (keys, id, x, y) and right (the same) closer than `reach`: keys, id1, id2, d.
 
-    Cells have the side `reach`; left is dealt to its own cell and right to the nine around its own.
+    With `ordered` only pairs of id1 < id2. Cells have the side `reach`; left is dealt to its own cell and right to the nine around its own.
     """
     keys = list(keys)
     a = left.select(*keys, F.col("id").alias("id1"), F.col("x").alias("x1"), F.col("y").alias("y1"), _cell(F.col("x"), reach).alias("cx"), _cell(F.col("y"), reach).alias("cy"))
@@ -23,7 +23,9 @@ def near_pairs(left: DataFrame, right: DataFrame, reach: float, metric=chebyshev
     b = right.select(*keys, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("i")).withColumn("j", F.explode(around))
     b = b.select(*keys, "id2", "x2", "y2", (_cell(F.col("x2"), reach) + F.col("i")).alias("cx"), (_cell(F.col("y2"), reach) + F.col("j")).alias("cy"))
     d = metric(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return a.join(b, [*keys, "cx", "cy"]).withColumn("d", d).where(F.col("d") < reach).select(*keys, "id1", "id2", "d")
+    met = a.join(b, [*keys, "cx", "cy"])
+    met = met.where("id1 < id2") if ordered else met
+    return met.withColumn("d", d).where(F.col("d") < reach).select(*keys, "id1", "id2", "d")
 
 
 def nearest(left: DataFrame, right: DataFrame, reach: float, metric, keys: list[str] = ()) -> DataFrame:
