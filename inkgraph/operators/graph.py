@@ -76,7 +76,7 @@ def counts(atoms: DataFrame, bonds: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_atoms, n_bonds, max_type."""
     a = atoms.groupBy(*keys).agg(F.count("*").alias("n_atoms"))
     b = bonds.groupBy(*keys).agg(F.count("*").alias("n_bonds"), F.max("type").alias("max_type"))
-    out = a.join(b, keys, "full")
+    out = a.join(b, keys, "full") if keys else a.crossJoin(b)  # without keys both have one row
     return out.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_atoms", "n_bonds", "max_type")])
 
 

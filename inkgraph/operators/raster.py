@@ -116,7 +116,7 @@ def thin(mask: np.ndarray) -> np.ndarray:
     lab = components(mask)
     label, first = np.unique(lab, return_index=True)
     lost = ~np.isin(label, np.unique(lab[out])) & (label > 0)
-    out.ravel()[first[lost]] = True
+    out[np.unravel_index(first[lost], out.shape)] = True
     return out
 
 
