@@ -114,7 +114,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", t
     for index in indexes(benchmark, item, item_text, width, least, part_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in B.slices(whole, 1)):
                 got = list(index.value.search(batch.column(1)))
                 n = [len(index.value.shingles[k]) for _, k, _ in got]
                 columns = [batch.column(0).take(pa.array([i for i, _, _ in got], pa.int64())), pa.array([index.value.ids[k] for _, k, _ in got], pa.int64()), pa.array([s for _, _, s in got], pa.int64()), pa.array(n, pa.int64()), pa.array([s / x for (_, _, s), x in zip(got, n, strict=True)], pa.float64())]
@@ -130,7 +130,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for index in indexes(benchmark, item, item_text, width, least, part_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in B.slices(whole, whole.schema.get_field_index(text))):
                 column = batch.column(batch.schema.get_field_index(text))
                 keep = np.ones(batch.num_rows, bool)
                 keep[[i for i, _, _ in index.value.search(column)]] = False
