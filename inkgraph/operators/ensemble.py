@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+
 #: What a run may vary: jaggy thinning or not, rounds of page clean-up, automatic resolution or 150.
 GRID = {"jaggy": [False, True], "unpaper": [0, 1, 2], "resolution": [0, 150]}
 
@@ -59,20 +61,36 @@ def claim(records: DataFrame, keys: list[str], least: float = 0.9, differ: float
     return records.groupBy(*keys).applyInPandas(_claim(least, differ), records.schema)
 
 
+def first_rows(rows: DataFrame, take: int, order: list[Column]) -> DataFrame:
+    """The first `take` rows in order, however many that are: no task holds more than a partition of the sort.
+
+    Row numbers of a sorted table grow from partition to partition, so with the partitions' counts, a row each, the last row
+    wanted has a known number.
+    """
+    numbered = cut(rows.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+    counts = numbered.groupBy(F.shiftright("_row", 33).alias("part")).count().orderBy("part").collect()
+    bound = 0
+    for r in counts:
+        bound = (r["part"] << 33) + min(take, r["count"])
+        take -= min(take, r["count"])
+        if take == 0:
+            break
+    return numbered.where(F.col("_row") < bound).drop("_row")
+
+
 def bond_length_band(records: DataFrame, confidence: str, length: str, ties: list[str]) -> DataFrame:
     """Records whose bond length is within two sample deviations of the mean over the most confident ones.
 
-    These are the first min(n, max(11, (n - 1) div 10 + 1)) by confidence. Their number needs n, which is counted first; the cut itself is a
-    top-k by rank over distributed counts of confidence, so no task sorts the whole table.
+    These are the first min(n, max(10, (n - 1) div 10) + 1) by confidence, then by ties; so the n rows are counted first.
     """
     n = records.count()
     take = min(n, max(10, (n - 1) // 10) + 1) if n else 0
     if take == 0:
         return records
-    order = [F.col(confidence).desc(), *[F.col(t) for t in ties]]
-    top = records.orderBy(*order).limit(take)
+    names = list(dict.fromkeys([confidence, length, *ties]))
+    top = first_rows(records.select(*names), take, [F.col(confidence).desc(), *[F.col(t) for t in ties]])
     band = top.agg(F.round(F.avg(length), 9).alias("_mean"), F.round(F.stddev_samp(length), 9).alias("_dev"))
-    joined = records.crossJoin(F.broadcast(band))
+    joined = records.crossJoin(F.broadcast(band))  # one row
     return joined.where((F.col(length) > F.col("_mean") - 2 * F.col("_dev")) & (F.col(length) < F.col("_mean") + 2 * F.col("_dev"))).drop("_mean", "_dev")
 
 

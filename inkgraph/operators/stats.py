@@ -24,6 +24,18 @@ def lower_median(value: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})")
 
 
+def ordered_values(rows: DataFrame, keys: list[str], value: str, index: str, out: str) -> DataFrame:
+    """keys, out: the value at a place of each group's sorted values; `index` is SQL over n, the group's size, and counts from 0.
+
+    For groups of any size: rows are counted by distinct value before the shuffle, and only these counts are sorted.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(out)).agg(F.count("*").alias("_count"))
+    part = Window.partitionBy(*keys)
+    upto = part.orderBy(out).rowsBetween(Window.unboundedPreceding, 0)
+    c = counts.withColumn("n", F.sum("_count").over(part)).withColumn("_upto", F.sum("_count").over(upto))
+    return c.where(F.col("_upto") > F.expr(index)).groupBy(*keys).agg(F.min(out).alias(out))
+
+
 def histogram(rows: DataFrame, value: Column, bins: int, width: float, keys: list[str] = ()) -> DataFrame:
     """keys, bin, n for all bins from 0, also the empty ones."""
     bin_ = F.least(F.greatest(F.floor(value / width), F.lit(0)), F.lit(bins - 1)).cast("int")

@@ -74,12 +74,12 @@ def box_filter(spark, sf):
 @query("""SELECT l_returnflag, l_linestatus, CASE WHEN count(*) > 1 THEN list_sort(list(l_quantity))[3 * (count(*) - 1) // 4 + 1] ELSE 10.0 END AS p75
 FROM lineitem GROUP BY ALL""")
 def percentile75_index(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(stats.percentile75("l_quantity").alias("p75"))
+    return stats.ordered_values(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "3 * (n - 1) div 4", "p75")
 
 
 @query("SELECT o_orderpriority, list_sort(list(o_totalprice))[(count(*) - 1) // 2 + 1] AS median FROM orders GROUP BY ALL")
 def lower_median(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(stats.lower_median("o_totalprice").alias("median"))
+    return stats.ordered_values(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", "(n - 1) div 2", "median")
 
 
 @query(f"""WITH {REC}, n AS (SELECT count(*) AS n FROM rec),
@@ -336,7 +336,7 @@ def option_grid(spark, sf):
 
 @query()
 def greedy_claim(spark, sf):
-    boxes = part_boxes(spark, sf).withColumn("page_no", (F.col("id") % 20).cast("int")).withColumn("record_ord", F.col("id"))
+    boxes = part_boxes(spark, sf).withColumn("page_no", F.expr("cast(id div 100 AS int)")).withColumn("record_ord", F.col("id"))
     return ensemble.claim(boxes, ["page_no"], least=0.3, differ=0.5)
 
 
@@ -356,3 +356,10 @@ def label_charge(spark, sf):
     label = F.element_at(F.array(*[F.lit(x) for x in ("N+", "N--", "-O", "+", "-+NH3-+")]), (F.col("o_orderkey") % 5).cast("int") + 1)
     bare, charge = labels.signed_charge(label)
     return table(spark, sf, "orders").select("o_orderkey", bare.alias("bare"), charge.alias("charge"))
+
+
+@query("""SELECT l_orderkey, CASE WHEN count(*) > 1 THEN list_sort(list(l_quantity))[3 * (count(*) - 1) // 4 + 1] ELSE 10.0 END AS p75,
+list_sort(list(l_extendedprice))[(count(*) - 1) // 2 + 1] AS median FROM lineitem GROUP BY ALL""")
+def drawing_bond_length(spark, sf):
+    """The forms for small groups, a drawing's bonds: an order's lines."""
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(stats.percentile75("l_quantity").alias("p75"), stats.lower_median("l_extendedprice").alias("median"))

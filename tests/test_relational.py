@@ -159,3 +159,10 @@ def test_training(spark):
     truth = df.where("target = 1").select("file_id", "identity_key")
     assert tuple(evaluate.matched(df, truth, ["file_id"]).first()) == (12, 12)
     assert evaluate.ideal_recall(df, truth, ["file_id"]).first()[0] == 1.0
+
+
+@pytest.mark.parametrize("take", [1, 7, 50, 100])
+def test_first_rows(spark, take):
+    df = spark.range(100).select((F.col("id") * 37 % 101).alias("v")).repartition(5)
+    got = sorted(r.v for r in ensemble.first_rows(df, take, [F.col("v").desc()]).collect())
+    assert got == sorted((i * 37 % 101 for i in range(100)), reverse=True)[:take][::-1]
