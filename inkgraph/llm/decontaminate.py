@@ -97,7 +97,7 @@ def indexes(benchmark: DataFrame, item: str, text: str, width: int, least: float
     parts = max(1, math.ceil((base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / part_bytes))
     out = []
     for k in range(parts):
-        rows = base.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
+        rows = base.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()
         out.append(benchmark.sparkSession.sparkContext.broadcast(Index([r["item"] for r in rows], [r["text"] for r in rows], width, least)))
     return out
 

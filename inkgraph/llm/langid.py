@@ -87,13 +87,14 @@ class Model:
         return lang, score
 
 
-def fit(docs: DataFrame, text: str, lang: str, learn, per_language: int = 500, alpha: float = 0.1) -> Model:
-    """Fit on at most `per_language` labelled texts a language, those with the smallest hash of the text.
+def fit(docs: DataFrame, id: str, text: str, lang: str, learn, per_language: int = 500, alpha: float = 0.1) -> Model:
+    """Fit on about `per_language` labelled rows a language, those with the smallest hash of id and text.
 
+    Copies have hashes of their own, so a text that a third of all rows repeat cannot fill the sample or stay out of it.
     `learn` is a boolean column. Rows with a null or empty text or a null language teach nothing. Over MOST_LANGUAGES
     languages raise an error, for the matrix is broadcast.
     """
-    rows = docs.where(learn).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text <> ''")
+    rows = docs.where(learn).select(F.col(id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text <> ''")
     counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -103,8 +104,8 @@ def fit(docs: DataFrame, text: str, lang: str, learn, per_language: int = 500, a
     chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))]) if counts else None
     log = np.zeros((len(languages), BUCKETS))
     if counts:
-        sample = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < chance[F.col("lang")] * (1 << 30))
-        learned = sample.mapInArrow(_learn, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        sample = rows.where(F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 30)) < chance[F.col("lang")] * (1 << 30))
+        learned = sample.select("lang", "text").mapInArrow(_learn, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         frame = learned.toPandas()  # at most 2^16 rows a language
         log[[languages.index(x) for x in frame["lang"]], frame["bucket"]] = frame["n"]
     log = np.log((log + alpha) / (log.sum(axis=1, keepdims=True) + alpha * BUCKETS))
@@ -144,7 +145,7 @@ def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: s
     `und` with score 0 if the text is null or has no letter, or if nothing could be learned. score is the posterior. Ties go
     to the language that sorts first. Ids are passed on as they are. Columns other than these are not read.
     """
-    model = fit(docs, text, lang, ~held_out(id), per_language)
+    model = fit(docs, id, text, lang, ~held_out(id), per_language)
     base = docs.select(F.col(id).cast("long").alias("doc_id"), held_out(id).alias("held_out"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return base.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -152,7 +153,7 @@ def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: s
 
 def keep_identified(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5, per_language: int = 500) -> DataFrame:
     """The rows of docs, all columns as they are, whose language is determined with a score of at least `least`."""
-    model = fit(docs, text, lang, ~held_out(id), per_language)
+    model = fit(docs, id, text, lang, ~held_out(id), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,7 +53,7 @@ def test_language_id(spark, both):
 
 
 def test_scores_equal_plain_sums(docs):
-    m = L.fit(docs, "text", "lang", ~L.held_out("doc_id"), 20)
+    m = L.fit(docs, "doc_id", "text", "lang", ~L.held_out("doc_id"), 20)
     texts = [r.text for r in docs.limit(4).collect()] + ["ab", "é"]
     step, L.STEP = L.STEP, 37
     try:
