@@ -158,3 +158,12 @@ def reactions(arrows: DataFrame, pluses: DataFrame, boxes: DataFrame) -> DataFra
 def reaction_smiles(reactants: Column, agent: Column, products: Column) -> Column:
     """`reactants>agent>products`."""
     return F.concat(F.array_join(reactants, "."), F.lit(">"), F.coalesce(agent, F.lit("")), F.lit(">"), F.array_join(products, "."))
+
+
+def reaction_rxn(reactants: Column, products: Column) -> Column:
+    """A V2000 reaction file from arrays of connection tables; a null array is empty, null tables are left out."""
+    none = F.array().cast("array<string>")
+    sides = [F.filter(F.coalesce(side, none), lambda m: m.isNotNull()) for side in (reactants, products)]
+    counts = [F.lpad(F.size(side).cast("string"), 3, " ") for side in sides]
+    tables = F.transform(F.concat(*sides), lambda m: F.concat(F.lit("$MOL\n"), m))
+    return F.concat(F.lit("$RXN\n\n  inkgraph\n\n"), *counts, F.lit("\n"), F.array_join(tables, ""))

@@ -324,3 +324,15 @@ def test_images_to_structures(spark, tmp_path):
     q = arriving_pages(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert spark.table("arrived").count() == 2
+
+
+def test_reaction_rxn(spark):
+    from inkgraph.operators.chem import molfile, parse_smiles
+    from inkgraph.operators.reaction import reaction_rxn
+
+    a, b = (molfile(*parse_smiles(x)) for x in ("CO", "C=O"))
+    rows = spark.createDataFrame([([a, None, a], [b]), (None, [])], "r array<string>, p array<string>")
+    full, empty = [x[0] for x in rows.select(reaction_rxn(rows["r"], rows["p"])).collect()]
+    head, *tables = full.split("$MOL\n")
+    assert head == "$RXN\n\n  inkgraph\n\n  2  1\n" and tables == [a, a, b]
+    assert empty == "$RXN\n\n  inkgraph\n\n  0  0\n"
