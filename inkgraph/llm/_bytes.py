@@ -15,6 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: A-Z to a-z, all else as it is.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Bytes handled at once; keeps temporaries in cache and bounds memory for long texts.
 STEP = 1 << 19
 

@@ -12,12 +12,14 @@ HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
+    """The folder that driver and executors share; without one a local session gets its own, a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkgraph-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -53,12 +55,11 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     so a lost executor costs no more than one round.
     """
     while True:
-        near = links.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        low = labels.unionByName(near).groupBy("node").agg(F.min("label").alias("low"))
+        near = links.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        low = labels.select("node", "label", F.col("label").alias("old")).unionByName(near).groupBy("node").agg(F.min("label").alias("low"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        moved = low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"))
-        old = labels.select("node", F.col("label").alias("old"))
-        new = cut(moved.join(old, "node").select("node", "label", (F.col("label") != F.col("old")).alias("changed")))
+        moved = low.join(jump, "low", "left").select("node", "old", F.least("low", F.coalesce("far", "low")).alias("label"))
+        new = cut(moved.select("node", "label", (F.col("label") != F.col("old")).alias("changed")))
         labels = new.select("node", "label")
         if not new.where("changed").head(1):
             return labels
