@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import slices
+
 SPACE_SIGN = "▁"
 CHUNK = 1024
 #: Words up to this length are transitions of their own; at most so many are kept.
@@ -351,18 +353,10 @@ def machine(model_file: str) -> Counter:
 def _count(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model_file)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 1 << 22)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             bytes_ = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            counts, i = np.zeros(len(texts), np.int64), 0
-            while i < len(texts):  # about 4 MB at a time
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + bytes_[j] <= 1 << 22):
-                    size += bytes_[j]
-                    j += 1
-                counts[i:j] = m.count(texts[i:j])
-                i = j
-            yield pa.record_batch([batch.column(0), pa.array(bytes_, pa.int64()), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.record_batch([batch.column(0), pa.array(bytes_, pa.int64()), pa.array(m.count(texts))], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
@@ -371,8 +365,9 @@ def token_counts(docs: DataFrame, model_file: str, id: str = "doc_id", text: str
     """doc_id, n_bytes, n_tokens, over_limit: one row for each row of docs, in one pass without a shuffle.
 
     n_tokens is what the sentencepiece model at `model_file` gives for the whole text without begin or end tokens;
-    the path must exist on every executor. A null text is empty: 0 bytes, 0 tokens. Ids are passed on as they are, null and
-    repeated ones too. Columns other than id and text are not read.
+    the path must exist on every executor. A null text is empty: 0 bytes, 0 tokens. A very long text is counted whole, by its words. Ids
+    are passed on as they are, null and repeated ones too; rows do not depend on one another, so there are no ties. An empty table
+    gives no rows. Columns other than id and text, whatever their names, are not read.
     """
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counted = base.mapInArrow(_count(model_file), "doc_id long, n_bytes long, n_tokens long")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from inkgraph.llm import langid as L
@@ -11,7 +12,7 @@ from inkgraph.llm.quality import STATS, estimate, quality
 from inkgraph.llm.token_count import Counter as TokenCounter
 from inkgraph.llm.token_count import Transducer, token_counts
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def texts_for_tokens():
