@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import STEP, U64, mix64
+from ._bytes import STEP, U64, mix64, slices
 
-BUCKETS, ORDERS, MOST_LANGUAGES = 1 << 16, (1, 2, 3), 500
-LETTER = re.compile(r"[^\W\d_]")
+BUCKETS, ORDERS, MOST_LANGUAGES = 1 << 16, (1, 2, 3), 200
+#: Characters of the Unicode categories L; `\w` without digits also has other numbers, such as fractions and circled ones.
+LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
 UNDETERMINED = "und"
 
 
@@ -27,7 +28,7 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased code points and offsets. A run of other characters is one gap; each text has a gap before and two
     after it, so no n-gram reaches into another text, and two gaps stand before the first.
     """
-    low = [" ".join(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    low = [" ".join(LETTERS.findall(t.lower())) for t in texts]
     joined = "  " + "".join(f" {t}  " for t in low)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     return points, np.concatenate([[2], 2 + np.cumsum([len(t) + 3 for t in low])])
@@ -57,6 +58,13 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(used)), pa.array(used), pa.array(total[used])], ["lang", "bucket", "n"])
 
 
+def _pack(rows: pa.Table) -> pa.Table:
+    """The counts of one language, at most a row a bucket, as one vector."""
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return pa.table({"lang": rows.column("lang")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 class Model:
     def __init__(self, languages: list[str], log: np.ndarray, prior: np.ndarray):
         self.languages, self.log, self.prior = languages, log, prior
@@ -76,7 +84,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and LETTERS.search(t)]
         lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if known and self.languages:
             got = self.scores([texts[i] for i in known])
@@ -106,8 +114,8 @@ def fit(docs: DataFrame, id: str, text: str, lang: str, learn, per_language: int
     if counts:
         sample = rows.where(F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 30)) < chance[F.col("lang")] * (1 << 30))
         learned = sample.select("lang", "text").mapInArrow(_learn, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        frame = learned.toPandas()  # at most 2^16 rows a language
-        log[[languages.index(x) for x in frame["lang"]], frame["bucket"]] = frame["n"]
+        for r in learned.groupBy("lang").applyInArrow(_pack, "lang string, counts binary").collect():  # half a MB a language
+            log[languages.index(r["lang"])] = np.frombuffer(r["counts"], np.int64)
     log = np.log((log + alpha) / (log.sum(axis=1, keepdims=True) + alpha * BUCKETS))
     total = sum(share.values())
     return Model(languages, log.astype(np.float32), np.log([share[x] / total for x in languages]))
@@ -115,20 +123,9 @@ def fit(docs: DataFrame, id: str, text: str, lang: str, learn, per_language: int
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lang, score = batch.column(batch.num_columns - 1).to_pylist(), [], []
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < 1 << 21):
-                    size += len(texts[j] or "")
-                    j += 1
-                a, b = model.value.predict(texts[i:j])
-                lang += a
-                score += b.tolist()
-                i = j
-            rest = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.record_batch([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            lang, score = model.value.predict(batch.column(2).to_pylist())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -143,7 +140,9 @@ def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: s
 
     The model learns from text and lang of rows that are not held out and have both. lang_pred is a learned language, or
     `und` with score 0 if the text is null or has no letter, or if nothing could be learned. score is the posterior. Ties go
-    to the language that sorts first. Ids are passed on as they are. Columns other than these are not read.
+    to the language that sorts first. Ids are passed on as they are, null and repeated ones too; a null id is not held out. A letter is a
+    character of the Unicode categories L. A very long text is scored whole. An empty table gives no rows. Columns other than
+    these, whatever their names, are not read. Jobs run while the plan is built.
     """
     model = fit(docs, id, text, lang, ~held_out(id), per_language)
     base = docs.select(F.col(id).cast("long").alias("doc_id"), held_out(id).alias("held_out"), F.col(text).cast("string").alias("text"))
@@ -152,15 +151,13 @@ def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: s
 
 
 def keep_identified(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5, per_language: int = 500) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is determined with a score of at least `least`."""
+    """The rows of docs, all columns as they are, whose language is determined with a score of at least `least`; see language_id."""
     model = fit(docs, id, text, lang, ~held_out(id), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            got = [shared.value.predict(texts[i : i + 500]) for i in range(0, len(texts), 500)]
-            keep = [a != UNDETERMINED and b >= least for x, y in got for a, b in zip(x, y.tolist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text))):
+            got, score = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            yield batch.filter(pa.array([a != UNDETERMINED and b >= least for a, b in zip(got, score.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
