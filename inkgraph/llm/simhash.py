@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _bytes as B
 from ._cluster import components, cut, join_groups
 
 U64 = np.uint64
@@ -82,7 +83,7 @@ def fingerprints(texts: list[str | None], width: int = 3, seed: int = 42) -> np.
 
 def _prints(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in B.slices(whole, 1)):
             got = fingerprints(batch.column(1).to_pylist(), width, seed)
             yield pa.record_batch([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "print"])
 
@@ -100,7 +101,9 @@ def link_prints(prints: DataFrame, radius: int = 2) -> DataFrame:
     half = radius // 2
     if radius % 2 or half > 2:
         raise ValueError("the radius is 0, 2 or 4")
-    spread = prints.select("print", F.explode(ball(F.col("print"), half)).alias("variant"))
+    # as many tasks as the variants need, however few partitions the fingerprints lie in; one exchange by variant serves both sides
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // (1 << 14)))
+    spread = prints.repartition(tasks, "print").select("print", F.explode(ball(F.col("print"), half)).alias("variant")).repartition("variant")
     met = spread.groupBy("variant").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count("*").alias("n"))
     met = met.where("low <> high").select("variant", "low")
     pair = spread.join(met, "variant").where("print <> low").select(F.col("print").alias("a"), F.col("low").alias("b"))
@@ -113,8 +116,9 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", radi
 
     Shingles are `width` words, a shorter text is one shingle, a text without words (also null) has fingerprint zero,
     which links like any other. component_id is the smallest id reachable over links of at most `radius` bits; null
-    ids are ignored unless a component has no other. Rows that repeat an id stay. Columns other than id and text are
-    not read.
+    ids are ignored unless a component has no other. Rows that repeat an id stay. A very long text is read whole. There are no ties: of equal
+    smallest ids all are the component's. An empty table gives no rows. Columns other than id and text, whatever their names, are not read.
+    Jobs run while the plan is built.
     """
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     made = cut(base.mapInArrow(_prints(width, seed), "doc_id long, print long"))
