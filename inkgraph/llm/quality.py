@@ -197,21 +197,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = data[off[i] : off[i + 1]]
             k, n = np.unique(grams(part), return_counts=True) if len(part) > 2 else (np.zeros(0, np.int64), np.zeros(0))
             rows.append((np.concatenate([k, extra[i]]).astype("<i4").tobytes(), np.concatenate([n / max(n.sum(), 1) * GAIN, np.ones(extra.shape[1])]).astype("<f4").tobytes()))
-        yield pa.record_batch([pa.array(pattern(votes(stats))), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["pattern", "index", "share"])
+        yield pa.record_batch([pa.array(pattern(votes(stats))), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), batch.column(1)], ["pattern", "index", "share", "draw"])
 
 
 def fit_quality(docs: DataFrame, text: str = "text", sample: int = 3000) -> Scorer:
-    """EM over the votes on all texts, then the scorer on about `sample` of them (a hash of the text decides which)."""
+    """EM over the votes on all texts, then the scorer on `sample` distinct ones of them, or all (a hash of the text decides which)."""
     base = docs.select(F.col(text).cast("string").alias("text"))
     counted = base.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     v = unpattern(np.array([r["pattern"] for r in counted], np.int64), len(STATS))
     n = np.array([r["n"] for r in counted], np.float64)
     share, chance = estimate(v, n)
-    limit = int(min(1.0, sample / max(n.sum(), 1)) * (1 << 30))
-    some = base.where(F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(1 << 30)) < limit)
-    # copies of one text have one hash: each distinct text is used once, so the sample stays near its bound
-    rows = some.distinct().limit(2 * sample).mapInArrow(_features, "pattern long, index binary, share binary").collect()
-    rows = sorted(rows, key=lambda r: (r["index"], r["share"]))
+    draw = F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(1 << 40))
+    # copies of one text have one draw: each distinct text is used once, and the distinct texts set the rate, whatever they repeat
+    texts = base.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
+    some = base.where(draw < int(min(1.0, 1.2 * sample / max(texts, 1)) * (1 << 40))).distinct().withColumn("draw", draw)
+    rows = some.mapInArrow(_features, "pattern long, index binary, share binary, draw long").collect()
+    # the smallest draws, so that reruns agree
+    rows = sorted(rows, key=lambda r: (r["draw"], r["index"], r["share"]))[:sample]
     target = posterior(unpattern(np.array([r["pattern"] for r in rows], np.int64), len(STATS)), share, chance)
     return train([np.frombuffer(r["index"], "<i4") for r in rows], [np.frombuffer(r["share"], "<f4").astype(float) for r in rows], target)
 
@@ -220,8 +222,9 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", least: floa
     """doc_id, quality, kept: one row for each row of docs; kept if the scorer gives at least `least`.
 
     A null text is empty; all empty texts get the same score, from the bias and the missing statistics. The corpus statistics
-    cover all rows; the scorer is trained on about `sample` distinct texts, at most twice as many. Ids are passed on as they are, null and repeated ones
-    too. Columns other than id and text are not read. An empty table gives no rows.
+    cover all rows; the scorer is trained on `sample` distinct texts, or on all if they are fewer. Ids are passed on as they are, null and repeated ones
+    too; equal texts get equal scores. A very long text is scored whole. Columns other than id and text, whatever their names, are not
+    read. An empty table gives no rows. Jobs run while the plan is built.
     """
     scorer = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, text, sample))
 
