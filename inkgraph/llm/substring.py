@@ -11,8 +11,8 @@ same exchange.
 1. Each block sends its distinct anchor hashes to buckets. A bucket answers each block with those it also has
    from another block.
 2. A block extends its repeated anchors to the windows that hold one, settles repeats inside the block, and sends
-   the first occurrence of each distinct window, under 128 bits of hash, to buckets. A bucket answers each block
-   with the positions of windows which start earlier in another block.
+   the first occurrence of each distinct window, under 96 bits of hash, to buckets. A bucket answers each block
+   with the positions of windows which start earlier in another block. Windows are compared by these bits, never by words.
 3. A block marks the words its repeated windows cover and drops them.
 
 A passage that a third of all documents hold is one hash for each block, not a row for each document.
@@ -215,7 +215,8 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     Words are `[^\\x20\\x09-\\x0D]+`. Each word that is covered by a window of `window` words whose sequence also starts
     earlier (smaller id, or same document and earlier start) is removed; windows are judged on the input. kept_text is
     what is left, joined by single spaces. A null text has no words. A null id counts as the largest. Of rows that
-    repeat an id one (any, if their texts differ) counts as the earlier. Columns other than id and text are not read.
+    repeat an id one (any, if their texts differ) counts as the earlier. An empty table gives no rows. A very long text is a block of its
+    own size. Columns other than id and text, whatever their names, are not read.
 
     A block holds about `block_bytes` of text (or one longer document); `blocks` sets their number instead.
     """
@@ -226,8 +227,8 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", win
         total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(1, math.ceil(total / block_bytes))
     buckets = blocks
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-    dealt = base.withColumn("block", deal)
+    # by id and text: rows without an id, or with a common one, lie in many blocks; as many tasks as blocks, however many there are
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
 
     def by_block(frame: DataFrame):
         return frame.groupBy("block")
