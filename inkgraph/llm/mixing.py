@@ -1,11 +1,12 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of a source lie end to end in order of a bucket (a hash of the id) and the id, and are packed into blocks of fixed
-length. Each output slot of a source draws the shard it goes to, so that given a shard's size its source counts are multinomial
-with the sources' weights, while each source's total stays exact. A shard's slots of a source are a range of that
-source's slot numbers; a pseudorandom permutation (swap-or-not, which needs no table and no power of two) maps each
-slot number to a block, and blocks are joined by index. A pass over a source uses each of its blocks once; the last pass stops
-at the target, its last slot cut to length.
+length. Each output shard draws its source counts from the multinomial law with the sources' slots as weights: each of its slots draws a
+source. Totals would so be left to chance, and could pass what a source may give; so a source's draws beyond its slots are void, and
+what it still lacks after all shards goes to settling shards at the end, about the square root of all slots. A shard's slots
+of a source are a range of that source's slot numbers; a pseudorandom permutation (swap-or-not, which needs no table and no power of
+two) maps each slot number to a block, and blocks are joined by index. A pass over a source uses each of its blocks once; the last
+pass stops at the target, its last slot cut to length.
 
 Running sums go by (source, bucket), then over the buckets of a source, so no task holds a whole source.
 """
@@ -62,6 +63,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     return t.select("skey", "source_size", target.alias("target"))
 
 
+def shard_counts(plan: DataFrame, slots: int, per_shard: int, seed: int, cells: int = 4096) -> DataFrame:
+    """skey, shard, count, start: how many slots of each source a shard has, and the first of their numbers, for a table of (skey, slots).
+
+    Slot d of all belongs to shard d div per_shard and draws a number below the sum of slots; the source that holds this number in a
+    list of all sources is found by joining on one of `cells` equal parts. Shards from the last drawn one on settle what is lacking.
+    """
+    upto = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, 0)
+    width = max(1, -(-slots // cells))
+    held = plan.select("skey", F.sum("slots").over(upto).alias("to"), "slots").withColumn("from", F.col("to") - F.col("slots"))
+    held = held.withColumn("cell", F.explode(F.sequence(F.expr(f"from div {width}"), F.expr(f"(to - 1) div {width}"))))
+    draws = plan.sparkSession.range(slots).select(F.expr(f"id div {per_shard}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(slots, 1))).alias("drawn"))
+    drawn = draws.withColumn("cell", F.expr(f"drawn div {width}")).join(held.select("skey", "from", "to", "cell"), "cell").where("from <= drawn and drawn < to")
+    counts = drawn.groupBy("skey", "shard").agg(F.count("*").alias("count"))
+    earlier = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("start", F.coalesce(F.sum("count").over(earlier), F.lit(0))).join(plan.select("skey", "slots"), "skey")
+    counts = counts.withColumn("count", F.least("count", F.col("slots") - F.col("start"))).where("count > 0").select("skey", "shard", "count", "start")
+    given = counts.groupBy("skey").agg(F.sum("count").alias("given"))
+    short = plan.select("skey", "slots").join(given, "skey", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < slots")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - given - 1) div {per_shard}")))
+    short = short.withColumn("piece", piece).withColumn("start", F.col("given") + F.col("piece") * per_shard)
+    last = -(-slots // per_shard)
+    return counts.unionByName(short.select("skey", (F.col("piece") + last).alias("shard"), F.least(F.lit(per_shard), F.col("slots") - F.col("start")).alias("count"), "start"))
+
+
 class Mix:
     """What mix_sources returns.
 
@@ -100,14 +125,17 @@ def skey(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.col(source).cast("string")), F.lit("n"))
 
 
-def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 512, shard_words: int = 1 << 22, buckets: int = 1024, seed: int = 1) -> Mix:
+def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 512, shard_words: int = 1 << 22, buckets: int | None = None, seed: int = 1) -> Mix:
     """Plan a mix of docs whose sources hold `weights` of `share` of all words, none more than `cap` (at most 2) times its size.
 
     Words are `[^\\x20\\x09-\\x0D]+`; a null text has none, a null source is a source of its own and sorts last. A source takes
     round(target) words; each of its documents is used at most once in a pass, and there are at most two passes. The result
     depends on ids, sources, sizes and `seed` alone, not on the order or partitioning of rows; rows of equal id, source and size
-    may trade places. Columns other than id, text and source are not read. A table without words gives no spans.
+    may trade places. Sources of equal weight and size are told apart by their names. A very long text is packed whole. Columns other
+    than id, text and source, whatever their names, are not read. A table without words, or an empty one, gives no spans. A running sum
+    goes over the rows of one of `buckets` parts of a source, about 20,000 rows of all. Jobs run while the plan is built.
     """
+    buckets = buckets or max(1024, docs.count() // 20_000)
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), skey(source).alias("skey"), n_words(text).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     base = cut(base.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).withColumn("rid", F.monotonically_increasing_id()))
     part = base.groupBy("skey", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
@@ -121,17 +149,13 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     plan = plan.withColumn("full", full.cast("long")).withColumn("blocks", F.ceil(size / block).cast("long"))
     plan = plan.withColumn("passes", F.expr("take div source_size")).withColumn("rest", F.col("take") - F.col("passes") * size)
     plan = plan.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
-    total = plan.agg(F.sum("take")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-
-    # each slot draws its shard; only the counts are used
-    run = 4096
-    runs = plan.select("skey", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {run}"))).alias("run"))
-    draws = runs.repartition("skey", "run").select("skey", F.explode(F.sequence(F.col("run") * run, F.least(F.col("run") * run + run, "slots") - 1)).alias("draw"))
-    counts = draws.groupBy("skey", F.pmod(F.xxhash64(F.lit(seed), "skey", "draw"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("count"))
-    earlier = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("start", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-    slots = counts.join(plan, "skey").withColumn("number", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)))
+    plan = cut(plan)
+    words_, slots_ = (x or 0 for x in plan.agg(F.sum("take"), F.sum("slots")).first())
+    per_shard = max(1, -(-slots_ // max(1, -(-words_ // shard_words))))
+
+    counts = cut(shard_counts(plan, slots_, per_shard, seed))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-slots_ // (1 << 14)))
+    slots = counts.join(plan, "skey").repartition(tasks, "skey", "shard").withColumn("number", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)))
     slots = slots.withColumn("pass_no", F.least(F.expr("number div blocks"), "passes")).withColumn("index", F.col("number") - F.col("pass_no") * F.col("blocks"))
     shuffled = permuted(F.col("index"), F.greatest("full", F.lit(1)), [F.lit(seed), F.col("skey"), F.col("pass_no")])
     slots = slots.withColumn("block", F.when(F.col("index") < F.col("full"), shuffled).otherwise(F.col("index")))

@@ -128,3 +128,32 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
         kept = stage(spark, kept, str(tmp_path))
         assert kept.columns == docs.columns, name
     assert {r.doc_id for r in kept.collect()} == set(rows)
+
+
+def test_permuted_is_a_bijection(spark):
+    from pyspark.sql import functions as F
+
+    from inkgraph.llm.mixing import permuted
+
+    sizes = spark.createDataFrame([(n,) for n in (1, 2, 3, 7, 64, 1000, 4097)], "n long")
+    rows = sizes.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("n", "i", permuted(F.col("i"), F.col("n"), [F.lit(5), F.col("n")]).alias("to")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.n].append((r.i, r.to))
+    assert all(sorted(t for _, t in x) == list(range(n)) for n, x in by.items())
+    assert sum(i == t for i, t in by[4097]) < 20
+
+
+def test_shards_draw_their_counts(spark):
+    from inkgraph.llm.mixing import shard_counts
+
+    slots = {"va": 6000, "vb": 3000, "vc": 999, "vd": 1}
+    plan = spark.createDataFrame(list(slots.items()), "skey string, slots long")
+    rows = shard_counts(plan, 10_000, 500, 3).collect()
+    for k, n in slots.items():  # the ranges of a source are its slots, without gaps
+        own = sorted((r["start"], r["count"]) for r in rows if r["skey"] == k)
+        assert own[0][0] == 0 and sum(c for _, c in own) == n and all(a + c == b for (a, c), (b, _) in zip(own, own[1:], strict=False))
+    drawn = [r["count"] for r in rows if r["skey"] == "va" and r["shard"] < 18]
+    assert len(drawn) == 18 and all(230 < c < 370 for c in drawn) and len(set(drawn)) > 5  # 300, give or take 11
+    settled = sum(r["count"] for r in rows if r["shard"] >= 20)
+    assert settled < 400
