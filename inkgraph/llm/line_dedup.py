@@ -1,8 +1,10 @@
 """Line dedup by content-defined line chunks, in DataFrame functions only.
 
-A line hash is taken from the line's MD5, a rolling hash from the hashes of two neighbouring lines. A chunk ends after each
-line whose rolling hash is 0 modulo `spread`, so inserting or removing lines moves only the borders next to them. Chunks of two
-lines or more that occur again, anywhere, are removed but for their first occurrence, after their bytes have been compared.
+A line hash is taken from the line's MD5, a rolling hash from the hashes of two neighbouring lines. A line whose rolling hash
+is 0 modulo `spread`, or that repeats the line before it, is a cut. Chunks end after cuts, but hold `least` lines: within a run of cuts
+only every `least`-th counts. So inserting or removing lines moves only the borders next to them, and runs of one line fall into equal chunks.
+Chunks that occur again, anywhere, are removed but for their first occurrence, after their bytes have been compared. Only a text's last chunk
+may be shorter than `least` lines; it is never removed.
 """
 
 from __future__ import annotations
@@ -25,16 +27,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def chunk_array(lines: Column, spread: int) -> Column:
+def chunk_array(lines: Column, spread: int, least: int) -> Column:
     """An array of (at, n, chunk) for an array of lines; `at` counts lines from 0. Linear in the number of lines."""
 
     def borders(hashes: Column) -> Column:
-        def end(h: Column, i: Column) -> Column:
-            # the hash of the line before counts double; a first line has none before it
-            before = F.try_element_at(hashes, F.greatest(i, F.lit(1))) * F.when(i > 0, 2).otherwise(0)
-            return F.when(((before + h) % spread == 0) | (i == F.size(hashes) - 1), i)
+        def sign(h: Column, i: Column) -> Column:
+            before = F.try_element_at(hashes, F.greatest(i, F.lit(1)))
+            rolling = F.shiftright(before * 1000003 + h, 6)
+            return F.when((i >= least - 1) & ((h == before) | (rolling % spread == 0)), "1").otherwise("0")
 
-        return F.filter(F.transform(hashes, end), lambda i: i.isNotNull())
+        # from left to right, a cut that counts makes the next least - 1 lines no cuts
+        signs = F.regexp_replace(F.array_join(F.transform(hashes, sign), ""), f"1.{{{least - 1}}}", "1" + "0" * (least - 1))
+        ends = F.transform(F.split(signs, ""), lambda c, i: F.when((c == "1") | (i == F.size(hashes) - 1), i))
+        return F.filter(ends, lambda i: i.isNotNull())
 
     def cut_at(given: Column, ends: Column) -> Column:
         def one(end: Column, k: Column) -> Column:
@@ -66,14 +71,14 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", spread:
     Lines are what lies between line feeds; a null text has none, an empty text is one empty line. Chunks of at least `least` lines are
     compared by their bytes. Their first occurrence, by id and then line, stays, null ids last; if all lines of a text go, kept_text
     is empty. Rows that repeat both id and text, null ids too, count as one place: equal chunks at the same line are all kept or all
-    removed. Texts that share an id, or have none, are places of their own, in the order of their SHA-256. Columns other than id and
-    text are not read.
+    removed. Texts that share an id, or have none, are places of their own, in the order of their SHA-256. A very long text is cut whole.
+    An empty table gives no rows. Columns other than id and text, whatever their names, are not read. Jobs run while the plan is built.
     """
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # a place is an id and a text; null ids come last, texts of one id in the order of their hashes
     base = base.select("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")).alias("place"), "text")
     lines = F.split("text", "\n", -1)
-    several = F.filter(chunk_array(lines, spread), lambda c: c["n"] >= least)
+    several = F.filter(chunk_array(lines, spread, least), lambda c: c["n"] >= least)
     cut_up = base.select("place", F.explode(several).alias("c")).select("place", "c.at", "c.n", "c.chunk")
     named = cut_up.withColumn("name", F.sha2("chunk", 256))
     # bytes: grouping by name and chunk compares them; a name must stand for one chunk

@@ -94,12 +94,12 @@ def test_each_operator_has_its_query():
 
 def test_pipeline_equals_plain_stages(spark, tmp_path):
     import corpus_pipeline as C
-    from test_dedup import fingerprint
     from test_models import shingles
+    from test_near_dedup import brute
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    extra = spark.createDataFrame([(5000, "1 2 3", None, "src0", 5), (5001, None, None, "src0", 0)], docs.schema)
+    extra = spark.createDataFrame([(5000, "1 2 3", None, "src0", 5), (5001, None, None, "src0", 0), (5002, "½ ²", None, "src0", 3)], docs.schema)
     docs = docs.unionByName(extra)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -109,14 +109,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     for i, t in rows.items():
         groups[re.sub("[\x20\x09-\x0d]", "", t)].append(i)
     rows = {i: rows[i] for i in (min(g, key=lambda k: (-len(rows[k]), k)) for g in groups.values())}
-    prints = {i: fingerprint(t) for i, t in rows.items()}
-    top = {i: i for i in rows}
-    for _ in range(3):
-        for a in sorted(rows):
-            for b in sorted(rows):
-                if (prints[a] ^ prints[b]).bit_count() <= 2:
-                    top[b] = min(top[b], top[a])
-    rows = {i: t for i, t in rows.items() if top[i] == i}
+    rows = {i: rows[i] for i, c in brute(rows).items() if i == c}
     items = [s for s in (shingles(r.text) for r in bench.collect()) if s]
     rows = {i: t for i, t in rows.items() if not any(5 * len(shingles(t) & s) >= 4 * len(s) for s in items)}
     out = C.run(spark, str(tmp_path)).collect()

@@ -10,11 +10,12 @@ def plain(rows):
     """Line dedup by its docstring: places are (id, text), ids ascending, null last, then SHA-256."""
 
     def cut_up(text):
-        out, start, before = [], 0, 0
+        out, start, before = [], 0, None
         lines = text.split("\n")
         for i, line in enumerate(lines):
             h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
-            if (2 * before + h) % 3 == 0 or i == len(lines) - 1:
+            cut = before is not None and (h == before or ((before * 1000003 + h) >> 6) % 3 == 0)
+            if cut and i - start >= 1 or i == len(lines) - 1:
                 out.append((start, lines[start : i + 1]))
                 start = i + 1
             before = h
@@ -43,7 +44,14 @@ def test_texts_that_share_an_id_keep_their_own_lines(spark, n):
     rows = [
         (None, f"{part(0, 12)}\n{own(1, 9)}"), (None, f"{own(2, 5)}\n{part(0, 12)}\n{own(3, 4)}"), (None, own(4, 20)), (None, f"{own(5, 3)}\n{part(3, 12)}"),
         (7, f"{part(0, 12)}\n{own(6, 6)}"), (7, f"{own(7, 2)}\n{part(0, 12)}"), (7, own(8, 12)), (8, part(0, 12)), (8, part(0, 12)), (None, None), (9, ""),
+        (10, "same\n" * 31), (11, f"{own(9, 3)}\n" + "same\n" * 18 + own(10, 2)), (12, "\n\n\n"), (13, "a\n" * 5), (14, f"{part(0, 3)}\n{part(0, 3)}\n{part(0, 400)}"),
     ][n:]
     got = Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert all(r[2] <= r[1] for r in got) and sum(r[2] for r in got) > 0
     assert got == plain(rows)
+
+
+def test_runs_of_one_line_shrink(spark):
+    rows = [(1, "x\n" + "same\n" * 40 + "y"), (2, "z\n" + "same\n" * 41 + "y")]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed >= 34 and got[2].n_removed >= 36 and got[1].kept_text.startswith("x\nsame") and got[2].kept_text.startswith("z\n")
