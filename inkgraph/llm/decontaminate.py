@@ -1,11 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Test items are partitioned by their number of distinct shingles, in powers of two. An item's sketch is its m smallest shingle
-hashes, with m one more than the shingles that an item of its partition's largest size may miss: whichever they are, one of the
-sketch must be in a document that contains the item, so the search loses nothing however long the document is. Documents
-probe the sketches with all their shingles; found pairs are verified by exact containment of the shingles themselves.
-
-Items go to the executors in parts of a checked size; a large benchmark takes several passes over the documents.
+Test items are partitioned by their number of distinct shingles, in powers of two. An item may miss some of its shingles in a document that
+contains it; with t the most that an item of its partition may miss, its sketch is its 2 t + 1 smallest shingle hashes, or all, and a
+document that contains it must hold as many of these as the sketch has beyond what this item may miss. The search thus loses nothing,
+however long the document is. Each document looks up all its shingles in a bit table of the sketches, whose size has a bound
+whatever the benchmark's; what it finds is joined with the sketches by hash, and pairs with enough of a sketch are verified by
+exact containment of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
+from ._cluster import cut
 
 WIDTH, LEAST = 5, 0.8
 GAP = np.array([not (chr(b).isascii() and chr(b).isalnum() or b >= 0x80) for b in range(256)])
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Texts found to be contaminated are broadcast up to this number.
+SMALL = 1 << 15
 
 
 class Texts:
@@ -31,7 +33,7 @@ class Texts:
 
     def __init__(self, column, width: int):
         data, self.off = B.buffer_of(column)
-        self.data, self.width = LOWER[data], width
+        self.data, self.width = B.LOWER[data], width
         self.starts, self.ends, self.first = B.words(self.data, self.off, GAP)
         size = np.diff(self.first)
         words = B.word_hashes(self.data, self.starts, self.ends, 11)
@@ -53,88 +55,97 @@ class Texts:
         return {b" ".join(words[k : k + self.width]) for k in range(len(words) - self.width + 1)}
 
 
-class Index:
-    """Sketches of a part of the items."""
-
-    def __init__(self, ids: list, texts: list, width: int, least: float):
-        share = Fraction(str(least))
-        t = Texts(pa.array(texts, pa.string()), width)
-        self.ids, self.width, self.least = ids, width, share
-        self.shingles = [t.shingles(i) for i in range(len(ids))]
-        key, item = [], []
-        for i, s in enumerate(self.shingles):
-            if s:
-                largest = (1 << len(s).bit_length()) - 1
-                m = math.floor(largest * (1 - share)) + 1
-                sketch = np.unique(t.hash[t.owner == i])[:m]
-                key.append(sketch)
-                item.append(np.full(len(sketch), i))
-        key, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (key, item))
-        order = np.argsort(key, kind="stable")
-        self.key, self.item = key[order], item[order]
-
-    def search(self, column) -> Iterator[tuple[int, int, int]]:
-        """(text, item, shared shingles) for the texts of a column that contain an item."""
-        if not len(self.key):
-            return
-        t = Texts(column, self.width)
-        lo = np.searchsorted(self.key, t.hash)
-        hit = np.flatnonzero(self.key[np.minimum(lo, len(self.key) - 1)] == t.hash)
-        n = np.searchsorted(self.key, t.hash[hit], "right") - lo[hit]
-        pairs = np.unique(np.stack([np.repeat(t.owner[hit], n), self.item[B.ranges(lo[hit], n)]]), axis=1)
-        at, own = -1, set()
-        for i, k in pairs.T.tolist():
-            if i != at:
-                at, own = i, t.shingles(i)
-            shared = len(own & self.shingles[k])
-            if shared >= self.least * len(self.shingles[k]):
-                yield i, k, shared
-
-
-def indexes(benchmark: DataFrame, item: str, text: str, width: int, least: float, part_bytes: int) -> list:
-    """A broadcast Index for each part of the benchmark; none holds much more than part_bytes of text."""
-    base = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text")).where("text <> ''")
-    parts = max(1, math.ceil((base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / part_bytes))
-    out = []
-    for k in range(parts):
-        rows = base.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([r["item"] for r in rows], [r["text"] for r in rows], width, least)))
-    return out
-
-
-def contained_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, part_bytes: int = 1 << 25) -> DataFrame:
+def _sketches(width: int, share: Fraction):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in B.slices(whole, 1)):
+            t, out = Texts(batch.column(1), width), []
+            order = np.argsort(t.owner, kind="stable")
+            edges, no = np.searchsorted(t.owner[order], np.arange(batch.num_rows + 1)), batch.column(0).to_pylist()
+            for i in np.flatnonzero(np.diff(edges)).tolist():
+                own, n = np.unique(t.hash[order[edges[i] : edges[i + 1]]]), len(t.shingles(i))
+                part = n.bit_length()
+                sketch = own[: 2 * math.floor(((1 << part) - 1) * (1 - share)) + 1]
+                need = max(1, len(sketch) - math.floor(n * (1 - share)))
+                out.append((sketch.view(np.int64), np.full(len(sketch), no[i]), np.full(len(sketch), part), np.full(len(sketch), need)))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], ["hash", "no", "part", "need"])
+
+    return run
+
+
+def _probe(width: int, bits: int, table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in B.slices(whole, 1)):
+            t = Texts(batch.column(1), width)
+            at = t.hash >> np.uint64(64 - bits)
+            hit = np.flatnonzero(table.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            owner, hashes = t.owner[hit], t.hash[hit]
+            order = np.lexsort((hashes, owner))
+            owner, hashes = owner[order], hashes[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            owner, hashes = owner[fresh], hashes[fresh]
+            who, lead = np.unique(owner, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(lead, len(owner)), pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.record_batch([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), lists], ["doc_id", "text", "hits"])
+
+    return run
+
+
+def _verify(width: int, share: Fraction):
+    """doc_id, item_id, key, item_text, text: the pairs that hold, with n_shared and n_shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
+        for batch in (part for whole in batches for part in B.slices(whole, 4)):
+            texts, items, rows = Texts(batch.column(4), width), Texts(batch.column(3), width), []
+            for i, key in enumerate(batch.column(2).to_pylist()):
+                if key != last:
+                    last, own = key, texts.shingles(i)
+                want = items.shingles(i)
+                if (shared := len(own & want)) >= share * len(want):
+                    rows.append((i, shared, len(want)))
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.record_batch([*(batch.column(k).take(at) for k in range(3)), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["doc_id", "item_id", "key", "n_shared", "n_shingles"])
+
+    return run
+
+
+def _found(base: DataFrame, benchmark: DataFrame, item: str, item_text: str, width: int, least: float, most_bits: int) -> DataFrame:
+    """doc_id, item_id, key, n_shared, n_shingles for a table of (doc_id, text); key is the text's SHA-256."""
+    share, spark = Fraction(str(least)), base.sparkSession
+    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_text <> ''")
+    items = cut(items.withColumn("no", F.monotonically_increasing_id()))
+    sketches = cut(items.select("no", "item_text").mapInArrow(_sketches(width, share), "hash long, no long, part long, need long"))
+    bits = max(6, min(most_bits, (64 * sketches.count()).bit_length()))
+    bit = F.shiftrightunsigned("hash", 64 - bits)
+    words = sketches.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))")).alias("set")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)  # 8 MB at most
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    probed = base.mapInArrow(_probe(width, bits, spark.sparkContext.broadcast(table)), "doc_id long, text string, hits array<long>")
+    probed = cut(probed.withColumn("row", F.monotonically_increasing_id()))
+    met = probed.select("row", F.explode("hits").alias("hash")).join(sketches, "hash").groupBy("row", "part", "no").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    pairs = met.where("n >= need").select("row", "no").join(items, "no").join(probed.select("row", "doc_id", "text"), "row")
+    return pairs.select("doc_id", "item_id", F.sha2("text", 256).alias("key"), "item_text", "text").mapInArrow(_verify(width, share), "doc_id long, item_id long, key string, n_shared long, n_shingles long")
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, most_bits: int = 26) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment: the pairs in which a document has at least `least` of an item's shingles.
 
     A shingle is `width` words; a text of fewer words is one shingle, so such an item is found in texts of just these words.
-    Null and empty texts have no shingles and match nothing. Rows that repeat an id are rows of their own; null ids are passed
-    on. Columns other than these are not read.
+    Null and empty texts have no shingles and match nothing. A very long text is searched whole. Rows that repeat an id are rows of their own,
+    of documents and of items; null ids are passed on. A share of exactly `least` counts. Empty tables give no rows. Columns other than
+    these, whatever their names, are not read. Jobs run while the plan is built. Over 2^most_bits / 64 hashes in all sketches the bit table
+    lets more through; the result is the same.
     """
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = None
-    for index in indexes(benchmark, item, item_text, width, least, part_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in B.slices(whole, 1)):
-                got = list(index.value.search(batch.column(1)))
-                n = [len(index.value.shingles[k]) for _, k, _ in got]
-                columns = [batch.column(0).take(pa.array([i for i, _, _ in got], pa.int64())), pa.array([index.value.ids[k] for _, k, _ in got], pa.int64()), pa.array([s for _, _, s in got], pa.int64()), pa.array(n, pa.int64()), pa.array([s / x for (_, _, s), x in zip(got, n, strict=True)], pa.float64())]
-                yield pa.record_batch(columns, ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
-
-        one = base.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long, containment double")
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, part_bytes: int = 1 << 25) -> DataFrame:
-    """The rows of docs that contain no item, all columns as they are."""
-    for index in indexes(benchmark, item, item_text, width, least, part_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in B.slices(whole, whole.schema.get_field_index(text))):
-                column = batch.column(batch.schema.get_field_index(text))
-                keep = np.ones(batch.num_rows, bool)
-                keep[[i for i, _, _ in index.value.search(column)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    found = _found(base, benchmark, item, item_text, width, least, most_bits)
+    return found.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, most_bits: int = 26) -> DataFrame:
+    """The rows of docs that contain no item, all columns as they are; see contained_items. Rows of equal text share their fate."""
+    base = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    bad = cut(_found(base, benchmark, item, item_text, width, least, most_bits).select(F.col("key").alias("_contaminated")).distinct())
+    few = F.broadcast(bad) if bad.count() <= SMALL else bad
+    return docs.join(few, F.sha2(docs[text].cast("string"), 256) == few["_contaminated"], "left_anti")

@@ -104,7 +104,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
-    rows = {r.doc_id: r.text for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
+    rows = {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     groups = defaultdict(list)
     for i, t in rows.items():
         groups[re.sub("[\x20\x09-\x0d]", "", t)].append(i)

@@ -72,8 +72,8 @@ def shingles(text):
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 25, 500])
-def test_contained_items_equal_brute_force(spark, both, part_bytes):
+@pytest.mark.parametrize("most_bits", [26, 6])
+def test_contained_items_equal_brute_force(spark, both, most_bits):
     rnd = random.Random(4)
     words = [f"k{i}" for i in range(400)]
     items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice((3, 5, 9, 10, 14, 30, 60))))) for i in range(40)] + [(50, None), (51, ""), (52, "a b c")]
@@ -93,11 +93,12 @@ def test_contained_items_equal_brute_force(spark, both, part_bytes):
             s = shingles(t)
             if s and 5 * len(own & s) >= 4 * len(s):
                 want[(r.doc_id, i, len(own & s), len(s))] += 1
-    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in contained_items(df, bench, part_bytes=part_bytes).collect())
+    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in contained_items(df, bench, most_bits=most_bits).collect())
     assert got == want and len(want) > 20
-    kept = decontaminate(df, bench, part_bytes=part_bytes)
+    kept = decontaminate(df, bench, most_bits=most_bits)
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in df.collect()} - {k[0] for k in want}
-    assert contained_items(df, bench.limit(0)).count() == 0
+    assert contained_items(df, bench.limit(0)).count() == 0 and contained_items(df.limit(0), bench).count() == 0
+    assert decontaminate(df, bench.limit(0)).count() == df.count()
 
 
 def test_estimate_finds_planted_accuracies():
