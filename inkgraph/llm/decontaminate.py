@@ -24,6 +24,8 @@ from ._cluster import cut
 
 WIDTH, LEAST = 5, 0.8
 GAP = np.array([not (chr(b).isascii() and chr(b).isalnum() or b >= 0x80) for b in range(256)])
+#: Each hash sets as many bits of the table as there are factors.
+FACTORS = B.mix64(np.arange(3, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
 #: Texts found to be contaminated are broadcast up to this number.
 SMALL = 1 << 15
 
@@ -73,12 +75,26 @@ def _sketches(width: int, share: Fraction):
     return run
 
 
+def _words(bits: int):
+    """Words of a table of 2^bits bits in which each hash sets a bit for each of FACTORS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            at = np.concatenate([(hashes * factor) >> np.uint64(64 - bits) for factor in FACTORS])
+            yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "set"])
+
+    return run
+
+
 def _probe(width: int, bits: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in B.slices(whole, 1)):
             t = Texts(batch.column(1), width)
-            at = t.hash >> np.uint64(64 - bits)
-            hit = np.flatnonzero(table.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            hit = np.arange(len(t.hash))
+            for factor in FACTORS:
+                at = (t.hash[hit] * factor) >> np.uint64(64 - bits)
+                hit = hit[(table.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
             owner, hashes = t.owner[hit], t.hash[hit]
             order = np.lexsort((hashes, owner))
             owner, hashes = owner[order], hashes[order]
@@ -117,10 +133,9 @@ def _found(base: DataFrame, benchmark: DataFrame, item: str, item_text: str, wid
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_text <> ''")
     items = cut(items.withColumn("no", F.monotonically_increasing_id()))
     sketches = cut(items.select("no", "item_text").mapInArrow(_sketches(width, share), "hash long, no long, part long, need long"))
-    bits = max(6, min(most_bits, (64 * sketches.count()).bit_length()))
-    bit = F.shiftrightunsigned("hash", 64 - bits)
-    words = sketches.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))")).alias("set")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.uint64)  # 8 MB at most
+    bits = max(6, min(most_bits, (256 * sketches.count()).bit_length()))
+    words = sketches.select("hash").mapInArrow(_words(bits), "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)  # 16 MB at most
     table[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
     probed = base.mapInArrow(_probe(width, bits, spark.sparkContext.broadcast(table)), "doc_id long, text string, hits array<long>")
     probed = cut(probed.withColumn("row", F.monotonically_increasing_id()))
@@ -129,13 +144,13 @@ def _found(base: DataFrame, benchmark: DataFrame, item: str, item_text: str, wid
     return pairs.select("doc_id", "item_id", F.sha2("text", 256).alias("key"), "item_text", "text").mapInArrow(_verify(width, share), "doc_id long, item_id long, key string, n_shared long, n_shingles long")
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, most_bits: int = 26) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, most_bits: int = 27) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment: the pairs in which a document has at least `least` of an item's shingles.
 
     A shingle is `width` words; a text of fewer words is one shingle, so such an item is found in texts of just these words.
     Null and empty texts have no shingles and match nothing. A very long text is searched whole. Rows that repeat an id are rows of their own,
     of documents and of items; null ids are passed on. A share of exactly `least` counts. Empty tables give no rows. Columns other than
-    these, whatever their names, are not read. Jobs run while the plan is built. Over 2^most_bits / 64 hashes in all sketches the bit table
+    these, whatever their names, are not read. Jobs run while the plan is built. Over 2^most_bits / 256 hashes in all sketches the bit table
     lets more through; the result is the same.
     """
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -143,7 +158,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", t
     return found.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, most_bits: int = 26) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, most_bits: int = 27) -> DataFrame:
     """The rows of docs that contain no item, all columns as they are; see contained_items. Rows of equal text share their fate."""
     base = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     bad = cut(_found(base, benchmark, item, item_text, width, least, most_bits).select(F.col("key").alias("_contaminated")).distinct())
