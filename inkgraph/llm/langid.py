@@ -19,16 +19,25 @@ from pyspark.sql import functions as F
 from ._bytes import STEP, U64, mix64, slices
 
 BUCKETS, ORDERS, MOST_LANGUAGES = 1 << 16, (1, 2, 3), 200
-#: Characters of the Unicode categories L; `\w` without digits also has other numbers, such as fractions and circled ones.
-LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: What LETTERS takes for letters besides the Unicode categories L: fractions, circled and other numbers.
+NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+BLANK = dict.fromkeys(map(ord, NUMBERS), " ")
 UNDETERMINED = "und"
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points and offsets. A run of other characters is one gap; each text has a gap before and two
+def letters(text: str | None) -> str:
+    """The runs of letters of a text, lower-cased, with a space between them."""
+    low = (text or "").lower()
+    if not low.isascii() and not NUMBERS.isdisjoint(low):
+        low = low.translate(BLANK)
+    return " ".join(LETTERS.findall(low))
+
+
+def _points(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of what `letters` gives, and offsets. A run of other characters is one gap; each text has a gap before and two
     after it, so no n-gram reaches into another text, and two gaps stand before the first.
     """
-    low = [" ".join(LETTERS.findall(t.lower())) for t in texts]
     joined = "  " + "".join(f" {t}  " for t in low)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     return points, np.concatenate([[2], 2 + np.cumsum([len(t) + 3 for t in low])])
@@ -50,7 +59,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, part in frame.groupby("lang"):
             total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for text in part["text"]:
-                points, _ = _points([text])
+                points, _ = _points([letters(text)])
                 for n in ORDERS:
                     total += np.bincount(gram_buckets(points, n)[3 - n :], minlength=BUCKETS)
     for lang, total in sums.items():
@@ -70,7 +79,7 @@ class Model:
         self.languages, self.log, self.prior = languages, log, prior
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Log posterior up to a constant, texts by languages, over all n-grams of whole texts."""
+        """Log posterior up to a constant, texts by languages, over all n-grams of whole texts, given by `letters`."""
         points, off = _points(texts)
         out = np.tile(self.prior, (len(texts), 1))
         for lo in range(2, len(points), STEP):
@@ -84,10 +93,11 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = [i for i, t in enumerate(texts) if t and LETTERS.search(t)]
+        low = [letters(t) for t in texts]
+        known = [i for i, t in enumerate(low) if t]
         lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if known and self.languages:
-            got = self.scores([texts[i] for i in known])
+            got = self.scores([low[i] for i in known])
             best = got.argmax(axis=1)
             score[known] = 1 / np.exp(got - got.max(axis=1, keepdims=True)).sum(axis=1)
             for i, k in zip(known, best.tolist(), strict=True):

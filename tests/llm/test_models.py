@@ -49,6 +49,12 @@ def test_language_id(spark, both):
     assert by[900].lang_pred == by[901].lang_pred == by[902].lang_pred == "und" and by[900].score == 0
     assert all(0 <= r.score <= 1 for r in got)
     assert L.language_id(both.limit(0)).count() == 0
+    marks = {c for c in map(chr, range(0x110000)) if L.letters(c)}
+    import unicodedata
+
+    assert {"½", "²", "Ⅷ", "①", "१", "_", "̈"}.isdisjoint(marks) and all(unicodedata.category(c)[0] == "L" or any(unicodedata.category(x)[0] == "L" for x in c.lower()) for c in marks)
+    none = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ①")], "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    assert {(r.lang_pred, r.score) for r in L.language_id(none).collect()} == {("und", 0.0)}
     kept = L.keep_identified(both)
     assert kept.columns == both.columns and {900, 901, 902}.isdisjoint({r.doc_id for r in kept.collect()})
 
@@ -58,11 +64,11 @@ def test_scores_equal_plain_sums(docs):
     texts = [r.text for r in docs.limit(4).collect()] + ["ab", "é"]
     step, L.STEP = L.STEP, 37
     try:
-        got = m.scores(texts)
+        got = m.scores([L.letters(t) for t in texts])
     finally:
         L.STEP = step
     for i, t in enumerate(texts):
-        p, _ = L._points([t])
+        p, _ = L._points([L.letters(t)])
         want = m.prior + sum(m.log[:, b].astype(float) for n in L.ORDERS for b in L.gram_buckets(p, n)[3 - n :])
         assert got[i] == pytest.approx(want)
 
