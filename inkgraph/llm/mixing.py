@@ -172,7 +172,8 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     to = F.least(F.col("block") * block + block, F.col("start") + F.col("size"))
     pieces = pieces.select("rid", "doc_id", "hash", "skey", "block", (from_ - F.col("start")).alias("word_from"), (to - from_).alias("words"), (from_ - F.col("block") * block).alias("at"))
     n = F.least("words", F.col("limit") - F.col("at"))
-    spans = pieces.join(slots, ["skey", "block"]).withColumn("n", n).where("n > 0")
+    # slots are many, though they come from few counts: never a broadcast
+    spans = pieces.join(slots.hint("merge"), ["skey", "block"]).withColumn("n", n).where("n > 0")
     spans = spans.select("shard", "slot", "skey", "pass_no", "block", "rid", "doc_id", "hash", "word_from", "n")
     rows = base.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, "skey")
     return Mix(docs, rows.select("rid", "doc_id", "source", "size", "source_size", "target"), spans, (id, text, source))
