@@ -71,16 +71,16 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", spread:
     Lines are what lies between line feeds; a null text has none, an empty text is one empty line. Chunks of at least `least` lines are
     compared by their bytes. Their first occurrence, by id and then line, stays, null ids last; if all lines of a text go, kept_text
     is empty. Rows that repeat both id and text, null ids too, count as one place: equal chunks at the same line are all kept or all
-    removed. Texts that share an id, or have none, are places of their own, in the order of their SHA-256. A very long text is cut whole.
+    removed. Texts that share an id, or have none, are places of their own, in the order of half their SHA-256. A very long text is cut whole.
     An empty table gives no rows. Columns other than id and text, whatever their names, are not read. Jobs run while the plan is built.
     """
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # a place is an id and a text; null ids come last, texts of one id in the order of their hashes
-    base = base.select("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")).alias("place"), "text")
+    base = base.select("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("hash")).alias("place"), "text")
     lines = F.split("text", "\n", -1)
     several = F.filter(chunk_array(lines, spread, least), lambda c: c["n"] >= least)
     cut_up = base.select("place", F.explode(several).alias("c")).select("place", "c.at", "c.n", "c.chunk")
-    named = cut_up.withColumn("name", F.sha2("chunk", 256))
+    named = cut_up.withColumn("name", F.unhex(F.sha2("chunk", 256)))
     # bytes: grouping by name and chunk compares them; a name must stand for one chunk
     texts = named.groupBy("name", "chunk").agg(F.count("*").alias("count"), F.min("place").alias("first"))
     again = texts.groupBy("name").agg(F.sum("count").alias("count"), F.min("first").alias("first"), F.count("*").alias("variants"))
