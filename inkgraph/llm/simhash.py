@@ -101,9 +101,9 @@ def link_prints(prints: DataFrame, radius: int = 2) -> DataFrame:
     half = radius // 2
     if radius % 2 or half > 2:
         raise ValueError("the radius is 0, 2 or 4")
-    # as many tasks as the variants need, however few partitions the fingerprints lie in; one exchange by variant serves both sides
+    # as many tasks as the variants need, however few partitions the fingerprints lie in
     tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // (1 << 14)))
-    spread = prints.repartition(tasks, "print").select("print", F.explode(ball(F.col("print"), half)).alias("variant")).repartition("variant")
+    spread = prints.repartition(tasks, "print").select("print", F.explode(ball(F.col("print"), half)).alias("variant"))
     met = spread.groupBy("variant").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count("*").alias("n"))
     met = met.where("low <> high").select("variant", "low")
     pair = spread.join(met, "variant").where("print <> low").select(F.col("print").alias("a"), F.col("low").alias("b"))
