@@ -169,6 +169,11 @@ def segment_pages(pages: DataFrame) -> DataFrame:
     return drawing_boxes(clusters(kept, near, MAX_DIST))
 
 
+def skipped_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no: the pages with over MOST_SEGMENTS segments, of which segment_pages has nothing."""
+    return find_segments(pages).where("skipped").select("doc_id", "page_no")
+
+
 def polar_profile(points: np.ndarray, bins: int = 50) -> np.ndarray:
     """Counts of points by direction from their whole-number centroid."""
     cx, cy = points.sum(axis=0) // len(points)

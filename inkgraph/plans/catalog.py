@@ -178,10 +178,10 @@ def first_local_min(spark, sf):
     return stats.first_local_min(value_histogram(spark, sf))
 
 
-@query("""WITH u AS (SELECT (l_quantity::INT) AS ratio, count(DISTINCT l_extendedprice::BIGINT // 1000) AS used FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+@query("""WITH u AS (SELECT (l_quantity::INT) AS ratio, count(DISTINCT l_extendedprice::BIGINT // 1000) AS used FROM lineitem GROUP BY 1)
 SELECT ratio, round((120 - used) / 120.0, 9) AS empty, round(CASE WHEN used < 120 THEN -((120 - used) / 120.0) * ln((120 - used) / 120.0) ELSE 0 END, 9) AS entropy FROM u""")
 def entropy_rows(spark, sf):
-    cells = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_quantity").cast("int").alias("ratio"), F.expr("cast(round(l_extendedprice) AS BIGINT) div 1000").alias("cell"))
+    cells = table(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("ratio"), F.expr("cast(round(l_extendedprice) AS BIGINT) div 1000").alias("cell"))
     got = stats.empty_share_entropy(cells, "ratio", "cell", 120)
     return got.select("ratio", F.round("empty", 9).alias("empty"), F.round("entropy", 9).alias("entropy"))
 
@@ -216,13 +216,14 @@ def grid_neighbours(spark, sf):
 
 
 def part_edges(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_linenumber = 1 and l_returnflag = 'R' and l_linestatus = 'F'")
+    li = table(spark, sf, "lineitem")
     return li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
 
 
-CC = """RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 AND l_returnflag = 'R' AND l_linestatus = 'F'),
-f AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS reach FROM f UNION SELECT r.node, f.b FROM r JOIN f ON r.reach = f.a),
-cc AS (SELECT node, min(reach) AS component FROM r GROUP BY node)"""
+CC = """RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem),
+f AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM f UNION
+(SELECT DISTINCT ON (u.node) u.node, v.component FROM recurring.cc AS u, cc AS v, f WHERE f.a = u.node AND f.b = v.node AND v.component < u.component ORDER BY u.node, v.component))"""
 
 
 @query(f"WITH {CC} SELECT node, component FROM cc")

@@ -150,12 +150,21 @@ def recognise(pages: DataFrame, options: Options = Options(), reader=None) -> Da
     return select.select_resolution(cut(records))  # the records feed both the choice and the result
 
 
+def unread(pages: DataFrame, options: Options = Options()) -> DataFrame:
+    """doc_id, page_no, reason: the pages of which `recognise` has nothing, as they were not decoded or have too many segments."""
+    good = clean_pages(pages.where("error IS NULL"), options)
+    crowded = segment.skipped_pages(good).withColumn("reason", F.lit(f"over {segment.MOST_SEGMENTS} segments"))
+    return pages.where("error IS NOT NULL").select("doc_id", "page_no", F.col("error").alias("reason")).unionByName(crowded)
+
+
 def lines(records: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, ord, line: the output of records in the options' format, in order of page, box and fragment."""
     from ..functions import text as X
 
     order = Window.partitionBy("doc_id").orderBy("page_no", "box_id", "frag_id")
     o, c = options.checked(), F.col
+    if o.reactions or o.embedded:
+        raise ValueError(f"{o.embedded or o.format} output is not written yet")
     shown = [(o.bond_length, F.round("avg_bond", 4)), (o.shown_resolution, c("dpi")), (o.confidence, F.round("confidence", 4)), (o.page, c("page_no") + 1), (o.coordinates, X.box_text(c("x1"), c("y1"), c("x2"), c("y2")))]
     if o.format in ("sdf", "mol"):
         props = [("Confidence_estimate", o.confidence, F.round("confidence", 4)), ("Average_bond_length", o.bond_length, F.round("avg_bond", 4)), ("Resolution", o.shown_resolution, c("dpi")), ("Page", o.page, c("page_no") + 1), ("Surrounding_box", o.coordinates, X.box_text(c("x1"), c("y1"), c("x2"), c("y2")))]

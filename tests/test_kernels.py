@@ -336,3 +336,23 @@ def test_reaction_rxn(spark):
     head, *tables = full.split("$MOL\n")
     assert head == "$RXN\n\n  inkgraph\n\n  2  1\n" and tables == [a, a, b]
     assert empty == "$RXN\n\n  inkgraph\n\n  0  0\n"
+
+
+def test_unread_pages_and_unwritten_formats(spark, monkeypatch):
+    from inkgraph.operators import segment as S
+    from inkgraph.plans import recognise as R
+    from inkgraph.sources.images import PAGES
+
+    white = np.full((40, 40), 255, np.uint8)
+    dots = white.copy()
+    dots[2:38:6, 2:38:6] = dots[3:39:6, 2:38:6] = dots[2:38:6, 3:39:6] = dots[3:39:6, 3:39:6] = 0
+    rows = [(1, "a", 0, 40, 40, white.tobytes(), False, False, None), (2, "b", 0, 40, 40, dots.tobytes(), False, False, None), (3, "c", 0, 0, 0, b"", False, False, "no image")]
+    pages = spark.createDataFrame(rows, PAGES)
+    assert [r.reason for r in R.unread(pages).collect()] == ["no image"]
+    assert S.page_segments(dots, 0.1, False)[1] is False and len(S.page_segments(dots, 0.1, False)[0]) == 36
+    monkeypatch.setattr(S, "MOST_SEGMENTS", 20)
+    assert S.page_segments(dots, 0.1, False) == ([], True)
+    records = spark.createDataFrame([], R.RECORDS)
+    for o in (R.Options(format="rsmi"), R.Options(format="cmlr"), R.Options(format="sdf", embedded="smi")):
+        with pytest.raises(ValueError):
+            R.lines(records, o)

@@ -166,3 +166,24 @@ def test_first_rows(spark, take):
     df = spark.range(100).select((F.col("id") * 37 % 101).alias("v")).repartition(5)
     got = sorted(r.v for r in ensemble.first_rows(df, take, [F.col("v").desc()]).collect())
     assert got == sorted((i * 37 % 101 for i in range(100)), reverse=True)[:take][::-1]
+
+
+def test_components_equal_union_find(spark):
+    import random
+
+    from inkgraph.operators import graph
+
+    rnd = random.Random(7)
+    edges = {(rnd.randrange(400), rnd.randrange(400) + 1000) for _ in range(330)} | {(i, i + 1) for i in range(5000, 5030)} | {(6000, 6000)}
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(list(edges), "a long, b long")).collect()}
+    assert got == {n: find(n) for n in list(top)} and len(set(got.values())) > 20
