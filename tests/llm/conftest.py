@@ -20,3 +20,11 @@ def odd(spark):
 def both(docs, odd):
     c = ["doc_id", "text", "lang", "source"]
     return docs.select(*c).unionByName(odd.select(*c))
+
+
+@pytest.fixture(scope="session")
+def clashing(odd, docs):
+    """Rows with columns named as those of results and of intermediate tables."""
+    names = "skey size source_size target taken rid bucket hash block start words shard slot pass_no held_out lang_pred score item_id row hits key n_shared n_shingles containment node buckets label n".split()
+    rows = odd.select("doc_id", "text", "lang", "source").unionByName(docs.select("doc_id", "text", "lang", "source").limit(30))
+    return rows.selectExpr("*", *[f"7 AS {n}" for n in names])

@@ -150,3 +150,20 @@ def test_shards_draw_their_counts(spark):
     assert len(drawn) == 18 and all(230 < c < 370 for c in drawn) and len(set(drawn)) > 5  # 300, give or take 11
     settled = sum(r["count"] for r in rows if r["shard"] >= 20)
     assert settled < 400
+
+
+def test_clashing_columns_change_nothing(spark, clashing):
+    import corpus_pipeline as C
+
+    from inkgraph.llm.decontaminate import contained_items, decontaminate
+    from inkgraph.llm.langid import keep_identified, language_id
+    from inkgraph.llm.near_dedup import near_groups
+
+    plain = clashing.select("doc_id", "text", "lang", "source")
+    bench = spark.createDataFrame([(1, "the cat sat on the mat"), (2, None)], "item_id long, text string")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for op in (language_id, near_groups, lambda d: contained_items(d, bench), lambda d: mix_sources(d).taken().drop("rid")):
+        assert rows(op(clashing)) == rows(op(plain))
+    for keep in (keep_identified, lambda d: decontaminate(d, bench), lambda d: C.drop_copies(spark, d, ""), lambda d: C.drop_near_copies(spark, d, "")):
+        got = keep(clashing)
+        assert got.columns == clashing.columns and rows(got.select(plain.columns)) == rows(keep(plain))
