@@ -100,7 +100,8 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", name_by
     Texts are equal if they are the same without space and 0x09-0x0D. Of equal texts the one with the most code
     points stays, then the smallest id. A null text is empty; empty texts and those of white space alone are equal.
     A null id counts as larger than any other. Rows that repeat an id: all that equal the one that stays are kept.
-    An empty table gives no rows. Columns other than id and text are not read.
+    A very long text is cut whole. An empty table gives no rows. Columns other than id and text, whatever their names, are not read.
+    Jobs run while the plan is built.
     """
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seed = 0

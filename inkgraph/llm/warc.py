@@ -132,7 +132,9 @@ def write_archives(pages: DataFrame, where: str, id: str = "page_id", url: str =
 
     Of rows with equal payloads of at least `least` bytes, those with the smallest id are responses and the others
     revisits of that id, without payload; shorter ones are responses. A null html is an empty payload, a null url an empty
-    address; a null id counts as the largest. Rows that repeat an id are written each. Columns other than these are not read.
+    address; a null id counts as the largest. Rows that repeat an id are written each; of equal payloads all rows with the smallest id are
+    responses. A very long payload is a record like any other. An empty table gives no archives. Columns other than these, whatever their
+    names, are not read.
     """
     base = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     base = base.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
