@@ -281,18 +281,31 @@ def parse_smiles(text: str) -> tuple[list[dict], list[dict]]:
 
 
 def write_structures(atoms: DataFrame, bonds: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, smiles, identity_key, mol and statistics of graphs: atoms (keys, atom_idx, x, y, symbol, charge), bonds (keys, a, b, type, hash, wedge, arom)."""
+    """keys, smiles, identity_key, mol and statistics of graphs: atoms (keys, atom_idx, x, y, symbol, charge), bonds (keys, a, b, type, hash, wedge, arom).
+
+    If atoms have them, `group` is the SMILES of what stands in an atom's place, its first atom attached, and `average` the graph's
+    bond length, to which coordinates are scaled. One row a graph; graphs without atoms have none.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in atoms.schema if f.name in keys)
     stats = ["rings", "aromatic_rings", "fragments", "rings5", "rings6", "rotors", "atoms", "bonds"]
     schema += ", smiles string, identity_key string, mol string, " + ", ".join(f"{s} int" for s in stats)
+    names = [*keys, "smiles", "identity_key", "mol", *stats]
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty:
+            return pd.DataFrame([], columns=names)
         a = a.sort_values("atom_idx")
         number = {int(i): n for n, i in enumerate(a["atom_idx"])}
         atoms_ = a[["x", "y", "symbol", "charge"]].to_dict("records")
         bonds_ = [{**r, "a": number[r["a"]], "b": number[r["b"]]} for r in b.to_dict("records") if r["a"] in number and r["b"] in number]
-        return pd.DataFrame([[*key, smiles(atoms_, bonds_), identity(atoms_, bonds_), molfile(atoms_, bonds_), *[statistics(atoms_, bonds_)[s] for s in stats]]])
-
+        for i, group in enumerate(a["group"] if "group" in a else ()):
+            if isinstance(group, str):
+                splice(atoms_, bonds_, i, parse_smiles(group))
+        average = float(a["average"].iloc[0]) if "average" in a else None
+        found = statistics(atoms_, bonds_)
+        return pd.DataFrame([[*key, smiles(atoms_, bonds_), identity(atoms_, bonds_), molfile(atoms_, bonds_, average=average), *[found[s] for s in stats]]], columns=names)
+
+    bonds = bonds.select(*[F.col(x).alias(x) for x in bonds.columns])  # both may come from one table, and cogroup tells columns by identity
     return atoms.groupBy(*keys).cogroup(bonds.groupBy(*keys)).applyInPandas(run, schema)
 
 

@@ -115,6 +115,21 @@ def component_boxes(nodes: DataFrame, keys: list[str], x: str = "x", y: str = "y
     return nodes.groupBy(*keys, "component").agg(F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"), F.count("*").alias("n"))
 
 
+def collapsed(points: DataFrame, reach: float, keys: list[str] = ()) -> DataFrame:
+    """keys, id, x, y, n: points (keys, id, x, y) joined by steps shorter than `reach` as one, the smallest id at the mean of all.
+
+    Neighbours are found by grid cell; a point without any stays as it is.
+    """
+    from ..functions.geometry import distance
+    from .spatial import near_pairs
+
+    keys = list(keys)
+    pairs = near_pairs(points, points, reach, distance, keys, ordered=True)
+    groups = components(pairs.select(*keys, F.col("id1").alias("a"), F.col("id2").alias("b")), keys).withColumnRenamed("node", "id")
+    whole = points.join(groups, [*keys, "id"], "left").withColumn("id", F.coalesce("component", "id"))
+    return whole.groupBy(*keys, "id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+
+
 def rejoin_pairs(atoms: DataFrame, fragments: DataFrame, keys: list[str], average: float) -> DataFrame:
     """keys, a, b, gap, coincide: for each two fragments of a graph of at most three the closest pair of atoms near enough to join.
 
@@ -136,6 +151,11 @@ def rejoin_pairs(atoms: DataFrame, fragments: DataFrame, keys: list[str], averag
     return best.where(near | ((F.col("gap") < 1.1 * average) & short)).select(*own, "a", "b", "gap", near.alias("coincide"))
 
 
+FEATURES = (
+    "C N O F S Cl Br Si U Me Li R Xx rings aromatic_rings fragments rings5 rings6 hashes wedges double_o positive letters atoms heavy bonds"
+).split()
+
+
 def features(atoms: DataFrame, bonds: DataFrame, keys: list[str], rings: DataFrame) -> DataFrame:
     """keys and features, 26 counts: ten elements and Me, R, Xx, rings, aromatic rings, fragments, 5- and 6-rings, hash, wedge and C=O
     bonds, positive charges, recognised letters, atoms, heavy atoms, bonds.
@@ -148,18 +168,16 @@ def features(atoms: DataFrame, bonds: DataFrame, keys: list[str], rings: DataFra
     symbol, own = F.col("symbol"), F.length(F.trim(F.coalesce("label", F.lit("")))) > 0
     me = (symbol == "C") & own
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("int")
-    order = ["N", "O", "F", "S", "Cl", "Br", "Si", "U"]
     a = atoms.groupBy(*keys).agg(
-        count((symbol == "C") & ~me).alias("C"), *[count(symbol == e).alias(e) for e in order], count(me).alias("Me"), count(symbol == "Li").alias("Li"),
+        count((symbol == "C") & ~me).alias("C"), *[count(symbol == e).alias(e) for e in FEATURES[1:9]], count(me).alias("Me"), count(symbol == "Li").alias("Li"),
         count(symbol == "R").alias("R"), count(~symbol.isin(*ELEMENTS, "R")).alias("Xx"), count(F.col("charge") > 0).alias("positive"),
         F.sum(readable_count(F.coalesce("label", F.lit("")))).cast("int").alias("letters"), F.count("*").cast("int").alias("atoms"), count(symbol != "H").alias("heavy"),
     )
     named = lambda end: atoms.select(*keys, F.col("atom_idx").alias(end), F.col("symbol").alias(f"{end}_symbol"))
     both = bonds.join(named("a"), [*keys, "a"]).join(named("b"), [*keys, "b"])
     b = both.groupBy(*keys).agg(count(F.col("hash")).alias("hashes"), count(F.col("wedge")).alias("wedges"), count((F.col("type") == 2) & ((F.col("a_symbol") == "O") | (F.col("b_symbol") == "O"))).alias("double_o"), F.count("*").cast("int").alias("bonds"))
-    names = ["C", *order, "Me", "Li", "R", "Xx", "rings", "aromatic_rings", "fragments", "rings5", "rings6", "hashes", "wedges", "double_o", "positive", "letters", "atoms", "heavy", "bonds"]
     all_ = a.join(b, keys, "left").join(rings, keys, "left")
-    return all_.select(*keys, F.array(*[F.coalesce(F.col(n), F.lit(0)).cast("int") for n in names]).alias("features"))
+    return all_.select(*keys, F.array(*[F.coalesce(F.col(n), F.lit(0)).cast("int") for n in FEATURES]).alias("features"))
 
 
 def linear_score(values, weights: list[float]):

@@ -9,13 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import chem, cleanup, glyphs, molecule, raster, segment, select
-from ..operators.labels import ELEMENTS
+from ..operators import chem, cleanup, glyphs, graph, labels, molecule, raster, segment, select
 
 RECORDS = "doc_id long, page_no int, box_id int, res_iter int, dpi int, frag_id int, structure string, mol string, identity_key string, confidence double, avg_bond double, x1 int, y1 int, x2 int, y2 int"
 FORMATS = ("smi", "can", "sdf", "mol", "rsmi", "rxn", "cmlr")
-#: Ours, not trained: what a feature adds to the confidence, by name.
-WEIGHTS = {"atoms": 0.02, "rings6": 0.3, "rings5": 0.2, "unknown": -0.5, "fragments": -0.1}
+#: Ours, not trained: weights of graph.FEATURES, 0 for those that are not named.
+WEIGHTS = {"atoms": 0.02, "rings6": 0.3, "rings5": 0.2, "Xx": -0.5, "fragments": -0.1}
+BOX = ["doc_id", "page_no", "box_id", "res_iter"]
+GRAPHS = (
+    "doc_id long, page_no int, box_id int, res_iter int, dpi int, left int, top int, scale double, average double, "
+    "atoms array<struct<atom_idx:int,x:double,y:double,label:string>>, bonds array<struct<bond_idx:int,a:int,b:int,type:int,hash:boolean,wedge:boolean,arom:boolean>>"
+)
 
 
 @dataclass(frozen=True)
@@ -74,8 +78,8 @@ def clean_pages(pages: DataFrame, options: Options) -> DataFrame:
     return pages.mapInPandas(run, pages.schema)
 
 
-def recognise_box(gray: np.ndarray, dpi: int, thin: bool, options: Options, reader=None) -> list[dict]:
-    """Structures in a box: thinned, traced, cleaned, labelled, scored; one for each fragment worth keeping."""
+def trace_box(gray: np.ndarray, dpi: int, thin: bool, options: Options, reader=None) -> tuple[molecule.Graph, float, float]:
+    """The drawing in a box as a cleaned graph with its labels as they were read, its average bond, and the scale of its coordinates."""
     threshold = options.threshold or (0.4 if dpi >= 150 else 0.2)
     mask, scale, thinned = raster.prepare_box(gray, dpi, dpi, threshold, thin, options.jaggy)
     letters = []
@@ -95,25 +99,48 @@ def recognise_box(gray: np.ndarray, dpi: int, thin: bool, options: Options, read
     average = sizes[3 * (len(sizes) - 1) // 4] if len(sizes) > 1 else 10.0
     g = molecule.clean(g, average, 3.0)
     molecule.attach_labels(g, [{"x": t["x1"], "y": t["y1"], "text": t["a"]} for t in glyphs.assemble(letters)], average * 0.8)
-    out = []
-    for part in molecule.fragments(g):
-        number = {i: n for n, i in enumerate(part)}
-        a = [{**g.atoms[i], "symbol": (s if (s := g.atoms[i]["label"].strip() or "C") in ELEMENTS else "Xx")} for i in part]
-        b = [{**x, "a": number[x["a"]], "b": number[x["b"]]} for x in g.live() if x["a"] in number]
-        if len(a) <= select.MIN_ATOMS or len(a) >= select.MAX_ATOMS or not b:
-            continue
-        st = chem.statistics(a, b)
-        st["unknown"] = sum(x["symbol"] == "Xx" for x in a)
-        xs, ys = [x["x"] / scale for x in a], [x["y"] / scale for x in a]
-        out.append({"structure": chem.smiles(a, b), "mol": chem.molfile(a, b, average=average), "identity_key": chem.identity(a, b), "confidence": sum(w * st[k] for k, w in WEIGHTS.items()), "avg_bond": average / scale, "x1": int(min(xs)), "y1": int(min(ys)), "x2": int(max(xs)), "y2": int(max(ys))})
-    return out
-
-
-def recognise(pages: DataFrame, options: Options = Options(), reader=None) -> DataFrame:
+    return g, average, scale
+
+
+def structures(graphs: DataFrame, spelling: DataFrame | None = None, superatoms: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """RECORDS of GRAPHS, one for each fragment worth keeping: labels corrected by `spelling` (key, value), charges taken from them,
+    groups resolved by `superatoms` (key, SMILES as value), then the structure's text, 26 features and their weighted sum.
+
+    A fragment is named by its smallest atom. One with 5 atoms or fewer, or 250 or more, is left out. An atom that a superatom
+    replaces counts as a labelled carbon among the features. graphs is read several times: cut its lineage before.
+    """
+    spark, part, c = graphs.sparkSession, [*BOX, "frag_id"], F.col
+    empty = spark.createDataFrame([], "key string, value string")
+    raw = graphs.select(*BOX, F.explode("atoms").alias("v")).select(*BOX, "v.*")
+    links = graph.distinct_bonds(graphs.select(*BOX, F.explode("bonds").alias("v")).select(*BOX, "v.*"), BOX)
+    own = graph.components(links, BOX).select(*BOX, c("node").alias("atom_idx"), c("component").alias("frag_id"))
+    sizes = own.groupBy(*part).count().where((c("count") > select.MIN_ATOMS) & (c("count") < select.MAX_ATOMS)).drop("count")
+    own = own.join(sizes, part, "left_semi")
+    bonds = links.join(own.withColumnRenamed("atom_idx", "a"), [*BOX, "a"])
+    read = raw.join(own, [*BOX, "atom_idx"])
+    named = labels.resolve_labels(labels.assign_charges(read, bonds, spelling or empty, part), superatoms or empty, "label")
+    element = F.get(F.array(*[F.lit(e) for e in labels.ELEMENTS]), c("anum") - 1)
+    symbol = F.when(c("smiles").isNotNull(), "C").when(c("anum") > 0, element).otherwise("*")  # as chem.parse_smiles has it
+    scales = graphs.select(*BOX, "dpi", "left", "top", "scale", "average")
+    atoms = named.withColumn("symbol", symbol).withColumnRenamed("smiles", "group").join(scales.select(*BOX, "average"), BOX)
+    written = chem.write_structures(atoms, bonds, part)
+    counted = graph.features(atoms, bonds, part, written.select(*part, "rings", "aromatic_rings", "fragments", "rings5", "rings6"))
+    score = counted.select(*part, graph.linear_score(c("features"), [weights.get(n, 0.0) for n in graph.FEATURES]).alias("confidence"))
+    boxes = graph.component_boxes(atoms.withColumnRenamed("frag_id", "component"), BOX).withColumnRenamed("component", "frag_id")
+    whole = written.join(score, part).join(boxes, part).join(scales, BOX)
+    place = [(c(n) / c("scale") + c(corner)).cast("int").alias(n) for n, corner in (("x1", "left"), ("y1", "top"), ("x2", "left"), ("y2", "top"))]
+    shown = [c("smiles").alias("structure"), "mol", "identity_key", "confidence", (c("average") / c("scale")).alias("avg_bond")]
+    return whole.select(*BOX, "dpi", "frag_id", *shown, *place)
+
+
+def recognise(pages: DataFrame, options: Options = Options(), reader=None, spelling: DataFrame | None = None, superatoms: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """RECORDS of pages: segmented into boxes, each box at each resolution, then each document's best resolution.
 
-    A box at a resolution is one row of work, dealt out by all its keys, so a page with many boxes is spread.
+    A box at a resolution is one row of work, dealt out by all its keys, so a page with many boxes is spread. What is done with
+    the graphs of boxes is set work: see `structures` for the dictionaries and weights.
     """
+    from ..sources.storage import cut
+
     options = options.checked()
     spark = pages.sparkSession
     good = clean_pages(pages.where("error IS NULL"), options)
@@ -134,19 +161,20 @@ def recognise(pages: DataFrame, options: Options = Options(), reader=None) -> Da
     work = cropped.crossJoin(F.broadcast(select.resolutions(spark, options.resolution))).repartition(*keys, "box_id", "res_iter")
 
     def run(batches):
+        names = [x.split()[0] for x in GRAPHS.split(", ")]
         for pdf in batches:
             rows = []
             for p in pdf.itertuples():
                 gray = np.frombuffer(p.gray, np.uint8).reshape(p.height, p.width)
-                for k, r in enumerate(recognise_box(gray, p.dpi, p.thin, options, reader)):
-                    rows.append((p.doc_id, p.page_no, p.box_id, p.res_iter, p.dpi, k, r["structure"], r["mol"], r["identity_key"], r["confidence"], r["avg_bond"], r["x1"] + p.left, r["y1"] + p.top, r["x2"] + p.left, r["y2"] + p.top))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
+                g, average, scale = trace_box(gray, p.dpi, p.thin, options, reader)
+                atoms = [{"atom_idx": i, "x": float(a["x"]), "y": float(a["y"]), "label": a["label"]} for i, a in enumerate(g.atoms)]
+                bonds = [{"bond_idx": i, **{k: b[k] for k in ("a", "b", "type", "hash", "wedge", "arom")}} for i, b in enumerate(g.live())]
+                rows.append((p.doc_id, p.page_no, p.box_id, p.res_iter, p.dpi, p.left, p.top, float(scale), float(average), atoms, bonds))
+            yield pd.DataFrame(rows, columns=names)
 
-    records = work.mapInPandas(run, RECORDS)
+    records = structures(cut(work.mapInPandas(run, GRAPHS)), spelling, superatoms, weights)
     if options.learning:
         return records
-    from ..sources.storage import cut
-
     return select.select_resolution(cut(records))  # the records feed both the choice and the result
 
 

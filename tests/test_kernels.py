@@ -356,3 +356,28 @@ def test_unread_pages_and_unwritten_formats(spark, monkeypatch):
     for o in (R.Options(format="rsmi"), R.Options(format="cmlr"), R.Options(format="sdf", embedded="smi")):
         with pytest.raises(ValueError):
             R.lines(records, o)
+
+
+def test_structures_from_graphs(spark):
+    """A six-ring with a misread superatom, a charged and an unknown label; beside it a part too small to keep."""
+    from inkgraph.operators import graph
+    from inkgraph.plans import recognise as R
+
+    named = {6: "OMc", 7: "N+", 8: "Qq"}
+    atoms = [(i, 100.0 + 10 * i, 200.0 - i, named.get(i, " ")) for i in range(11)]
+    ends = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (0, 6), (2, 7), (4, 8), (8, 4), (9, 10)]
+    bonds = [(n, a, b, 2 if n in (0, 2) else 1, False, n == 7, False) for n, (a, b) in enumerate(ends)]
+    graphs = spark.createDataFrame([(1, 0, 0, 2, 300, 5, 7, 0.5, 10.0, atoms, bonds)], R.GRAPHS)
+    pairs = "key string, value string"
+    spelling, groups = spark.createDataFrame([("OMc", "OMe")], pairs), spark.createDataFrame([("OMe", "OC")], pairs)
+    (got,) = R.structures(graphs, spelling, groups).collect()
+    assert got.structure == chem.smiles(*chem.parse_smiles("C1(OC)=CC([NH3+])=CC([*])C1"))
+    assert (got.frag_id, got.dpi, got.avg_bond) == (0, 300, 20.0) and (got.x1, got.y2) == (205, 407)
+    assert sum(line.endswith("  1  0  0  0") for line in got.mol.split("\n")) == 1  # the wedge
+    # 9 atoms drawn and one six-ring, one unknown, in one fragment
+    assert got.confidence == pytest.approx(9 * 0.02 + 0.3 - 0.5 - 0.1)
+    one = R.structures(graphs, spelling, groups, {n: 1.0 for n in graph.FEATURES if n in ("Me", "N", "wedges", "positive", "bonds")}).first()
+    assert one.confidence == 1 + 1 + 1 + 1 + 9
+    bare = R.structures(graphs).first()
+    assert "OC" not in bare.structure and bare.structure.count("[*]") == 2
+    assert R.structures(graphs.where("doc_id = 2"), spelling, groups).count() == 0
