@@ -11,10 +11,11 @@ From reset to reset lies a word. A word is one transition from the start state t
 compiled when a text first needs them, all new words of a batch together: `Compiler` holds each word's state in arrays
 and advances all of them by a character at a time.
 
-Longer stretches without a reset are cut into chunks, and `Transducer` compiles single characters into a table. A chunk with a
-reset maps each state to the same exit state; its map is the exit state and a count, plus a count for the few characters
-before its first reset, which depends on the entry state. A chunk without a reset is mapped for the state which its
-predecessor leaves. The maps compose in a prefix scan over all chunks of a batch.
+Such maps from the start to itself compose by adding their counts.
+
+Longer stretches without a reset are cut into chunks, and `Transducer` compiles single characters into a table. A chunk's map gives
+exit state and count by entry state, for all states that the chunk before it can leave; all chunks of a batch are mapped
+at once. A chunk with a reset has one exit state. The maps compose pairwise in a parallel prefix scan (`composed`).
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from ._bytes import slices
 
 SPACE_SIGN = "▁"
 CHUNK = 1024
+#: A machine that reads so many characters from the start state mostly agrees with one that has read all before them.
+AHEAD = 64
 #: Words up to this length are transitions of their own; at most so many are kept.
 WORD, KEPT = 48, 400_000
 SHIFT, BIAS = 6, 32
@@ -188,31 +191,80 @@ class Transducer:
         place = np.minimum(np.searchsorted(resets, lo), len(resets) - 1)
         first = np.where((resets[place] >= lo) & (resets[place] < hi), resets[place], -1)
         first = np.where(nth == 0, lo, first)
-        # maps: after the first reset they do not depend on the entry state
-        exits, counts = np.full(len(lo), -1, np.int64), np.zeros(len(lo), np.int64)
+        # after its first reset a chunk's map does not depend on the entry state
         have = np.flatnonzero(first >= 0)
-        live: list[tuple | None] = [None] * len(lo)
-
-        def settle(index: np.ndarray, state: np.ndarray) -> None:
-            for i, s in zip(index.tolist(), state.tolist(), strict=True):
-                live[i] = self.states[s]  # numbers may be given anew later
-
         state, got = self.run(codes, first[have], hi[have] - first[have], np.zeros(len(have), np.int64))
-        settle(have, state)
-        counts[have] += got
-        # scan: heads run from the exit state of the chunk before, those without a reset hand their own exit on
-        todo = np.flatnonzero(nth > 0)
-        while len(todo):
-            ready = np.array([live[i - 1] is not None for i in todo.tolist()])
-            now, todo = todo[ready], todo[~ready]
-            entry = np.array([self.intern(live[i - 1]) for i in now.tolist()])
-            whole = first[now] < 0
-            state, got = self.run(codes, lo[now], np.where(whole, hi[now], first[now]) - lo[now], entry)
-            counts[now] += got
-            settle(now[whole], state[whole])
-        total[used] = np.bincount(owner, counts, len(used)).astype(np.int64)
+        after = np.zeros(len(lo), np.int64)
+        after[have] = got
+        leaves: list[tuple | None] = [None] * len(lo)
+        for i, s in zip(have.tolist(), state.tolist(), strict=True):
+            leaves[i] = self.states[s]  # numbers may be given anew later
+        maps = self.maps(codes, lo, np.where(first < 0, hi, first), nth, after, leaves)
+        total[used] = composed(maps, nth)[ends_of(chunks)]
         return total
 
+    def maps(self, codes: np.ndarray, lo: np.ndarray, end: np.ndarray, nth: np.ndarray, after: np.ndarray, leaves: list[tuple | None]) -> list[dict[tuple, tuple[tuple, int]]]:
+        """Of each chunk, exit state and count by entry state, for each state that the chunk before it can leave.
+
+        Only what lies before `end` depends on the entry state; `after` and `leaves` are the count and the exit state of the rest. A chunk
+        after one without a reset begins with a guess: the state that the AHEAD characters before it lead to from the start. Each round
+        runs all entry states that have come up, of all chunks at once; chunks of equal content are run once. The rounds end when each map
+        covers what the one before it leaves: after two or three, but for text that no few characters settle.
+        """
+        start = self.states[0]
+        maps: list[dict] = [{start: (leaves[i], int(after[i]))} if k == 0 else {} for i, k in enumerate(nth.tolist())]
+        ask = {(i, leaves[i - 1]) for i in np.flatnonzero(nth > 0).tolist() if leaves[i - 1] is not None}
+        blind = np.array([i for i in np.flatnonzero(nth > 0).tolist() if leaves[i - 1] is None], np.int64)
+        if len(blind):
+            back = np.minimum(AHEAD, lo[blind] - lo[blind - 1])
+            state, _ = self.run(codes, lo[blind] - back, back, np.zeros(len(blind), np.int64))
+            ask |= {(i, self.states[s]) for i, s in zip(blind.tolist(), state.tolist(), strict=True)}
+        numbers: dict[bytes, int] = {}
+        content = [numbers.setdefault(codes[i:j].tobytes(), len(numbers)) for i, j in zip(lo.tolist(), end.tolist(), strict=True)]
+        known: dict[tuple[int, tuple], tuple[tuple, int]] = {}
+        while ask:
+            new = list({(content[i], entry): i for i, entry in ask}.items())
+            index = np.array([i for _, i in new])
+            state, got = self.run(codes, lo[index], end[index] - lo[index], np.array([self.intern(s) for (_, s), _ in new]))
+            known |= {key: (self.states[s], n) for (key, _), s, n in zip(new, state.tolist(), got.tolist(), strict=True)}
+            todo, ask = list(ask), set()
+            while todo:
+                i, entry = todo.pop()
+                if entry in maps[i]:
+                    continue
+                if (hit := known.get((content[i], entry))) is None:
+                    ask.add((i, entry))
+                    continue
+                maps[i][entry] = to = (leaves[i] or hit[0], hit[1] + int(after[i]))
+                if i + 1 < len(nth) and nth[i + 1] > 0:
+                    todo.append((i + 1, to[0]))
+        return maps
+
+
+def ends_of(sizes: np.ndarray) -> np.ndarray:
+    """Place of the last of each run of so many."""
+    return np.cumsum(sizes) - 1
+
+
+def composed(maps: list[dict], nth: np.ndarray) -> np.ndarray:
+    """Count from the first chunk of a text to each of its chunks: a prefix scan that composes maps pairwise, in as many steps as the
+    logarithm of the chunks of a text. Row i of `to` and `count` holds the map of the chunks up to i by entry state.
+    """
+    place = [{s: k for k, s in enumerate(m)} for m in maps]
+    width = max(map(len, maps))
+    to, count = np.zeros((len(maps), width), np.int64), np.zeros((len(maps), width), np.int64)
+    for i, m in enumerate(maps):
+        follows = i + 1 < len(maps) and nth[i + 1] > 0
+        for k, (state, n) in enumerate(m.values()):
+            to[i, k], count[i, k] = place[i + 1][state] if follows else 0, n
+    step = 1
+    while len(late := np.flatnonzero(nth >= step)):
+        early = to[late - step]
+        count[late] = count[late - step] + np.take_along_axis(count[late], early, 1)
+        to[late] = np.take_along_axis(to[late], early, 1)
+        step *= 2
+    return count[:, 0]
+
 
 class Compiler:
     """Counts the tokens of many short words at once, each from the start state.
