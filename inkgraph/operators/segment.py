@@ -214,7 +214,8 @@ def symbol(points: np.ndarray) -> dict | None:
                 return {"kind": "arrow", "head": head.tolist(), "tail": tail.tolist()}
     if len(top) == 4 and all(abs((top[(k + 1) % 4] - top[k]) % n - n / 4) <= 1.5 for k in range(4)):
         w, h = np.ptp(points, axis=0) + 1
-        if 0.7 < w / h < 1.4 and hist[top].sum() >= 0.6 * hist.sum():
+        arms = [(k + j) % n for k in top for j in (-2, -1, 0, 1, 2)]  # a stroke of some pixels spreads around its peak
+        if 0.7 < w / h < 1.4 and hist[arms].sum() >= 0.75 * hist.sum():
             return {"kind": "plus", "centre": centre.round().astype(int).tolist()}
     return None
 
