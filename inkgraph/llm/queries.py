@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_filter
 from .decontaminate import contained_items
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .quality import quality
+from .resample import resample
 from .simhash import simhash_groups
 from .substring import substring_dedup
 from .token_count import token_counts
@@ -67,6 +70,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -142,6 +157,67 @@ FROM f
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op8_line_dedup": OP8_SQL, "op5_decontaminate": OP5_SQL, "op2_exact_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+_FOLDED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, url, instr(url, '://') AS mark FROM pages),
+t AS (SELECT *, CASE WHEN mark > 0 THEN regexp_extract(substr(url, mark + 3), '^[^?#]*') ELSE '' END AS tail FROM p),
+h AS (SELECT r, page_id, url, {_FOLDED.format("regexp_extract(tail, '^[^/]*')")} AS host, substr(tail, length(regexp_extract(tail, '^[^/]*')) + 1) AS path FROM t),
+rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in url_filter.RULES)}),
+terms(word, weight) AS (VALUES {", ".join(f"('{t}', {w})" for t, w in url_filter.TERMS.items())}),
+fit AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled
+        FROM h JOIN rules ON ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY r),
+w AS (SELECT r, unnest(regexp_extract_all(regexp_replace({_FOLDED.format("url")}, '%[0-9a-f][0-9a-f]', ' ', 'g'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS word FROM h),
+c AS (SELECT r, word, weight, count(*) AS n FROM w JOIN terms USING (word) GROUP BY ALL),
+s AS (SELECT r, sum(n) FILTER (WHERE weight >= {url_filter.LIMIT}) AS strict, sum(n) FILTER (WHERE weight < {url_filter.LIMIT}) AS soft, count(*) FILTER (WHERE weight < {url_filter.LIMIT}) AS kinds, sum(weight) AS total FROM c GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN total >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(strict, 0)::BIGINT AS strict_hits, coalesce(soft, 0)::BIGINT AS soft_hits, coalesce(kinds, 0) AS soft_distinct
+FROM h LEFT JOIN fit USING (r) LEFT JOIN s USING (r)
+"""
 
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_FOLDED.format("text")} AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, sum(n) AS total, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(n.total, 0) + v) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM u QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+_PLAIN_WORDS = f"unnest(regexp_extract_all({_FOLDED.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS word"
+
+#: crc: each byte is mixed in, then eight bits are shifted out.
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} FROM documents), t AS (SELECT {_PLAIN_WORDS} FROM benchmark),
+words AS (SELECT DISTINCT word, hex(encode(word)) AS x FROM (SELECT word FROM d UNION ALL SELECT word FROM t)),
+bits AS (SELECT word, list_transform(range(0, 4 * len(x)), lambda i: CASE WHEN i % 8 = 0 THEN ('0x' || substr(x, (i // 4 + 1)::INT, 2))::BIGINT ELSE 0 END) AS b FROM words),
+crc AS (SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, e: CASE WHEN xor(c, e) & 1 = 1 THEN xor(xor(c, e) >> 1, 3988292384) ELSE xor(c, e) >> 1 END), 4294967295) % 10000 AS bucket FROM bits),
+db AS (SELECT doc_id, bucket, count(*) AS n FROM d JOIN crc USING (word) GROUP BY ALL),
+s AS (SELECT bucket, sum(n) AS s FROM db GROUP BY bucket), tb AS (SELECT bucket, count(*) AS t FROM t JOIN crc USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE)
+                                     / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM tb) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN tb USING (bucket)),
+w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM db JOIN g USING (bucket) GROUP BY doc_id),
+r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM documents LEFT JOIN w USING (doc_id)),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(place) // 100 FROM o) THEN place END AS rank FROM o
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op2_exact_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_warc": OP10_SQL,
+        "op11_url_filter": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_resample": OP13_SQL,
+    }
