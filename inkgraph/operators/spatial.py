@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import chebyshev, overlap_ratio
+from ..functions.geometry import along_line, chebyshev, distance, offset_from_line, overlap_ratio
 
 
 def _cell(c: Column, side: float) -> Column:
@@ -63,3 +63,41 @@ def inside_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], side: flo
     b = boxes.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
     p = points.withColumn("cx", _cell(F.col("x"), side)).withColumn("cy", _cell(F.col("y"), side))
     return p.join(b, [*keys, "cx", "cy"]).where("x between x1 and x2 and y between y1 and y2").select(*keys, "id", "box")
+
+
+def near_segments(points: DataFrame, segments: DataFrame, reach: float, keys: list[str] = ()) -> DataFrame:
+    """keys, id1, id2, along, off: points (keys, id, x, y) beside segments (keys, id, x1, y1, x2, y2) and nearer than `reach` to their line.
+
+    `along` is where a point projects, from 0 to the segment's length, both included; `off` its signed distance as of `geometry.offset_from_line`. A segment is
+    dealt to the cells around points spaced by `reach` along it, so to a number of cells in proportion to its length. A segment without length meets none.
+    """
+    keys, side, c = list(keys), 2.0 * reach, F.col
+    s = segments.select(*keys, c("id").alias("id2"), *[c(n).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")]).withColumn("size", distance(c("x1"), c("y1"), c("x2"), c("y2"))).where("size > 0")
+    step = F.explode(F.sequence(F.lit(0), F.ceil(c("size") / reach).cast("int"))).alias("step")
+    s = s.select("*", step).withColumn("at", F.least(c("step") * reach, c("size")) / c("size"))
+    s = s.select("*", _cell(c("x1") + (c("x2") - c("x1")) * c("at"), side).alias("mx"), _cell(c("y1") + (c("y2") - c("y1")) * c("at"), side).alias("my"))
+    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    s = s.select("*", F.explode(around).alias("i")).select("*", F.explode(around).alias("j"))
+    s = s.select(*keys, "id2", "x1", "y1", "x2", "y2", "size", (c("mx") + c("i")).alias("cx"), (c("my") + c("j")).alias("cy")).distinct()
+    p = points.select(*keys, c("id").alias("id1"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).withColumn("cx", _cell(c("x"), side)).withColumn("cy", _cell(c("y"), side))
+    line = (c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y"))
+    met = p.join(s, [*keys, "cx", "cy"]).withColumn("along", along_line(*line)).withColumn("off", offset_from_line(*line))
+    return met.where((c("along") >= 0) & (c("along") <= c("size")) & (F.abs("off") < reach)).select(*keys, "id1", "id2", "along", "off")
+
+
+def near_boxes(boxes: DataFrame, reach: float, keys: list[str] = (), side: float | None = None) -> DataFrame:
+    """keys, id1, id2: pairs id1 < id2 of boxes (keys, id, x1, y1, x2, y2) whose gap is under `reach` in both directions.
+
+    Boxes grow by `reach` to the right and downwards and are dealt to the cells they then cover; a pair is made in the cell of the first corner of the grown
+    boxes' intersection only.
+    """
+    keys, side = list(keys), side or max(4.0 * reach, 32.0)
+    names = ["id", "x1", "y1", "x2", "y2"]
+    span = lambda lo, hi: F.sequence(_cell(F.col(lo), side), _cell(F.col(hi) + reach, side))
+    b = boxes.select(*keys, *names).withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
+    one, two = (b.select(*keys, "cx", "cy", *[F.col(n).alias(f"{p}_{n}") for n in names]) for p in "ab")
+    met = one.join(two, [*keys, "cx", "cy"]).where("a_id < b_id")
+    for k, cell in (("x", "cx"), ("y", "cy")):
+        first = F.greatest(f"a_{k}1", f"b_{k}1")
+        met = met.where((first < F.least(f"a_{k}2", f"b_{k}2") + reach) & (F.col(cell) == _cell(first, side)))
+    return met.select(*keys, F.col("a_id").alias("id1"), F.col("b_id").alias("id2"))

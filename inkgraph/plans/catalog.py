@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import ensemble, evaluate, graph, labels, select, spatial, stats
+from ..operators import agents, ensemble, evaluate, graph, labels, outline, select, spatial, stats, strokes
 from ..sources import dictionary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,3 +375,109 @@ list_sort(list(l_extendedprice))[(count(*) - 1) // 2 + 1] AS median FROM lineite
 def drawing_bond_length(spark, sf):
     """The forms for small groups, a drawing's bonds: an order's lines."""
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(stats.percentile75("l_quantity").alias("p75"), stats.lower_median("l_extendedprice").alias("median"))
+
+
+def page_cells(spark, sf) -> DataFrame:
+    """Pages of 32 by 32 cells, one an event; those of a large value are ink."""
+    e = F.col("event_id")
+    return table(spark, sf, "events").where("value > 40").select(F.expr("event_id div 1024").alias("page_no"), (e % 32).cast("int").alias("x"), F.expr("cast(event_id div 32 % 32 AS int)").alias("y"))
+
+
+#: Rings by closure over successors; what encloses a ring by the parity of crossings to the left of its first upright side.
+CURVES = """RECURSIVE ink AS (SELECT event_id // 1024 AS page_no, (event_id % 32)::INT AS x, (event_id // 32 % 32)::INT AS y FROM events WHERE value > 40),
+s AS (SELECT i.page_no, i.x + sx AS x, i.y + sy AS y, side, i.x + sx + dx AS ex, i.y + sy + dy AS ey FROM ink i, (VALUES (0, 0, 0, 1, 0, 0, -1), (1, 1, 0, 0, 1, 1, 0), (2, 1, 1, -1, 0, 0, 1), (3, 0, 1, 0, -1, -1, 0)) v(side, sx, sy, dx, dy, ox, oy)
+      WHERE NOT EXISTS (SELECT 1 FROM ink j WHERE j.page_no = i.page_no AND j.x = i.x + ox AND j.y = i.y + oy)),
+e AS (SELECT *, y::BIGINT * 67108864 + x * 4 + side AS id FROM s),
+f AS (SELECT a.page_no, a.id, arg_min(b.id, (b.side - a.side + 5) % 4) AS nxt FROM e a JOIN e b ON a.page_no = b.page_no AND a.ex = b.x AND a.ey = b.y GROUP BY ALL),
+r AS (SELECT page_no, id, nxt AS far FROM f UNION SELECT r.page_no, r.id, f.nxt FROM r JOIN f ON r.page_no = f.page_no AND r.far = f.id),
+k AS (SELECT page_no, id, min(far) AS curve_id FROM r GROUP BY ALL),
+own AS (SELECT page_no, curve_id, sum(x * ey - ex * y) / 2.0 AS area, count(*) AS length, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM k JOIN e USING (page_no, id) GROUP BY ALL),
+u AS (SELECT page_no, curve_id, least(y, ey) AS line, x FROM k JOIN e USING (page_no, id) WHERE side % 2 = 1),
+b AS (SELECT page_no, curve_id, line, x FROM u QUALIFY row_number() OVER (PARTITION BY page_no, curve_id ORDER BY line, x) = 1),
+w AS (SELECT b.page_no, b.curve_id, u.curve_id AS parent_id FROM b JOIN u ON b.page_no = u.page_no AND b.line = u.line AND u.x < b.x AND u.curve_id <> b.curve_id GROUP BY ALL HAVING count(*) % 2 = 1),
+p AS (SELECT w.page_no, w.curve_id, arg_min(w.parent_id, abs(own.area)) AS parent_id FROM w JOIN own ON own.page_no = w.page_no AND own.curve_id = w.parent_id GROUP BY ALL),
+curves AS (SELECT own.page_no, own.curve_id, parent_id, area, length, x1, y1, x2, y2 FROM own LEFT JOIN p USING (page_no, curve_id))"""
+
+
+@query(f"WITH {CURVES} SELECT * FROM curves")
+def outline_tree(spark, sf):
+    return outline.curves(outline.rings(page_cells(spark, sf), ["page_no"]), ["page_no"])
+
+
+@query(f"""WITH {CURVES}, gone AS (SELECT page_no, curve_id FROM curves WHERE area > 12), more AS (FROM gone UNION SELECT c.page_no, c.curve_id FROM curves c JOIN gone g ON c.page_no = g.page_no AND c.parent_id = g.curve_id)
+SELECT page_no, curve_id, length FROM curves ANTI JOIN more USING (page_no, curve_id)""")
+def deleted_curves(spark, sf):
+    tree = outline.curves(outline.rings(page_cells(spark, sf), ["page_no"]), ["page_no"]).withColumn("drop", F.col("area") > 12)
+    return graph.without_curves(tree, tree, ["page_no"], children=True).select("page_no", "curve_id", "length")
+
+
+def page_glyphs(spark, sf) -> DataFrame:
+    """A character a part, 200 a page."""
+    k = F.col("p_partkey")
+    box = [(k * 37 % 600).alias("x1"), (k * 53 % 450).alias("y1"), (k * 37 % 600 + 5 + F.col("p_size") % 3).alias("x2"), (k * 53 % 450 + 9 + F.col("p_size") % 4).alias("y2")]
+    return table(spark, sf, "part").select(F.expr("p_partkey div 200").alias("page_no"), k.alias("glyph_id"), F.substring("p_name", 1, 1).alias("a"), *box)
+
+
+@query("""WITH RECURSIVE g AS (SELECT p_partkey // 200 AS page_no, p_partkey AS id, p_name[1:1] AS a, p_partkey * 37 % 600 AS x1, p_partkey * 53 % 450 AS y1, p_partkey * 37 % 600 + 5 + p_size % 3 AS x2, p_partkey * 53 % 450 + 9 + p_size % 4 AS y2 FROM part),
+w AS (SELECT s_suppkey // 10 AS page_no, s_suppkey AS arrow_id, s_suppkey * 71 % 600 AS tx, s_suppkey * 29 % 450 AS ty, (s_suppkey * 131 + 90) % 600 AS hx, s_suppkey * 89 % 450 AS hy FROM supplier),
+e AS (SELECT a.page_no, a.id AS a, b.id AS b FROM g a JOIN g b USING (page_no) WHERE a.id <> b.id AND greatest(a.x1, b.x1) < least(a.x2, b.x2) + 11 AND greatest(a.y1, b.y1) < least(a.y2, b.y2) + 11),
+r AS (SELECT page_no, id, id AS seen FROM g UNION SELECT r.page_no, r.id, e.b FROM r JOIN e ON r.page_no = e.page_no AND r.seen = e.a),
+c AS (SELECT page_no, id, min(seen) AS component FROM r GROUP BY ALL),
+m AS (SELECT g.*, component, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM g JOIN c USING (page_no, id)),
+s AS (SELECT m.page_no, component, m.id, arrow_id, ((hy - ty) * (x - tx) - (hx - tx) * (y - ty)) / l AS off, ((hx - tx) * (x - tx) + (hy - ty) * (y - ty)) / l AS along, l
+      FROM m JOIN (SELECT *, sqrt((hx - tx) ** 2 + (hy - ty) ** 2) AS l FROM w) w ON m.page_no = w.page_no WHERE l > 0),
+b AS (SELECT page_no, component, arrow_id FROM s WHERE abs(off) < 22 AND along >= 0 AND along <= l QUALIFY row_number() OVER (PARTITION BY page_no, component ORDER BY abs(off), arrow_id, id) = 1),
+n AS (SELECT m.*, arrow_id, hx < tx OR (hx = tx AND hy < ty) AS back, tx, ty, hx, hy FROM m JOIN b USING (page_no, component) JOIN w USING (page_no, arrow_id)),
+o AS (SELECT page_no, id, a, x, y, arrow_id, x2 - x1 + 1 AS gw, y2 - y1 + 1 AS gh, CASE WHEN back THEN hx ELSE tx END::DOUBLE AS ax, CASE WHEN back THEN hy ELSE ty END::DOUBLE AS ay, CASE WHEN back THEN tx ELSE hx END::DOUBLE AS bx, CASE WHEN back THEN ty ELSE hy END::DOUBLE AS b_y FROM n),
+q AS (SELECT *, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) AS l FROM o),
+t AS (SELECT *, round(((bx - ax) * (x - ax) + (b_y - ay) * (y - ay)) / l, 6) AS along, round(-(((b_y - ay) * (x - ax) - (bx - ax) * (y - ay)) / l), 6) AS across,
+      round(gw * (abs(bx - ax) / l) + gh * (abs(b_y - ay) / l), 6) AS tw, round(gw * (abs(b_y - ay) / l) + gh * (abs(bx - ax) / l), 6) AS th FROM q),
+v AS (SELECT *, avg(tw) OVER a AS mean_w, avg(th) OVER a AS mean_h, coalesce(lag(across) OVER d + avg(th) OVER a / 2 < across, false)::INT AS fresh FROM t
+      WINDOW a AS (PARTITION BY page_no, arrow_id), d AS (PARTITION BY page_no, arrow_id ORDER BY across, along, id)),
+z AS (SELECT *, sum(fresh) OVER (PARTITION BY page_no, arrow_id ORDER BY across, along, id) AS line FROM v),
+y AS (SELECT *, CASE WHEN (along - tw / 2) - (lag(along) OVER l + lag(tw) OVER l / 2) > mean_w / 2 THEN ' ' || a ELSE a END AS part FROM z WINDOW l AS (PARTITION BY page_no, arrow_id, line ORDER BY along, id))
+SELECT page_no, arrow_id, line::BIGINT AS line, string_agg(part, '' ORDER BY along, id) AS agent FROM y GROUP BY ALL""")
+def agent_lines(spark, sf):
+    k = F.col("s_suppkey")
+    arrows = table(spark, sf, "supplier").select(F.expr("s_suppkey div 10").alias("page_no"), k.alias("arrow_id"), (k * 71 % 600).alias("tail_x"), (k * 29 % 450).alias("tail_y"), ((k * 131 + 90) % 600).alias("head_x"), (k * 89 % 450).alias("head_y"))
+    return agents.agent_strings(page_glyphs(spark, sf), arrows, ["page_no"])
+
+
+@query("""WITH d AS (SELECT p_partkey // 100 AS page_no, p_partkey AS id, (p_partkey * 37 % 60)::DOUBLE AS x1, (p_partkey * 53 % 60)::DOUBLE AS y1, p_partkey % 7 - 3 AS ux, p_partkey % 5 - 2 AS uy, 1 + p_size / 10.0 AS k FROM part),
+s AS (SELECT page_no, id, x1, y1, x1 + ux * k AS x2, y1 + uy * k AS y2, round(sqrt((ux * k) ** 2 + (uy * k) ** 2), 6) AS size FROM d),
+ink AS (SELECT DISTINCT l_partkey // 100 AS page_no, round(l_extendedprice)::BIGINT % 60 AS x, (l_orderkey * 7 + l_linenumber) % 60 AS y FROM lineitem),
+f AS (SELECT s.page_no, s.id AS short, t.id AS long, s.size AS short_size, s.x1 AS sx1, s.y1 AS sy1, s.x2 AS sx2, s.y2 AS sy2, t.x1, t.y1, t.x2, t.y2, sqrt((t.x2 - t.x1) ** 2 + (t.y2 - t.y1) ** 2) AS l,
+      ((t.y2 - t.y1) * ((s.x1 + s.x2) / 2 - t.x1) - (t.x2 - t.x1) * ((s.y1 + s.y2) / 2 - t.y1)) / l AS off, ((t.x2 - t.x1) * ((s.x1 + s.x2) / 2 - t.x1) + (t.y2 - t.y1) * ((s.y1 + s.y2) / 2 - t.y1)) / l AS along,
+      round(greatest(abs((t.y2 - t.y1) * (s.x1 - t.x1) - (t.x2 - t.x1) * (s.y1 - t.y1)), abs((t.y2 - t.y1) * (s.x2 - t.x1) - (t.x2 - t.x1) * (s.y2 - t.y1))) / l, 6) AS gap
+      FROM s JOIN s t ON s.page_no = t.page_no AND s.id <> t.id AND s.size > 0 AND t.size > 0 AND (t.size > s.size OR (t.size = s.size AND t.id < s.id))
+      WHERE ((s.x2 - s.x1) * (t.x2 - t.x1) + (s.y2 - s.y1) * (t.y2 - t.y1)) / (s.size * t.size) < -0.95),
+n AS (SELECT *, unnest([0.0625, 0.1875, 0.3125, 0.4375, 0.5625, 0.6875, 0.8125, 0.9375]::DOUBLE[]) AS at_ FROM f WHERE off < 0 AND off > -8.3 AND along >= 0 AND along <= l AND gap < 8.3),
+o AS (SELECT *, sx1 + (sx2 - sx1) * at_ AS px, sy1 + (sy2 - sy1) * at_ AS py FROM n),
+q AS (SELECT *, ((x2 - x1) * (px - x1) + (y2 - y1) * (py - y1)) / l / l AS part FROM o),
+h AS (SELECT page_no, short, long, floor(round((px + x1 + (x2 - x1) * part) / 2, 6))::BIGINT AS x, floor(round((py + y1 + (y2 - y1) * part) / 2, 6))::BIGINT AS y FROM q),
+i AS (SELECT page_no, short, long FROM h SEMI JOIN ink USING (page_no, x, y) GROUP BY ALL HAVING count(*) >= 4),
+b AS (SELECT f.page_no, short, f.long, gap, short_size, (x2 - x1) * (sx2 - x1) + (y2 - y1) * (sy2 - y1) AS first, (x2 - x1) * (sx1 - x1) + (y2 - y1) * (sy1 - y1) AS last, l, x1, y1, x2, y2 FROM f SEMI JOIN i USING (page_no, short, long) QUALIFY row_number() OVER (PARTITION BY page_no, short ORDER BY gap, f.long) = 1),
+r AS (SELECT *, count(*) OVER (PARTITION BY page_no, long) AS members FROM b ANTI JOIN (SELECT page_no, short AS long FROM b) z USING (page_no, long) QUALIFY row_number() OVER (PARTITION BY page_no, long ORDER BY short_size DESC, gap, short) = 1),
+a AS (SELECT *, least(0, first / l) AS lo, greatest(l, last / l) AS hi, (x2 - x1) / l AS ux, (y2 - y1) / l AS uy FROM r)
+SELECT page_no, long AS id, round(x1 + ux * lo - uy * gap / 2, 5) AS x1, round(y1 + uy * lo + ux * gap / 2, 5) AS y1, round(x1 + ux * hi - uy * gap / 2, 5) AS x2, round(y1 + uy * hi + ux * gap / 2, 5) AS y2, gap AS width, members FROM a""")
+def stroke_bonds(spark, sf):
+    k, n = F.col("p_partkey"), 1 + F.col("p_size") / 10.0
+    x, y = (k * 37 % 60).cast("double"), (k * 53 % 60).cast("double")
+    sides = table(spark, sf, "part").select(F.expr("p_partkey div 100").alias("page_no"), k.alias("id"), x.alias("x1"), y.alias("y1"), (x + (k % 7 - 3) * n).alias("x2"), (y + (k % 5 - 2) * n).alias("y2"))
+    cells = table(spark, sf, "lineitem").select(F.expr("l_partkey div 100").alias("page_no"), (F.round("l_extendedprice").cast("long") % 60).alias("x"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 60).alias("y")).distinct()
+    got = strokes.strokes(sides, cells, 8.3, ["page_no"])
+    return got.select("page_no", "id", *[F.round(c, 5).alias(c) for c in ("x1", "y1", "x2", "y2")], "width", "members")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS curve_id, l_quantity AS x, (l_suppkey % 12)::DOUBLE AS y FROM lineitem), c AS (SELECT o_orderkey AS curve_id, o_custkey AS page_no, o_totalprice / 1000 - 50 AS area FROM orders),
+g AS (SELECT page_no, curve_id, area, max(x) - min(x) > max(y) - min(y) AS wide FROM p JOIN c USING (curve_id) WHERE area > 0 AND area <= 300 GROUP BY ALL HAVING count(*) > 2),
+m AS (SELECT g.*, x, y FROM g JOIN p USING (curve_id)),
+e AS (SELECT page_no, curve_id, area, CASE WHEN wide THEN arg_min(x, (x, y)) ELSE arg_min(x, (y, x)) END AS x1, CASE WHEN wide THEN arg_min(y, (x, y)) ELSE arg_min(y, (y, x)) END AS y1,
+      CASE WHEN wide THEN arg_max(x, (x, -y)) ELSE arg_max(x, (y, -x)) END AS x2, CASE WHEN wide THEN arg_max(y, (x, -y)) ELSE arg_max(y, (y, -x)) END AS y2 FROM m GROUP BY page_no, curve_id, area, wide),
+o AS (SELECT e.*, max(CASE WHEN x1 <> x2 OR y1 <> y2 THEN abs((y2 - y1) * (x - x1) - (x2 - x1) * (y - y1)) / sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) END) AS off FROM e JOIN p USING (curve_id) GROUP BY ALL)
+SELECT page_no, curve_id, x1, y1, x2, y2 FROM o WHERE area < 40 OR off < 2.5""")
+def small_straight_curves(spark, sf):
+    points = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("curve_id"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_suppkey") % 12).cast("double").alias("y"))
+    curves = table(spark, sf, "orders").select(F.col("o_orderkey").alias("curve_id"), F.col("o_custkey").alias("page_no"), (F.col("o_totalprice") / 1000 - 50).alias("area"))
+    points = points.join(curves.select("curve_id", "page_no"), "curve_id")
+    return strokes.small_bonds(points, curves, ["page_no"], 300.0, 40.0, 2.5)
