@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut
+from . import spatial
 
 #: What a run may vary: jaggy thinning or not, rounds of page clean-up, automatic resolution or 150.
 GRID = {"jaggy": [False, True], "unpaper": [0, 1, 2], "resolution": [0, 150]}
@@ -21,44 +21,35 @@ def option_grid(spark: SparkSession, grid: dict[str, list] | None = None) -> Dat
     return out.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("run_id"), *order)
 
 
-def _claim(least: float, differ: float):
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["run_id", "record_ord"], kind="stable").reset_index(drop=True)
-        x1, y1, x2, y2, conf, run_id = (page[c].to_numpy() for c in ("x1", "y1", "x2", "y2", "confidence", "run_id"))
-        w, h = x2 - x1, y2 - y1
-        free = [True] * len(page)
-        chosen = []
-        # later records by left edge: only those that can overlap are looked at
-        for i in range(len(page)):
-            if not free[i]:
-                continue
-            free[i], best = False, i
-            if w[i] > 0 and h[i] > 0:
-                later = ((run_id > run_id[i]) & (w > 0) & (h > 0) & (x1 < x2[i]) & (x2 > x1[i]) & (y1 < y2[i]) & (y2 > y1[i])).nonzero()[0]
-                for j in later:
-                    if not free[j]:
-                        continue
-                    both = (min(x2[i], x2[j]) - max(x1[i], x1[j])) * (min(y2[i], y2[j]) - max(y1[i], y1[j]))
-                    union = w[i] * h[i] + w[j] * h[j] - both
-                    close = abs(w[i] - w[j]) < differ * min(w[i], w[j]) and abs(h[i] - h[j]) < differ * min(h[i], h[j])
-                    if both > least * union and close:
-                        free[j] = False
-                        if conf[j] > conf[best]:
-                            best = j
-            chosen.append(best)
-        return page.iloc[chosen]
-
-    return run
-
-
 def claim(records: DataFrame, keys: list[str], least: float = 0.9, differ: float = 0.1) -> DataFrame:
     """The records (keys, run_id, record_ord, x1, y1, x2, y2, confidence, ...) left after merging the runs of each page.
 
     In order of run and record, a record that is still free claims the free records of later runs that overlap it by more than `least`
-    and differ by less than `differ` in width and height; the most confident of them, the first on a tie, stands for all. What a
-    record claims depends on what went before, so a page is one group; a page's records are few.
+    and differ by less than `differ` in width and height; the most confident of them, the first on a tie, stands for all.
+
+    Rivals are found by grid cell. Whether a record is free hangs on its earlier rivals alone, so it is settled in the first round in which they are:
+    claimed as soon as one of them is free, free itself once none is left. There are as many rounds as the longest chain of rivals has links.
     """
-    return records.groupBy(*keys).applyInPandas(_claim(least, differ), records.schema)
+    c, keys, rest = F.col, list(keys), [n for n in records.columns if n not in keys]
+    own = F.struct("run_id", "record_ord", *[n for n in rest if n not in ("run_id", "record_ord")])  # rows that repeat run and record are told apart by the rest
+    all_ = records.withColumn("_id", own)
+    boxes = all_.select(*keys, c("_id").alias("id"), "x1", "y1", "x2", "y2")
+    met = spatial.overlapping(boxes, least, keys, differ=differ).where("id1.run_id < id2.run_id")
+    pairs = cut(met.select(*keys, c("id1").alias("early"), c("id2").alias("late")))
+    lates = pairs.select(*keys, "late").distinct()
+    heads = fresh = cut(pairs.select(*keys, c("early").alias("head")).distinct().join(lates.withColumnRenamed("late", "head"), [*keys, "head"], "left_anti"))
+    left, undecided = pairs, lates
+    while fresh.head(1):
+        gone = cut(left.join(fresh.withColumnRenamed("head", "early"), [*keys, "early"], "left_semi").select(*keys, "late").distinct())
+        left = cut(left.join(gone, [*keys, "late"], "left_anti").join(gone.withColumnRenamed("late", "early"), [*keys, "early"], "left_anti"))
+        undecided = undecided.join(gone, [*keys, "late"], "left_anti")
+        fresh = cut(undecided.join(left.select(*keys, "late").distinct(), [*keys, "late"], "left_anti").select(*keys, c("late").alias("head")))
+        undecided = cut(undecided.join(fresh.withColumnRenamed("head", "late"), [*keys, "late"], "left_anti"))
+        heads = heads.unionByName(fresh)
+    owner = pairs.join(heads.withColumnRenamed("head", "early"), [*keys, "early"], "left_semi").groupBy(*keys, c("late").alias("_id")).agg(F.min("early").alias("_head"))
+    best = F.min(F.struct((-c("confidence")).alias("least"), "_id")).alias("best")
+    chosen = all_.select(*keys, "_id", "confidence").join(owner, [*keys, "_id"], "left").groupBy(*keys, F.coalesce("_head", "_id").alias("_head")).agg(best)
+    return chosen.select(*keys, *[c(f"best._id.{n}").alias(n) for n in rest]).select(*records.columns)
 
 
 def first_rows(rows: DataFrame, take: int, order: list[Column]) -> DataFrame:

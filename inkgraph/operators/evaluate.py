@@ -46,22 +46,59 @@ def dot(features: str, weights: str) -> Column:
     return F.aggregate(F.zip_with(features, weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def feature_means(results: DataFrame) -> DataFrame:
+    """file_id, rows of (res, means, right) of `results` (file_id, res_iter, identity_key, target, features): for each resolution of a file the mean of
+    each feature and the number of distinct right keys. All that the choice of resolutions and recall need; a file has few resolutions.
+    """
+    each = results.select("file_id", "res_iter", F.posexplode("features").alias("k", "v")).groupBy("file_id", "res_iter", "k").agg(F.avg("v").alias("m"))
+    means = each.groupBy("file_id", "res_iter").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("means"))
+    right = results.where("target = 1").groupBy("file_id", "res_iter").agg(F.count_distinct("identity_key").alias("right"))
+    whole = means.join(right, ["file_id", "res_iter"], "left").select("file_id", F.struct(F.col("res_iter").alias("res"), "means", F.coalesce("right", F.lit(0)).alias("right")).alias("r"))
+    return whole.groupBy("file_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+
+
+def hits(means: DataFrame, crowd: np.ndarray, places: int = 9) -> np.ndarray:
+    """Right keys that each candidate's weights (a column of crowd) find in all files, choosing resolutions as `model_recall` does; means is of `feature_means`."""
+    import pandas as pd
+
+    def run(batches):
+        total = np.zeros(crowd.shape[1], np.int64)
+        for pdf in batches:
+            for rows in pdf["rows"]:
+                res, right = np.array([r["res"] for r in rows]), np.array([r["right"] for r in rows])
+                score = np.round(np.array([r["means"] for r in rows], float) @ crowd, places)
+                usual = np.isin(res, (2, 3))[:, None]
+                # the first of the best in this order: score, resolution 2 or 3, smaller resolution; a score must be over 0, or 0 at 2 or 3
+                able = (score > 0) | ((score == 0) & usual)
+                order = np.lexsort((np.broadcast_to(res[:, None], score.shape), ~np.broadcast_to(usual, score.shape), -score), axis=0)[0]
+                at = np.where(np.take_along_axis(able, order[None, :], 0)[0], order, -1)
+                start = np.flatnonzero(res == 0)
+                total += np.where(at >= 0, right[at], right[start[0]] if len(start) else 0)
+        yield pd.DataFrame({"candidate": np.arange(len(total)), "n": total})
+
+    out = np.zeros(crowd.shape[1], np.int64)
+    for r in means.mapInPandas(run, "candidate long, n long").groupBy("candidate").agg(F.sum("n").alias("n")).collect():  # a number a candidate
+        out[r["candidate"]] = r["n"]
+    return out
+
+
 def train_weights(results: DataFrame, total: int, ideal: float, size: int, population: int = 100, elite: int = 10, rounds: int = 1000, tolerance: float = 0.001, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights for the feature array of `results` (file_id, res_iter, identity_key, target, features) and their recall.
 
-    Unit vectors; each round keeps the best, adds as many random ones, and fills up with one-point crossovers of any two. The whole
-    population is scored in one job: candidates are a small table that is joined to every record, as many rows as the population.
+    Unit vectors; each round keeps the best, adds as many random ones, and fills up with one-point crossovers of any two. Records are read once, for
+    their means; a round reads those, a row a file, and scores the whole population by one product of matrices.
     """
-    spark, rng = results.sparkSession, np.random.default_rng(seed)
+    from ..sources.storage import cut
+
+    rng = np.random.default_rng(seed)
+    means = cut(feature_means(results))
     crowd = [unit(rng.uniform(-1, 1, size)) for _ in range(population)]
     best, recall = crowd[0], -1.0
     for _ in range(rounds):
-        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(crowd)], "candidate int, weights array<double>")
-        scored = results.crossJoin(F.broadcast(table)).withColumn("score", dot("features", "weights"))
-        got = {r["candidate"]: r["recall"] for r in model_recall(scored, total, by=["candidate"]).collect()}
-        order = sorted(range(len(crowd)), key=lambda i: (-got.get(i, 0.0), i))
-        if got.get(order[0], 0.0) > recall:
-            best, recall = crowd[order[0]], got.get(order[0], 0.0)
+        got = hits(means, np.stack(crowd, axis=1)) / total
+        order = sorted(range(len(crowd)), key=lambda i: (-got[i], i))
+        if got[order[0]] > recall:
+            best, recall = crowd[order[0]], float(got[order[0]])
         if recall >= ideal - tolerance:
             break
         nxt = [crowd[i] for i in order[:elite]] + [unit(rng.uniform(-1, 1, size)) for _ in range(elite)]

@@ -346,7 +346,15 @@ def option_grid(spark, sf):
     return table(spark, sf, "region").select("r_regionkey").crossJoin(F.broadcast(ensemble.option_grid(spark)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOX}, n AS (SELECT box.*, row_number() OVER (PARTITION BY page_no ORDER BY p_partkey % 3, id) AS k, (p_partkey % 3)::INT AS run_id, round(p_retailprice / 1000, 6) AS confidence FROM box JOIN part ON id = p_partkey),
+p AS (SELECT a.page_no, a.k AS early, b.k AS late FROM n a JOIN n b ON a.page_no = b.page_no AND a.run_id < b.run_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2
+      WHERE (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0.3 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)))
+      AND abs((a.x2 - a.x1) - (b.x2 - b.x1)) < 0.5 * least(a.x2 - a.x1, b.x2 - b.x1) AND abs((a.y2 - a.y1) - (b.y2 - b.y1)) < 0.5 * least(a.y2 - a.y1, b.y2 - b.y1)),
+l AS (SELECT n.page_no, n.k, coalesce(list(early) FILTER (WHERE early IS NOT NULL), []) AS rivals FROM n LEFT JOIN p ON p.page_no = n.page_no AND p.late = n.k GROUP BY ALL),
+h AS (SELECT page_no, 1::BIGINT AS k, [1::BIGINT] AS heads FROM l WHERE k = 1 UNION ALL SELECT h.page_no, l.k, CASE WHEN list_has_any(heads, rivals) THEN heads ELSE list_append(heads, l.k) END FROM h JOIN l ON l.page_no = h.page_no AND l.k = h.k + 1),
+f AS (SELECT page_no, arg_max(heads, k) AS heads FROM h GROUP BY page_no),
+o AS (SELECT l.page_no, l.k, coalesce(list_min(list_intersect(heads, rivals)), l.k) AS head FROM l JOIN f USING (page_no))
+SELECT page_no, id, x1, y1, x2, y2, run_id, confidence, record_ord FROM (SELECT n.*, id AS record_ord, row_number() OVER (PARTITION BY o.page_no, head ORDER BY confidence DESC, n.k) AS nth FROM o JOIN n USING (page_no, k)) WHERE nth = 1""")
 def greedy_claim(spark, sf):
     boxes = part_boxes(spark, sf).withColumn("record_ord", F.col("id"))
     return ensemble.claim(boxes, ["page_no"], least=0.3, differ=0.5)
