@@ -1,8 +1,8 @@
 """Vector kernels over the bytes of Arrow string columns: words, word hashes, window hashes.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, that is `[^\\x20\\x09-\\x0D]+`.
-A word's hash is a polynomial in random numbers of its bytes, a window's one in the hashes of its
-words; prefix sums and inverse powers give all of them without a loop over words.
+Hashes go through SplitMix64's finaliser at each step, so they are no linear function of bytes or words, of which
+structured texts could make equal ones.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: A-Z to a-z, all else as it is.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+ODD = U64(0x9E3779B97F4A7C15)
 #: Bytes handled at once; keeps temporaries in cache and bounds memory for long texts.
 STEP = 1 << 19
 
@@ -28,29 +30,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class Poly:
-    """Powers of an odd base modulo 2^64 and of its inverse, as far as needed."""
-
-    def __init__(self, seed: int):
-        self.base = int(mix64(np.array([seed * 2 + 1], U64))[0]) | 5
-        self.table = mix64(np.arange(256, dtype=U64) + U64(seed * 1000 + 17)) | U64(1)
-        self.up = self.down = np.ones(1, U64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            inverse = pow(self.base, -1, 1 << 64)
-            self.up, self.down = (np.concatenate([np.ones(1, U64), np.full(size, b, U64)]).cumprod(dtype=U64) for b in (self.base, inverse))
-        return self.up[:n], self.down[:n]
-
-
-_POLY: dict[int, Poly] = {}
-
-
-def poly(seed: int) -> Poly:
-    return _POLY.setdefault(seed, Poly(seed))
-
-
 def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,34 +61,47 @@ def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _keys(seed: int, n: int) -> list[np.uint64]:
+    return [U64(x) for x in mix64(np.arange(n, dtype=U64) + U64(seed * 1009 + 1)).tolist()]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    p, out, i = poly(seed), np.empty(len(starts), U64), 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + STEP, "right")))
-        hi = ends[j - 1]
-        up, down = p.powers(int(hi - lo) + 1)
-        sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(p.table[data[lo:hi]] * up[:-1], out=sums[1:])
-        s = starts[i:j] - lo
-        out[i:j] = (sums[ends[i:j] - lo] - sums[s]) * down[s] + (ends[i:j] - starts[i:j]).astype(U64)
-        i = j
-    return mix64(out)
+    """A word's hash mixes its bytes as two numbers, so words of up to 8 bytes and the same length never share one; over 16 bytes XXH3 takes them all."""
+    low, high, size = _keys(seed, 3)
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    at = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the number of eight bytes from each place on
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+    out = np.empty(len(starts), U64)
+    for i in range(0, len(starts), STEP // 8):
+        s = starts[i : i + STEP // 8]
+        n = ends[i : i + STEP // 8] - s
+        one, two = mix64((at[s] & mask[np.minimum(n, 8)]) ^ low), mix64((at[s + np.minimum(n, 8)] & mask[np.clip(n - 8, 0, 8)]) ^ high)
+        out[i : i + len(s)] = mix64(one * ODD + (two >> U64(29) ^ two) + n.astype(U64) * size)
+    view = memoryview(padded)
+    for k in np.flatnonzero(ends - starts > 16).tolist():
+        out[k] = xxh3_64_intdigest(view[starts[k] : ends[k]], int(low))
+    return out
 
 
 def window_hashes(hashes: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """Hash of each window of `length` consecutive hashes, also across texts; mask those with `inside`."""
-    n = len(hashes) - length + 1
+    """Hash of each window of `length` consecutive hashes, also across texts; mask those with `inside`.
+
+    Windows of 1, 2, 4 ... are mixed of two halves each; those of the powers in `length` follow one another.
+    """
+    n, step = len(hashes) - length + 1, STEP // 4
     if n <= 0:
         return np.zeros(0, U64)
-    out, p, step = np.empty(n, U64), poly(seed), STEP // 4
+    out, (key, link) = np.empty(n, U64), _keys(seed, 2)
     for i in range(0, n, step):
         part = hashes[i : min(i + step, n) + length - 1]
-        up, down = p.powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum(part * up[: len(part)], out=sums[1:])
-        k = len(part) - length + 1
-        out[i : i + k] = mix64((sums[length:] - sums[:k]) * down[:k])
+        m, half, whole, used = len(part) - length + 1, mix64(part ^ key), None, 0
+        for k in range(length.bit_length()):
+            if k:
+                half = mix64(half[: -(1 << k - 1)] * ODD + half[1 << k - 1 :])
+            if length >> k & 1:
+                whole = half[:m] if whole is None else mix64(whole * (link | U64(1)) + half[used : used + m])
+                used += 1 << k
+        out[i : i + m] = whole
     return out
 
 

@@ -30,11 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str, how: str = "inner") -> DataFrame:
     """Join rows with groups, which has one row a key and in `count` its number of rows.
 
     Keys with over 1/HOT_KEYS of all rows are fewer than HOT_KEYS: these few are broadcast.
-    The others are shuffled; none of them can fill a task. `key` is never null here.
+    The others are shuffled; none of them can fill a task. `key`, a column or several, is never null here.
     """
     total = groups.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) > max(total // HOT_KEYS, 100)

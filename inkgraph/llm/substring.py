@@ -12,7 +12,7 @@ same exchange.
    from another block.
 2. A block extends its repeated anchors to the windows that hold one, settles repeats inside the block, and sends
    the first occurrence of each distinct window, under 96 bits of hash, to buckets. A bucket answers each block
-   with the positions of windows which start earlier in another block. Windows are compared by these bits, never by words.
+   with the positions of windows which start earlier in another block. The bits are of two hashes of all words, see `_bytes`, that share no step.
 3. A block marks the words its repeated windows cover and drops them.
 
 A passage that a third of all documents hold is one hash for each block, not a row for each document.

@@ -152,3 +152,37 @@ def test_word_kernels():
         assert (B.word_hashes(data, s, e, 1) == h).all() and (B.window_hashes(w, 2, 1) == win).all()
     finally:
         B.STEP = step
+
+
+def thue_morse(n):
+    """A word over a and b and its complement: polynomials modulo a power of two take the same value at both, whatever their base."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_and_passages_do_not_collide(spark):
+    from inkgraph.llm.near_dedup import near_groups
+
+    one, two = thue_morse(10)
+    text = lambda x: " ".join([*(f"w{i}" for i in range(13)), x, *(f"v{i}" for i in range(12))])
+    words = [" ".join("red" if c == "a" else "blue" for c in x) for x in thue_morse(9)]
+    df = spark.createDataFrame([(1, text(one)), (2, text(two)), (3, words[0]), (4, words[1])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(df.where("doc_id < 3")).collect()}
+    assert got == {1: (26, 0), 2: (26, 0)}
+    whole = {r.doc_id: r.n_removed for r in substring_dedup(df.where("doc_id > 2"), window=512).collect()}
+    assert whole == {3: 0, 4: 0}  # windows as long as the texts
+    wide = near_groups(df, width=26)
+    assert {r.doc_id: r.component_id for r in wide.where("doc_id < 3").collect()} == {1: 1, 2: 2}
+    five = {r.doc_id: r.component_id for r in near_groups(df).collect()}
+    assert five[1] == 1 and five[2] == 2 and five[4] == 3  # words in the same patterns of five are alike
+
+
+def test_window_hashes_tell_all_windows_apart():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 3, 4000).astype(np.uint64)
+    for length in (1, 2, 3, 5, 8, 20, 31):
+        got = B.window_hashes(words, length, 4)
+        seen = {}
+        assert all(seen.setdefault(tuple(words[i : i + length].tolist()), h) == h for i, h in enumerate(got.tolist())) and len(set(seen.values())) == len(seen)
