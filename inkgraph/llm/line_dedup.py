@@ -3,8 +3,11 @@
 A line hash is taken from the line's MD5, a rolling hash from the hashes of two neighbouring lines. A line whose rolling hash
 is 0 modulo `spread`, or that repeats the line before it, is a cut. Chunks end after cuts, but hold `least` lines: within a run of cuts
 only every `least`-th counts. So inserting or removing lines moves only the borders next to them, and runs of one line fall into equal chunks.
-Chunks that occur again, anywhere, are removed but for their first occurrence, after their bytes have been compared. Only a text's last chunk
-may be shorter than `least` lines; it is never removed.
+Chunks that occur again, anywhere, are removed but for their first occurrence, after their bytes have been compared. The last lines of a text are no
+chunk of their own if they are fewer than `least`, so whole copies go whole; only a text of fewer lines is a shorter chunk, which is never removed.
+
+Of a run of lines that occurs again in other surroundings, what lies before its first border and after its last stays: some 3 lines at either
+end. Of random lines, runs of 8 lose 0.32 of their lines, of 16 0.60, of 32 0.80, of 64 0.90 (measured).
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def chunk_array(lines: Column, spread: int, least: int) -> Column:
         def sign(h: Column, i: Column) -> Column:
             before = F.try_element_at(hashes, F.greatest(i, F.lit(1)))
             rolling = F.shiftright(before * 1000003 + h, 6)
-            return F.when((i >= least - 1) & ((h == before) | (rolling % spread == 0)), "1").otherwise("0")
+            return F.when((i >= least - 1) & (i < F.size(hashes) - least) & ((h == before) | (rolling % spread == 0)), "1").otherwise("0")
 
         # from left to right, a cut that counts makes the next least - 1 lines no cuts
         signs = F.regexp_replace(F.array_join(F.transform(hashes, sign), ""), f"1.{{{least - 1}}}", "1" + "0" * (least - 1))

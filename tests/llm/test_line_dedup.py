@@ -15,7 +15,7 @@ def plain(rows):
         for i, line in enumerate(lines):
             h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
             cut = before is not None and (h == before or ((before * 1000003 + h) >> 6) % 3 == 0)
-            if cut and i - start >= 1 or i == len(lines) - 1:
+            if cut and i - start >= 1 and i < len(lines) - 2 or i == len(lines) - 1:
                 out.append((start, lines[start : i + 1]))
                 start = i + 1
             before = h
@@ -55,3 +55,20 @@ def test_runs_of_one_line_shrink(spark):
     rows = [(1, "x\n" + "same\n" * 40 + "y"), (2, "z\n" + "same\n" * 41 + "y")]
     got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].n_removed >= 34 and got[2].n_removed >= 36 and got[1].kept_text.startswith("x\nsame") and got[2].kept_text.startswith("z\n")
+
+
+def test_whole_copies_go_whole(spark):
+    rows = [(n * 10 + k, "\n".join(f"{n} line {i}" for i in range(n))) for n in range(2, 30) for k in (1, 2)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[n * 10 + 1].n_removed == 0 and got[n * 10 + 2].n_removed == n for n in range(2, 30))
+
+
+def test_long_runs_in_other_surroundings_go_but_for_their_ends(spark):
+    own = lambda k, n: [f"own {k} {i}" for i in range(n)]
+    rows, total = [], 0
+    for k in range(40):
+        run = [f"run {k} {i}" for i in range(64)]
+        rows += [(2 * k, "\n".join(own(4 * k, 5) + run + own(4 * k + 1, 7))), (2 * k + 1, "\n".join(own(4 * k + 2, 3 + k % 9) + run + own(4 * k + 3, 4)))]
+        total += len(run)
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_removed for r in got) >= 0.88 * total and all(r.n_removed == 0 for r in got if r.doc_id % 2 == 0)
