@@ -160,6 +160,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+#: A sampled text brings up to so many trigram buckets to the driver: 33 KB, so `sample` texts some 100 MB at most. Scoring sums over all.
+MOST_GRAMS = 4096
 #: A text's trigram shares are small; this brings their sum near that of the statistics.
 GAIN = 20.0
 
@@ -196,12 +198,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             part = data[off[i] : off[i + 1]]
             k, n = np.unique(grams(part), return_counts=True) if len(part) > 2 else (np.zeros(0, np.int64), np.zeros(0))
-            rows.append((np.concatenate([k, extra[i]]).astype("<i4").tobytes(), np.concatenate([n / max(n.sum(), 1) * GAIN, np.ones(extra.shape[1])]).astype("<f4").tobytes()))
+            value = n / max(n.sum(), 1) * GAIN
+            if len(k) > MOST_GRAMS:  # some of them, by a hash, stand for all
+                some = np.sort(np.argsort(B.mix64(k.astype(np.uint64) + np.uint64(len(part))))[:MOST_GRAMS])
+                k, value = k[some], value[some] * (value.sum() / value[some].sum())
+            rows.append((np.concatenate([k, extra[i]]).astype("<i4").tobytes(), np.concatenate([value, np.ones(extra.shape[1])]).astype("<f4").tobytes()))
         yield pa.record_batch([pa.array(pattern(votes(stats))), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), batch.column(1)], ["pattern", "index", "share", "draw"])
 
 
 def fit_quality(docs: DataFrame, text: str = "text", sample: int = 3000) -> Scorer:
-    """EM over the votes on all texts, then the scorer on `sample` distinct ones of them, or all (a hash of the text decides which)."""
+    """EM over the votes on all texts, then the scorer on `sample` distinct ones of them, or all (a hash of the text decides which).
+
+    Rows and bytes that reach the driver are bounded: 1.2 times `sample` rows of up to MOST_GRAMS buckets.
+    """
     base = docs.select(F.col(text).cast("string").alias("text"))
     counted = base.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     v = unpattern(np.array([r["pattern"] for r in counted], np.int64), len(STATS))
