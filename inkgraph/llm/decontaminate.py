@@ -109,24 +109,41 @@ def _probe(width: int, bits: int, table):
 
 
 def _verify(width: int, share: Fraction):
-    """doc_id, item_id, key, item_text, text: the pairs that hold, with n_shared and n_shingles."""
+    """doc_id, key, items, text: the pairs of a text and one of its items that hold, with n_shared and n_shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in (part for whole in batches for part in B.slices(whole, 4)):
-            texts, items, rows = Texts(batch.column(4), width), Texts(batch.column(3), width), []
-            for i, key in enumerate(batch.column(2).to_pylist()):
-                if key != last:
-                    last, own = key, texts.shingles(i)
-                want = items.shingles(i)
-                if (shared := len(own & want)) >= share * len(want):
-                    rows.append((i, shared, len(want)))
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.record_batch([*(batch.column(k).take(at) for k in range(3)), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["doc_id", "item_id", "key", "n_shared", "n_shingles"])
+        for batch in (part for whole in batches for part in B.slices(whole, 3)):
+            flat = batch.column(2).flatten()
+            texts, items, rows = Texts(batch.column(3), width), Texts(flat.field("item_text"), width), []
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
+            for i, end in enumerate(ends.tolist()):
+                own = texts.shingles(i)
+                for k in range(ends[i - 1] if i else 0, end):
+                    want = items.shingles(k)
+                    if (shared := len(own & want)) >= share * len(want):
+                        rows.append((i, k, shared, len(want)))
+            at, of, *n = (pa.array([r[k] for r in rows], pa.int64()) for k in range(4))
+            yield pa.record_batch([batch.column(0).take(at), flat.field("item_id").take(of), batch.column(1).take(at), *n], ["doc_id", "item_id", "key", "n_shared", "n_shingles"])
 
     return run
 
 
+def _met(hits: DataFrame, sketches: DataFrame) -> DataFrame:
+    """hits (row, hash) with the sketches (hash, ...) that have this hash.
+
+    Hashes with over a thousandth of all hits are fewer than a thousand; their sketches are broadcast, if not too many items have such a hash, and
+    the rest is shuffled. What is hot in both is left to the planner's splits.
+    """
+    sizes = hits.groupBy("hash").count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = cut(sizes.where(F.col("count") > max(total // 1000, 100)).select("hash"))
+    spread = cut(sketches.join(F.broadcast(hot), "hash", "left_semi"))
+    if not 0 < spread.limit(SMALL + 1).count() <= SMALL:
+        return hits.join(sketches, "hash")
+    few = F.broadcast(spread)
+    return hits.join(few, "hash").unionByName(hits.join(F.broadcast(hot), "hash", "left_anti").join(sketches, "hash"))
+
+
 def _found(base: DataFrame, benchmark: DataFrame, item: str, item_text: str, width: int, least: float, most_bits: int) -> DataFrame:
     """doc_id, item_id, key, n_shared, n_shingles for a table of (doc_id, text); key is the text's SHA-256."""
     share, spark = Fraction(str(least)), base.sparkSession
@@ -139,9 +156,12 @@ def _found(base: DataFrame, benchmark: DataFrame, item: str, item_text: str, wid
     table[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
     probed = base.mapInArrow(_probe(width, bits, spark.sparkContext.broadcast(table)), "doc_id long, text string, hits array<long>")
     probed = cut(probed.withColumn("row", F.monotonically_increasing_id()))
-    met = probed.select("row", F.explode("hits").alias("hash")).join(sketches, "hash").groupBy("row", "part", "no").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    pairs = met.where("n >= need").select("row", "no").join(items, "no").join(probed.select("row", "doc_id", "text"), "row")
-    return pairs.select("doc_id", "item_id", F.sha2("text", 256).alias("key"), "item_text", "text").mapInArrow(_verify(width, share), "doc_id long, item_id long, key string, n_shared long, n_shingles long")
+    met = _met(probed.select("row", F.explode("hits").alias("hash")), sketches).groupBy("row", "part", "no").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    pairs = met.where("n >= need").select("row", "no").join(items, "no")
+    # a row a text, with the items it has enough hashes of: no more than its hashes are in sketches
+    lists = pairs.groupBy("row").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    whole = probed.select("row", "doc_id", "text").join(lists, "row").select("doc_id", F.sha2("text", 256).alias("key"), "items", "text")
+    return whole.mapInArrow(_verify(width, share), "doc_id long, item_id long, key string, n_shared long, n_shingles long")
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST, most_bits: int = 27) -> DataFrame:

@@ -89,7 +89,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_each_operator_has_its_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.queries()) == list(range(1, 14))
 
 
 def test_pipeline_equals_plain_stages(spark, tmp_path):

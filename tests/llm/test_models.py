@@ -60,7 +60,7 @@ def test_language_id(spark, both):
 
 
 def test_scores_equal_plain_sums(docs):
-    m = L.fit(docs, "doc_id", "text", "lang", ~L.held_out("doc_id"), 20)
+    (m,) = L.fit(docs, "doc_id", "text", "lang", ~L.held_out("doc_id"), 20)
     texts = [r.text for r in docs.limit(4).collect()] + ["ab", "é"]
     step, L.STEP = L.STEP, 37
     try:
@@ -127,3 +127,36 @@ def test_quality_on_labels(spark, odd):
     clean = [r for r in got if r.quality == 1]
     assert sum(r.kept for r in clean) / len(clean) > 0.99
     assert quality(odd).count() == odd.count() and quality(odd.limit(0)).count() == 0 and len(STATS) == 10
+
+
+def test_any_number_of_languages_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = [["".join(chr(97 + c) for c in rng.integers(0, 26, 4)) for _ in range(6)] for _ in range(300)]
+    rows = [(k * 4 + n, " ".join(rng.choice(words[k], 12)), f"l{k:03d}") for k in range(300) for n in range(4)] + [(5000, None, "l001"), (5001, "12 34", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {n: {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in L.language_id(df, block=n).collect()} for n in (1000, 200, 100)}
+    assert got[1000] == got[200] == got[100] and len(got[200]) == len(rows)
+    assert got[200][5000] == got[200][5001] == ("und", 0.0)
+    assert sum(got[200][i][0] == lang for i, _, lang in rows[:1200]) > 1150
+    kept = {n: sorted(r.doc_id for r in L.keep_identified(df.withColumn("score", L.F.lit(1)), block=n).collect()) for n in (1000, 100)}
+    assert kept[1000] == kept[100] and 5000 not in kept[100]
+
+
+def test_a_shingle_in_every_document_and_many_items(spark):
+    from inkgraph.llm.decontaminate import contained_items
+
+    common = "all rights reserved by the owner of this page"
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    docs = [(k, f"{common} {own(k)}") for k in range(400)] + [(400 + k, f"{own(k)} {common} {own(k + 1000)}") for k in range(5)]
+    items = [(k, f"{common} {own(k)}") for k in range(0, 40, 2)] + [(100, common), (101, common)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = sorted((d, i, len(shingles(x) & shingles(y))) for d, x in docs for i, y in items if 5 * len(shingles(x) & shingles(y)) >= 4 * len(shingles(y)))
+    got = sorted((r.doc_id, r.item_id, r.n_shared) for r in contained_items(df, bench).collect())
+    assert got == want and len(want) > 800
