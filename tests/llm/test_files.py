@@ -167,3 +167,24 @@ def test_clashing_columns_change_nothing(spark, clashing):
     for keep in (keep_identified, lambda d: decontaminate(d, bench), lambda d: C.drop_copies(spark, d, ""), lambda d: C.drop_near_copies(spark, d, "")):
         got = keep(clashing)
         assert got.columns == clashing.columns and rows(got.select(plain.columns)) == rows(keep(plain))
+
+
+def test_pipeline_takes_empty_tables_nulls_and_clashing_columns(spark, clashing, docs, tmp_path):
+    import corpus_pipeline as C
+
+    def run(rows, bench, name):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        return C.run(spark, f"{tmp_path}/{name}")
+
+    bench = spark.createDataFrame([(1, "the cat sat on the mat"), (2, None)], "item_id long, text string")
+    columns = ["shard", "slot", "source", "doc_id", "word_from", "n", "text"]
+    assert run(docs.limit(0), bench, "none").select(columns).count() == 0
+    assert run(docs.selectExpr("doc_id", "CAST(NULL AS string) AS text", "CAST(NULL AS string) AS lang", "source"), bench, "nulls").count() == 0
+    plain = clashing.select("doc_id", "text", "lang", "source")
+    rows = lambda df: sorted(map(repr, df.select(columns).collect()))
+    got = rows(run(clashing, bench, "clash"))
+    assert got == rows(run(plain, bench, "plain")) and got
+    assert rows(run(clashing, bench.limit(0), "free"))
+    for _, stage in C.STAGES[:-1]:
+        assert stage(spark, clashing, f"{tmp_path}/plain").columns == clashing.columns
