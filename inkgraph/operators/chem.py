@@ -10,6 +10,7 @@ import math
 from collections import deque
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,26 +29,106 @@ def neighbours(n: int, bonds: Iterable[dict]) -> list[list[tuple[int, int]]]:
     return near
 
 
-def ranks(atoms: list[dict], bonds: list[dict]) -> list[int]:
-    """A canonical number for each atom: refinement by sorted neighbour ranks, as Morgan's, ties broken one at a time."""
+def _numbered(keys: list) -> list[int]:
+    order = {k: n for n, k in enumerate(sorted(set(keys)))}
+    return [order[k] for k in keys]
+
+
+def _refine(near: list[list[tuple[int, int]]], rank: list[int]) -> list[int]:
+    """Classes split by the sorted classes of neighbours, as Morgan's; the order of those that were told apart before stays."""
+    while True:
+        new = _numbered([(r, tuple(sorted((rank[j], t) for j, t in near[i]))) for i, r in enumerate(rank)])
+        if len(set(new)) == len(set(rank)):
+            return new
+        rank = new
+
+
+def handed(i: int, atoms: list[dict], bonds: list[dict], rank: list[int]) -> int:
+    """The hand of a centre: the sign of the volume that its neighbours span in order of rank, an unseen hydrogen last; 0 if it has none.
+
+    A centre is a carbon, silicon or charged nitrogen on three or four single bonds to atoms of different ranks, with a wedge or hash
+    that starts there. These ends are raised or lowered, all else is in the plane; a wavy bond leaves the hand open.
+    """
+    own = [b for b in bonds if i in (b["a"], b["b"])]
+    symbol, others = atoms[i]["symbol"], [b["b"] if b["a"] == i else b["a"] for b in own]
+    able = symbol in ("C", "Si") and len(own) in (3, 4) or symbol == "N" and atoms[i].get("charge", 0) > 0 and len(own) == 4
+    if not able or any(b["type"] != 1 or b.get("hash") and b.get("wedge") for b in own) or len({rank[k] for k in others}) < len(own):
+        return 0
+    lift = [(bool(b.get("wedge")) - bool(b.get("hash"))) * (b["a"] == i) for b in own]
+    if not any(lift):
+        return 0
+    ends = {}
+    for k, z in zip(others, lift, strict=True):
+        dx, dy = atoms[k]["x"] - atoms[i]["x"], atoms[i]["y"] - atoms[k]["y"]
+        size = math.hypot(dx, dy) or 1.0
+        ends[k] = np.array([dx / size, dy / size, z])
+    v = [ends[k] for k in sorted(others, key=rank.__getitem__)]
+    last = v[3] if len(v) == 4 else -(v[0] + v[1] + v[2])
+    volume = np.linalg.det([x - last for x in v[:3]])
+    return 0 if abs(volume) < 1e-3 else 1 if volume > 0 else -1
+
+
+def double_sides(atoms: list[dict], bonds: list[dict], rank: list[int]) -> list[tuple[dict, dict[int, int], bool]]:
+    """(bond, side of each neighbour of its ends, whether the ranking ones are on one side) of each double bond that can be cis or trans.
+
+    It is in no ring, an end has one or two other neighbours, of different ranks, on plain single bonds that are not wavy, none in line with it.
+    """
+    near, out = neighbours(len(atoms), bonds), []
+    for b in bonds:
+        if b["type"] != 2 or b.get("arom") or atoms[b["a"]]["symbol"] not in ("C", "N") or atoms[b["b"]]["symbol"] not in ("C", "N"):
+            continue
+        side, ranking = {}, []
+        dx, dy = atoms[b["b"]]["x"] - atoms[b["a"]]["x"], atoms[b["b"]]["y"] - atoms[b["a"]]["y"]
+        for end, far in ((b["a"], b["b"]), (b["b"], b["a"])):
+            rest = [(j, t) for j, t in near[end] if j != far]
+            if not 1 <= len(rest) <= 2 or any(t != 1 for _, t in rest) or len({rank[j] for j, _ in rest}) < len(rest):
+                break
+            for j, _ in rest:
+                ex, ey = atoms[j]["x"] - atoms[end]["x"], atoms[j]["y"] - atoms[end]["y"]
+                turn = (dx * ey - dy * ex) / ((math.hypot(dx, dy) * math.hypot(ex, ey)) or 1.0)
+                side[j] = 0 if abs(turn) < 0.1 else 1 if turn > 0 else -1
+            ranking.append(max(rest, key=lambda x: rank[x[0]])[0])
+        wavy = any(x.get("hash") and x.get("wedge") and {x["a"], x["b"]} & {b["a"], b["b"]} for x in bonds)
+        if len(ranking) == 2 and 0 not in side.values() and not wavy and not _joined(near, b["a"], b["b"]):
+            out.append((b, side, side[ranking[0]] == side[ranking[1]]))
+    return out
+
+
+def _joined(near: list[list[tuple[int, int]]], a: int, b: int) -> bool:
+    """Whether another way leads from a to b than the bond between them."""
+    seen, todo = {a}, [j for j, _ in near[a] if j != b]
+    while todo:
+        k = todo.pop()
+        if k == b:
+            return True
+        if k not in seen:
+            seen.add(k)
+            todo += [j for j, _ in near[k] if (k, j) != (a, b)]
+    return False
+
+
+def classes(atoms: list[dict], bonds: list[dict]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Classes of equivalent atoms, and each atom's (hand, 1 on a cis and 2 on a trans bond): what stereo tells apart splits further classes."""
     near = neighbours(len(atoms), bonds)
-    key = [(a["symbol"], a.get("charge", 0), len(near[i]), sum(t for _, t in near[i])) for i, a in enumerate(atoms)]
-
-    def refine(rank: list[int]) -> list[int]:
-        while True:
-            full = [(rank[i], tuple(sorted((rank[j], t) for j, t in near[i]))) for i in range(len(atoms))]
-            order = {k: n for n, k in enumerate(sorted(set(full)))}
-            new = [order[f] for f in full]
-            if len(set(new)) == len(set(rank)):
-                return new
-            rank = new
-
-    start = {k: n for n, k in enumerate(sorted(set(key)))}
-    rank = refine([start[k] for k in key]) if atoms else []
+    rank = _refine(near, _numbered([(a["symbol"], a.get("charge", 0), len(near[i]), sum(t for _, t in near[i])) for i, a in enumerate(atoms)])) if atoms else []
+    marks = [(0, 0)] * len(atoms)
+    while True:
+        found = [[handed(i, atoms, bonds, rank), 0] for i in range(len(atoms))]
+        for b, _, same in double_sides(atoms, bonds, rank):
+            found[b["a"]][1] = found[b["b"]][1] = 1 if same else 2
+        if [tuple(x) for x in found] == marks:
+            return rank, marks
+        marks = [tuple(x) for x in found]
+        rank = _refine(near, _numbered(list(zip(rank, marks, strict=True))))
+
+
+def ranks(atoms: list[dict], bonds: list[dict]) -> list[int]:
+    """A canonical number for each atom: classes, with ties broken one at a time."""
+    near, rank = neighbours(len(atoms), bonds), classes(atoms, bonds)[0]
     while len(set(rank)) < len(atoms):
         twin = min(r for r in rank if rank.count(r) > 1)
         i = min(k for k, r in enumerate(rank) if r == twin)
-        rank = refine([2 * r + (1 if r == twin and k != i else 0) for k, r in enumerate(rank)])
+        rank = _refine(near, [2 * r + (1 if r == twin and k != i else 0) for k, r in enumerate(rank)])
     return rank
 
 
@@ -119,21 +200,33 @@ def statistics(atoms: list[dict], bonds: list[dict]) -> dict[str, int]:
 
 
 def smiles(atoms: list[dict], bonds: list[dict]) -> str:
-    """Deterministic SMILES from canonical ranks: equal graphs give equal strings, whatever their order."""
+    """Deterministic SMILES from canonical ranks: equal graphs give equal strings, whatever their order. Hands of centres and sides of double bonds are in it."""
     near = neighbours(len(atoms), bonds)
     rank = ranks(atoms, bonds)
+    hand = [handed(i, atoms, bonds, rank) for i in range(len(atoms))]
+    hand = [h if m else 0 for h, (m, _) in zip(hand, classes(atoms, bonds)[1], strict=True)]
+    doubles = double_sides(atoms, bonds, classes(atoms, bonds)[0])
     mark = {1: "", 2: "=", 3: "#", 4: ":"}
+    slash: dict[tuple[int, int], str] = {}
+
+    def turned(i: int, order: list[int]) -> str:
+        """@ if, from the first in order of writing, the others run counterclockwise."""
+        usual = [*sorted((j for j, _ in near[i]), key=rank.__getitem__), -1]
+        at = [usual.index(j) for j in order]
+        odd = sum(x > y for n, x in enumerate(at) for y in at[n + 1 :]) % 2
+        return "@" if (hand[i] > 0) != bool(odd) else "@@"
 
-    def text(i: int) -> str:
+    def text(i: int, order: list[int]) -> str:
         a, s = atoms[i], atoms[i]["symbol"]
         charge = a.get("charge", 0)
-        if s in ORGANIC and not charge:
+        if s in ORGANIC and not charge and not hand[i]:
             return s
         if s in ("Xx", "*"):
             return "[*]"
+        turn = turned(i, order) if hand[i] else ""
         h = max(VALENCE.get(s, 0) + (charge if s in ("N", "P", "O", "S") else -abs(charge)) - sum(t for _, t in near[i]), 0) if s in VALENCE and s != "H" else 0
         sign = ("+" if charge > 0 else "-") + (str(abs(charge)) if abs(charge) > 1 else "") if charge else ""
-        return f"[{s}{'H' + (str(h) if h > 1 else '') if h else ''}{sign}]"
+        return f"[{s}{turn}{'H' + (str(h) if h > 1 else '') if h else ''}{sign}]"
 
     seen: set[int] = set()
     out = []
@@ -164,6 +257,16 @@ def smiles(atoms: list[dict], bonds: list[dict]) -> str:
                     closing.setdefault(i, []).append((n, t, j))
                     closing.setdefault(j, []).append((n, t, i))
         seen |= set(index)
+        # what lies above an end of a double bond is written with a slash; bonds that two double bonds share keep what the first one gave them
+        for b, side, _ in sorted((d for d in doubles if d[0]["a"] in index), key=lambda d: sorted((index[d[0]["a"]], index[d[0]["b"]]))):
+            single = [(j, end) for end in (b["a"], b["b"]) for j, _ in near[end] if j in side and (parent[j] == end or parent[end] == j)]
+            if len({end for _, end in single}) < 2:
+                continue  # a side is closed by ring marks alone
+            written = [((end, j), side[j]) if parent[j] == end else ((j, end), -side[j]) for j, end in single]
+            written.sort(key=lambda w: index[w[0][1]])
+            up = next((v * (1 if slash[w] == "/" else -1) for w, v in written if w in slash), written[0][1])
+            for w, v in written:
+                slash.setdefault(w, "/" if v == up else "\\")
         parts: list[str] = []
         work: list = [root]
         while work:
@@ -172,19 +275,20 @@ def smiles(atoms: list[dict], bonds: list[dict]) -> str:
                 parts.append(w)
                 continue
             ring = "".join(mark[t] + (str(n) if n < 10 else f"%{n}") for n, t, _ in sorted(closing.get(w, [])))
-            parts.append(text(w) + ring)
             kids = sorted(children.get(w, []), key=lambda x: rank[x[0]])
+            around = [*([parent[w]] if parent[w] >= 0 else []), *([-1] if len(near[w]) == 3 else []), *(j for _, _, j in sorted(closing.get(w, []))), *(j for j, _ in kids)]
+            parts.append(text(w, around) + ring)
             for k, (j, t) in reversed(list(enumerate(kids))):
                 if k < len(kids) - 1:
-                    work += [")", j, "(" + mark[t]]
+                    work += [")", j, "(" + slash.get((w, j), mark[t])]
                 else:
-                    work += [j, mark[t]]
+                    work += [j, slash.get((w, j), mark[t])]
         out.append("".join(parts))
     return ".".join(sorted(out))
 
 
 def identity(atoms: list[dict], bonds: list[dict]) -> str:
-    """A key that equal graphs share: a hash of the canonical string. It is no registered identifier."""
+    """A key that equal graphs share, and mirror images do not: a hash of the canonical string. It is no registered identifier."""
     return hashlib.sha256(smiles(atoms, bonds).encode()).hexdigest()[:27].upper()
 
 
