@@ -305,6 +305,16 @@ def molfile(atoms: list[dict], bonds: list[dict], title: str = "", average: floa
     return "\n".join([*lines, "M  END"]) + "\n"
 
 
+def cml(atoms: list[dict], bonds: list[dict], id: str = "m1") -> str:
+    """A molecule in Chemical Markup Language, y upwards, with charges and wedge and hash bonds."""
+    rows = "".join(
+        f'<atom id="a{k}" elementType="{"R" if a["symbol"] in ("*", "Xx") else a["symbol"]}" x2="{a["x"]:.4f}" y2="{0.0 - a["y"]:.4f}"' + (f' formalCharge="{a["charge"]}"' if a.get("charge") else "") + "/>" for k, a in enumerate(atoms, 1)
+    )
+    stereo = lambda b: "" if bool(b.get("wedge")) == bool(b.get("hash")) else f"<bondStereo>{'W' if b.get('wedge') else 'H'}</bondStereo>"
+    links = "".join(f'<bond atomRefs2="a{b["a"] + 1} a{b["b"] + 1}" order="{"A" if b["type"] == 4 else b["type"]}">{stereo(b)}</bond>' for b in bonds)
+    return f'<molecule id="{id}"><atomArray>{rows}</atomArray><bondArray>{links}</bondArray></molecule>'
+
+
 def sd_record(mol: str, properties: dict[str, str]) -> str:
     return mol + "".join(f"> <{k}>\n{v}\n\n" for k, v in properties.items()) + "$$$$\n"
 
@@ -384,6 +394,39 @@ def parse_smiles(text: str) -> tuple[list[dict], list[dict]]:
     return atoms, bonds
 
 
+def with_double_bonds(atoms: list[dict], bonds: list[dict]) -> list[dict]:
+    """Bonds marked aromatic, where single, take turns in being double: a largest matching of their atoms, in canonical order of these, by augmenting paths of a search
+    that may be cut short where odd rings meet.
+    """
+    open_ = [k for k, b in enumerate(bonds) if b.get("arom") and b["type"] == 1]
+    if not open_:
+        return bonds
+    rank = ranks(atoms, [{**b, "type": 4, "hash": False, "wedge": False} if k in set(open_) else b for k, b in enumerate(bonds)])
+    busy = {i for k, b in enumerate(bonds) if k not in open_ and b["type"] > 1 for i in (b["a"], b["b"])}
+    busy |= {i for i, a in enumerate(atoms) if a["symbol"] in ("O", "S")}
+    near: dict[int, list[int]] = {}
+    for k in open_:
+        a, b = bonds[k]["a"], bonds[k]["b"]
+        if a not in busy and b not in busy:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    mate: dict[int, int] = {}
+
+    def augment(i: int, seen: set[int]) -> bool:
+        for j in sorted(near[i], key=rank.__getitem__):
+            if j not in seen:
+                seen |= {i, j}
+                if j not in mate or augment(mate[j], seen):
+                    mate[i], mate[j] = j, i
+                    return True
+        return False
+
+    for i in sorted(near, key=rank.__getitem__):
+        if i not in mate:
+            augment(i, {i})
+    return [{**b, "type": 2} if k in set(open_) and mate.get(b["a"]) == b["b"] else b for k, b in enumerate(bonds)]
+
+
 def write_structures(atoms: DataFrame, bonds: DataFrame, keys: list[str]) -> DataFrame:
     """keys, smiles, identity_key, mol and statistics of graphs: atoms (keys, atom_idx, x, y, symbol, charge), bonds (keys, a, b, type, hash, wedge, arom).
 
@@ -405,6 +448,7 @@ def write_structures(atoms: DataFrame, bonds: DataFrame, keys: list[str]) -> Dat
         for i, group in enumerate(a["group"] if "group" in a else ()):
             if isinstance(group, str):
                 splice(atoms_, bonds_, i, parse_smiles(group))
+        bonds_ = with_double_bonds(atoms_, bonds_)
         average = float(a["average"].iloc[0]) if "average" in a else None
         found = statistics(atoms_, bonds_)
         return pd.DataFrame([[*key, smiles(atoms_, bonds_), identity(atoms_, bonds_), molfile(atoms_, bonds_, average=average), *[found[s] for s in stats]]], columns=names)

@@ -6,11 +6,14 @@ A page is one group: each step takes what the one before left.
 from __future__ import annotations
 
 import math
+from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import chem
+
 REACH = 200
 
 
@@ -105,8 +108,8 @@ def joined_by_plus(ids: list[int], boxes: dict[int, dict], pluses: list[dict], n
     return out
 
 
-def arrange(arrows: list[dict], pluses: list[dict], boxes: list[dict], structures: dict[int, str]) -> list[dict]:
-    """A reaction for each arrow that has structures on both sides.
+def arrange(arrows: list[dict], pluses: list[dict], boxes: list[dict], structures: dict[int, str], as_agents: dict[int, str] | None = None) -> list[dict]:
+    """A reaction for each arrow that has structures on both sides. As agents structures are written as in `as_agents`, if given.
 
     An arrow whose row has no box beyond it takes its products from the next line, the box farthest to the left below it.
     """
@@ -127,7 +130,7 @@ def arrange(arrows: list[dict], pluses: list[dict], boxes: list[dict], structure
             if reactants and products:
                 all_ = [by_id[i] for i in before + after + mid]
                 xs, ys = [a["head"][0], a["tail"][0]], [a["head"][1], a["tail"][1]]
-                agent = ".".join([x for x in [a.get("agent") or ""] if x] + [structures[i] for i in mid if i in structures])
+                agent = ".".join([x for x in [a.get("agent") or ""] if x] + [s for i in mid if (s := (as_agents or structures).get(i))])
                 out.append({"arrow_id": a["arrow_id"], "reactants": reactants, "products": products, "agent": agent, "reversible": a["reversible"], "linebreak": linebreak, "x1": min([*xs, *(b["x1"] for b in all_)]), "y1": min([*ys, *(b["y1"] for b in all_)]), "x2": max([*xs, *(b["x2"] for b in all_)]), "y2": max([*ys, *(b["y2"] for b in all_)])})
     return out
 
@@ -135,11 +138,12 @@ def arrange(arrows: list[dict], pluses: list[dict], boxes: list[dict], structure
 def reactions(arrows: DataFrame, pluses: DataFrame, boxes: DataFrame) -> DataFrame:
     """doc_id, page_no, arrow_id, reactants, products, agent, reversible, linebreak, x1 .. y2.
 
-    arrows: arrow_id, head_x, head_y, tail_x, tail_y, agent; pluses: x, y; boxes: box_id, x1, y1, x2, y2, structure. All with doc_id and page_no.
+    arrows: arrow_id, head_x, head_y, tail_x, tail_y, agent; pluses: x, y; boxes: box_id, x1, y1, x2, y2, structure, and agent_structure if agents are written in
+    another way. All with doc_id and page_no.
     """
     keys = ["doc_id", "page_no"]
     as_list = lambda df, name, *c: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*c))).alias(name))
-    page = as_list(arrows, "arrows", "arrow_id", "head_x", "head_y", "tail_x", "tail_y", "agent").join(as_list(boxes, "boxes", "box_id", "x1", "y1", "x2", "y2", "structure"), keys).join(as_list(pluses, "pluses", "x", "y"), keys, "left")
+    page = as_list(arrows, "arrows", "arrow_id", "head_x", "head_y", "tail_x", "tail_y", "agent").join(as_list(boxes, "boxes", "box_id", "x1", "y1", "x2", "y2", "structure", *[x for x in ("agent_structure",) if x in boxes.columns]), keys).join(as_list(pluses, "pluses", "x", "y"), keys, "left")
 
     def run(batches):
         for pdf in batches:
@@ -148,7 +152,8 @@ def reactions(arrows: DataFrame, pluses: DataFrame, boxes: DataFrame) -> DataFra
                 arrows_ = [{"arrow_id": a["arrow_id"], "head": (a["head_x"], a["head_y"]), "tail": (a["tail_x"], a["tail_y"]), "agent": a["agent"]} for a in p.arrows]
                 boxes_ = [dict(b) for b in p.boxes]
                 plus = [] if p.pluses is None else [dict(x) for x in p.pluses]
-                for r in arrange(arrows_, plus, boxes_, {b["box_id"]: b["structure"] for b in boxes_ if b["structure"]}):
+                named = [{b["box_id"]: b[c] for b in boxes_ if b.get(c)} for c in ("structure", "agent_structure")]
+                for r in arrange(arrows_, plus, boxes_, named[0], named[1] or None):
                     rows.append((p.doc_id, p.page_no, *[r[c] for c in ("arrow_id", "reactants", "products", "agent", "reversible", "linebreak", "x1", "y1", "x2", "y2")]))
             yield pd.DataFrame(rows, columns=[*keys, "arrow_id", "reactants", "products", "agent", "reversible", "linebreak", "x1", "y1", "x2", "y2"])
 
@@ -167,3 +172,22 @@ def reaction_rxn(reactants: Column, products: Column) -> Column:
     counts = [F.lpad(F.size(side).cast("string"), 3, " ") for side in sides]
     tables = F.transform(F.concat(*sides), lambda m: F.concat(F.lit("$MOL\n"), m))
     return F.concat(F.lit("$RXN\n\n  inkgraph\n\n"), *counts, F.lit("\n"), F.array_join(tables, ""))
+
+
+def reaction_cml(reactants: Column, agent: Column, products: Column, reversible: Column) -> Column:
+    """A CML reaction from arrays of connection tables; the agent is its title. Null arrays are empty."""
+
+    @F.pandas_udf("string")
+    def write(r: pd.Series, a: pd.Series, p: pd.Series, both: pd.Series) -> pd.Series:
+        def side(name: str, tables, first: int) -> str:
+            kind = name[:-4].lower()
+            return f"<{name}>" + "".join(f"<{kind}>{chem.cml(*chem.parse_molfile(m), id=f'm{first + k}')}</{kind}>" for k, m in enumerate(tables)) + f"</{name}>"
+
+        out = []
+        for one, title, two, way in zip(r, a, p, both, strict=True):
+            one, two = ([m for m in (x if x is not None else ()) if m] for x in (one, two))
+            head = f" title={quoteattr(title)}" if title else ""
+            out.append(f'<reaction xmlns="http://www.xml-cml.org/schema"{head} type="{"reversible" if way else "irreversible"}">{side("reactantList", one, 1)}{side("productList", two, 1 + len(one))}</reaction>')
+        return pd.Series(out)
+
+    return write(reactants, agent, products, F.coalesce(reversible, F.lit(False)))

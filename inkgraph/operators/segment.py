@@ -19,11 +19,11 @@ POINT = "array<struct<x:int,y:int>>"
 SEGMENTS = f"doc_id long, page_no int, segment_id int, points {POINT}, margin {POINT}, skipped boolean"
 
 
-def page_segments(gray: np.ndarray, threshold: float = 0.1, adaptive: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+def page_segments(gray: np.ndarray, threshold: float = 0.1, adaptive: bool = False, most: int | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
     """((points, margin) of each segment, skipped); points as rows (x, y), in reading order.
 
     The margin is every second pixel with a background pixel at a corner. Specks go: of at most 2 pixels, or of a share of the page
-    if it is adaptive. Over MOST_SEGMENTS the page is skipped and gives none.
+    if it is adaptive. Over `most` (MOST_SEGMENTS) the page is skipped and gives none.
     """
     mask = raster.ink(gray, threshold)
     lab = raster.components(mask)
@@ -39,18 +39,19 @@ def page_segments(gray: np.ndarray, threshold: float = 0.1, adaptive: bool = Fal
         if len(y) > speck:
             pts = np.stack([x, y], axis=1)
             out.append((pts, pts[~inner[y, x]][::2]))
-    return ([], True) if len(out) > MOST_SEGMENTS else (out, False)
+    return ([], True) if len(out) > (MOST_SEGMENTS if most is None else most) else (out, False)
 
 
 def find_segments(pages: DataFrame, threshold: float = 0.1) -> DataFrame:
     """SEGMENTS of pages (doc_id, page_no, width, height, gray binary, adaptive). A skipped page has one row without points."""
+    most = MOST_SEGMENTS
 
     def run(batches):
         for pdf in batches:
             rows = []
             for p in pdf.itertuples():
                 gray = np.frombuffer(p.gray, np.uint8).reshape(p.height, p.width)
-                found, skipped = page_segments(gray, threshold, bool(p.adaptive))
+                found, skipped = page_segments(gray, threshold, bool(p.adaptive), most)
                 as_rows = lambda a: [{"x": int(x), "y": int(y)} for x, y in a]
                 rows += [(p.doc_id, p.page_no, k, as_rows(pts), as_rows(m), False) for k, (pts, m) in enumerate(found)]
                 if skipped:
@@ -145,22 +146,29 @@ def entropy_index(near: DataFrame) -> DataFrame:
 
 
 def drawing_boxes(c: DataFrame) -> DataFrame:
-    """doc_id, page_no, box_id, x1, y1, x2, y2, n, points of the clusters with a segment that looks like a drawing.
+    """doc_id, page_no, box_id, x1, y1, x2, y2, n (pixels) of the clusters with a segment that looks like a drawing.
 
     box_id counts in reading order on the page: by top, left, bottom, right.
     """
     keys = ["doc_id", "page_no", "cluster"]
     good = F.bool_or((F.col("fill") > 0) & (F.col("fill") < 0.2) & (F.col("aspect") > 0.1) & (F.col("aspect") < 10))
-    box = c.groupBy(*keys).agg(good.alias("good"), *[f(n).alias(n) for f, n in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))], F.sum("area").alias("n"), F.flatten(F.collect_list("points")).alias("points"))
+    box = c.groupBy(*keys).agg(good.alias("good"), *[f(n).alias(n) for f, n in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))], F.sum("area").alias("n"))
     order = Window.partitionBy("doc_id", "page_no").orderBy("y1", "x1", "y2", "x2", "cluster")
     return box.where("good").withColumn("box_id", (F.row_number().over(order) - 1).cast("int")).drop("good", "cluster")
 
 
 def segment_pages(pages: DataFrame) -> DataFrame:
     """drawing_boxes of pages: components, separators, tables, text, clusters."""
+    return boxes_of_segments(find_segments(pages))
+
+
+def boxes_of_segments(segments: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """drawing_boxes of SEGMENTS, but for those in `without` (doc_id, page_no, segment_id)."""
     from ..sources.storage import cut
 
-    m = cut(without_tables(without_separators(measured(find_segments(pages)))))
+    if without is not None:
+        segments = segments.join(without, ["doc_id", "page_no", "segment_id"], "left_anti")
+    m = cut(without_tables(without_separators(measured(segments))))
     near = cut(distances(m))  # both are used several times
     busy = m.groupBy("doc_id", "page_no").count().where("count > 100").drop("count")
     texty = entropy_index(near).where("index > 4").join(busy, ["doc_id", "page_no"], "left_semi").select("doc_id", "page_no")

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import chem, cleanup, glyphs, graph, labels, molecule, raster, segment, select
+from ..operators import agents, chem, cleanup, glyphs, graph, labels, molecule, raster, reaction, segment, select
 
-RECORDS = "doc_id long, page_no int, box_id int, res_iter int, dpi int, frag_id int, structure string, mol string, identity_key string, confidence double, avg_bond double, x1 int, y1 int, x2 int, y2 int"
+RECORDS = "doc_id long, page_no int, box_id int, res_iter int, dpi int, frag_id int, structure string, mol string, identity_key string, confidence double, avg_bond double, x1 int, y1 int, x2 int, y2 int, error string"
 FORMATS = ("smi", "can", "sdf", "mol", "rsmi", "rxn", "cmlr")
 #: Ours, not trained: weights of graph.FEATURES, 0 for those that are not named.
 WEIGHTS = {"atoms": 0.02, "rings6": 0.3, "rings5": 0.2, "Xx": -0.5, "fragments": -0.1}
@@ -93,13 +93,49 @@ def trace_box(gray: np.ndarray, dpi: int, thin: bool, options: Options, reader=N
                 if c != glyphs.UNKNOWN:
                     letters.append({"a": c, "x": float(xs.mean()), "y": float(ys.mean()), "r": max(h, w) / 2})
                     mask[ys[(ys < mask.shape[0])], xs[(ys < mask.shape[0])]] = False
+    mask, dots, circles = small_parts(mask)
     atoms, bonds = raster.trace(raster.thin(mask))
     g = molecule.Graph(atoms, bonds)
-    sizes = sorted(g.length(b) for b in g.bonds)
-    average = sizes[3 * (len(sizes) - 1) // 4] if len(sizes) > 1 else 10.0
+    sizes = sorted(g.length(b) for b in g.bonds if g.length(b) > SHORT) or [10.0]
+    average = sizes[3 * (len(sizes) - 1) // 4]
     g = molecule.clean(g, average, 3.0)
+    ink = raster.ink(gray, threshold)  # not thinned, at its own scale
+    wide = lambda x, y: scale * min(raster.run_through(ink, round(x / scale), round(y / scale), across) for across in (True, False))
+    molecule.wedges(g, wide, max(3.0, average / 12))
+    molecule.trim_forks(g, average / 4)
+    molecule.dashes_to_bonds(g, dots, average / 2)
+    molecule.aromatic_circles(g, circles, average)
     molecule.attach_labels(g, [{"x": t["x1"], "y": t["y1"], "text": t["a"]} for t in glyphs.assemble(letters)], average * 0.8)
-    return g, average, scale
+    return g.compact(), average, scale
+
+
+#: Traced lines of up to so many pixels are no bonds by which others are judged.
+SHORT = 6.0
+
+
+def small_parts(mask: np.ndarray, side: int = select.FONT_HEIGHT) -> tuple[np.ndarray, list[dict], list[dict]]:
+    """(mask without them, dots, circles): parts of up to `side` pixels beside larger ones are dots, as x, y and area; round rings inside the box of a larger part
+    are circles, as x, y and diameter.
+    """
+    lab = raster.components(mask)
+    parts = []
+    for k in range(1, int(lab.max()) + 1):
+        ys, xs = np.nonzero(lab == k)
+        parts.append((k, xs, ys, int(xs.min()), int(ys.min()), int(xs.max()), int(ys.max())))
+    large = [p for p in parts if max(p[5] - p[3], p[6] - p[4]) >= side]
+    dots, circles, gone = [], [], []
+    for k, xs, ys, x1, y1, x2, y2 in parts if large else []:
+        w, h = x2 - x1 + 1, y2 - y1 + 1
+        if max(w, h) <= side:
+            dots.append({"x": float(xs.mean()), "y": float(ys.mean()), "area": len(xs)})
+            gone.append(k)
+            continue
+        r = np.hypot(xs - (x1 + x2) / 2, ys - (y1 + y2) / 2)
+        inside = any(p[3] < x1 and p[4] < y1 and x2 < p[5] and y2 < p[6] for p in large)
+        if inside and 0.85 < w / h < 1.18 and r.min() > 0.7 * r.max():
+            circles.append({"x": (x1 + x2) / 2, "y": (y1 + y2) / 2, "diameter": float(w + h) / 2})
+            gone.append(k)
+    return mask & ~np.isin(lab, gone), dots, circles
 
 
 def structures(graphs: DataFrame, spelling: DataFrame | None = None, superatoms: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -130,11 +166,12 @@ def structures(graphs: DataFrame, spelling: DataFrame | None = None, superatoms:
     whole = written.join(score, part).join(boxes, part).join(scales, BOX)
     place = [(c(n) / c("scale") + c(corner)).cast("int").alias(n) for n, corner in (("x1", "left"), ("y1", "top"), ("x2", "left"), ("y2", "top"))]
     shown = [c("smiles").alias("structure"), "mol", "identity_key", "confidence", (c("average") / c("scale")).alias("avg_bond")]
-    return whole.select(*BOX, "dpi", "frag_id", *shown, *place)
+    return whole.select(*BOX, "dpi", "frag_id", *shown, *place, F.lit(None).cast("string").alias("error"))
 
 
 def recognise(pages: DataFrame, options: Options = Options(), reader=None, spelling: DataFrame | None = None, superatoms: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """RECORDS of pages: segmented into boxes, each box at each resolution, then each document's best resolution.
+    """RECORDS of pages: segmented into boxes, each box at each resolution, then each document's best resolution. A page of which there is
+    nothing, as it was not decoded or has too many segments, is a row with the reason as its error.
 
     A box at a resolution is one row of work, dealt out by all its keys, so a page with many boxes is spread. What is done with
     the graphs of boxes is set work: see `structures` for the dictionaries and weights.
@@ -142,10 +179,72 @@ def recognise(pages: DataFrame, options: Options = Options(), reader=None, spell
     from ..sources.storage import cut
 
     options = options.checked()
-    spark = pages.sparkSession
     good = clean_pages(pages.where("error IS NULL"), options)
+    segments = cut(segment.find_segments(good))
+    records = records_of(good, segment.boxes_of_segments(segments), options, reader, spelling, superatoms, weights)
+    return records.unionByName(unread_of(pages, segments), allowMissingColumns=True)
+
+
+def reactions_of(pages: DataFrame, options: Options = Options(format="rsmi"), reader=None, spelling: DataFrame | None = None, superatoms: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """doc_id, page_no, arrow_id, reactants, products, agent, reversible, linebreak, x1 .. y2, mols: the reactions of pages, an arrow each, and the connection
+    tables of both sides as struct (reactants, products).
+
+    Arrows, plus signs and the characters written around arrows belong to no drawing. What `reader` reads of these characters is the agent, with the drawings that
+    lie over the arrow. The fragments of a box are one structure.
+    """
+    from ..sources.storage import cut
+
+    options, keys, c = options.checked(), ["doc_id", "page_no"], F.col
+    good = clean_pages(pages.where("error IS NULL"), options)
+    segments = cut(segment.find_segments(good))
+    symbols = cut(segment.find_symbols(segments))
+    arrows = symbols.where("kind = 'arrow'").select(*keys, c("segment_id").alias("arrow_id"), "tail_x", "tail_y", "head_x", "head_y")
+    pluses = symbols.where("kind = 'plus'").select(*keys, c("head_x").alias("x"), c("head_y").alias("y"))
+    height, width = c("y2") - c("y1"), c("x2") - c("x1")
+    small = segment.measured(segments).where((height <= 2 * select.FONT_HEIGHT) & (width <= 2 * select.FONT_WIDTH) & (height > 5)).join(symbols.select(*keys, "segment_id"), [*keys, "segment_id"], "left_anti")
+    characters = small.select(*keys, c("segment_id").alias("glyph_id"), "x1", "y1", "x2", "y2", "points")
+    mine = cut(agents.claimed(characters.drop("points"), arrows, keys))
+    around = mine.select(*keys, c("glyph_id").alias("segment_id"))
+    texts = agents.agent_strings(read_segments(characters.join(mine.select(*keys, "glyph_id"), [*keys, "glyph_id"], "left_semi"), reader), arrows, keys)
+    ordered = F.array_sort(F.collect_list(F.struct("line", "agent")))
+    texts = texts.groupBy(*keys, "arrow_id").agg(F.array_join(F.transform(ordered, lambda x: x["agent"]), " ").alias("agent"))
+    arrows = arrows.join(texts, [*keys, "arrow_id"], "left").withColumn("agent", F.coalesce("agent", F.lit("")))
+
+    boxes = segment.boxes_of_segments(segments, symbols.select(*keys, "segment_id").unionByName(around))
+    records = cut(records_of(good, boxes, options, reader, spelling, superatoms, weights))
+    box = records.groupBy(*keys, "box_id").agg(F.array_join(F.array_sort(F.collect_list("structure")), ".").alias("structure"), F.max_by("mol", F.struct(F.length("mol"), -c("frag_id"))).alias("mol"), *[f(n).alias(n) for f, n in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))])
+    found = cut(reaction.reactions(arrows, pluses, box))
+    tables = reaction.reactions(arrows, pluses, box.withColumn("agent_structure", c("structure")).withColumn("structure", c("mol")))
+    tables = tables.select(*keys, "arrow_id", F.struct("reactants", "products").alias("mols"))
+    return found.join(tables, [*keys, "arrow_id"])
+
+
+def read_segments(characters: DataFrame, reader) -> DataFrame:
+    """characters (points, ...) with `a`, what the reader says of their ink, without those it does not know; without a reader none."""
+    if reader is None:
+        return characters.withColumn("a", F.lit("")).where("false").drop("points")
+
+    def run(batches):
+        for pdf in batches:
+            read = []
+            for points in pdf["points"]:
+                xs, ys = np.array([p["x"] for p in points]), np.array([p["y"] for p in points])
+                ink = np.zeros((np.ptp(ys) + 1, np.ptp(xs) + 1), bool)
+                ink[ys - ys.min(), xs - xs.min()] = True
+                read.append(reader(ink))
+            yield pdf.drop(columns="points").assign(a=read)
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in characters.schema if f.name != "points"]
+    return characters.mapInPandas(run, ", ".join([*fields, "a string"])).where(F.col("a") != glyphs.UNKNOWN)
+
+
+def records_of(good: DataFrame, boxes: DataFrame, options: Options, reader=None, spelling: DataFrame | None = None, superatoms: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """RECORDS of the boxes of decoded pages; at all resolutions where the options say learning, else at each document's best."""
+    from ..sources.storage import cut
+
+    spark = good.sparkSession
     keys = ["doc_id", "page_no"]
-    boxes = select.large_boxes(segment.segment_pages(good), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).select(*keys, "box_id", *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")])
+    boxes = select.large_boxes(boxes, F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).select(*keys, "box_id", *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")])
     page = good.select(*keys, "width", "height", "gray")
 
     def crop(batches):
@@ -178,24 +277,47 @@ def recognise(pages: DataFrame, options: Options = Options(), reader=None, spell
     return select.select_resolution(cut(records))  # the records feed both the choice and the result
 
 
+def unread_of(pages: DataFrame, segments: DataFrame) -> DataFrame:
+    """doc_id, page_no, error: the pages that were not decoded, and those of which find_segments gave up."""
+    crowded = segments.where("skipped").select("doc_id", "page_no", F.lit(f"over {segment.MOST_SEGMENTS} segments").alias("error"))
+    return pages.where("error IS NOT NULL").select("doc_id", "page_no", "error").unionByName(crowded)
+
+
 def unread(pages: DataFrame, options: Options = Options()) -> DataFrame:
-    """doc_id, page_no, reason: the pages of which `recognise` has nothing, as they were not decoded or have too many segments."""
+    """doc_id, page_no, reason: the pages of which `recognise` has nothing but the reason."""
     good = clean_pages(pages.where("error IS NULL"), options)
-    crowded = segment.skipped_pages(good).withColumn("reason", F.lit(f"over {segment.MOST_SEGMENTS} segments"))
-    return pages.where("error IS NOT NULL").select("doc_id", "page_no", F.col("error").alias("reason")).unionByName(crowded)
+    return unread_of(pages, segment.find_segments(good)).withColumnRenamed("error", "reason")
+
+
+def reaction_lines(found: DataFrame, options: Options = Options(format="rsmi")) -> DataFrame:
+    """doc_id, ord, line: reactions of `reactions_of` as reaction SMILES, RXN files or CML, in order of page and arrow."""
+    o, c = options.checked(), F.col
+    if not o.reactions:
+        raise ValueError(f"{o.format} is no format of reactions")
+    order = Window.partitionBy("doc_id").orderBy("page_no", "y1", "x1", "arrow_id")
+    mols = (c("mols.reactants"), c("mols.products"))
+    if o.format == "rsmi":
+        line = reaction.reaction_smiles(c("reactants"), c("agent"), c("products"))
+    else:
+        line = reaction.reaction_rxn(*mols) if o.format == "rxn" else reaction.reaction_cml(mols[0], c("agent"), mols[1], c("reversible"))
+    return found.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), line.alias("line"))
 
 
 def lines(records: DataFrame, options: Options = Options()) -> DataFrame:
-    """doc_id, ord, line: the output of records in the options' format, in order of page, box and fragment."""
+    """doc_id, ord, line: the output of records in the options' format, in order of page, box and fragment; pages without any have no line.
+
+    An embedded SMILES is a property of SDF records. Reactions have `reaction_lines`.
+    """
     from ..functions import text as X
 
     order = Window.partitionBy("doc_id").orderBy("page_no", "box_id", "frag_id")
     o, c = options.checked(), F.col
-    if o.reactions or o.embedded:
-        raise ValueError(f"{o.embedded or o.format} output is not written yet")
+    if o.reactions or o.embedded == "inchi":
+        raise ValueError(f"{o.embedded or o.format} is not written from records")
+    records = records.where("error IS NULL")
     shown = [(o.bond_length, F.round("avg_bond", 4)), (o.shown_resolution, c("dpi")), (o.confidence, F.round("confidence", 4)), (o.page, c("page_no") + 1), (o.coordinates, X.box_text(c("x1"), c("y1"), c("x2"), c("y2")))]
     if o.format in ("sdf", "mol"):
-        props = [("Confidence_estimate", o.confidence, F.round("confidence", 4)), ("Average_bond_length", o.bond_length, F.round("avg_bond", 4)), ("Resolution", o.shown_resolution, c("dpi")), ("Page", o.page, c("page_no") + 1), ("Surrounding_box", o.coordinates, X.box_text(c("x1"), c("y1"), c("x2"), c("y2")))]
+        props = [("SMILES", bool(o.embedded), c("structure")), ("Confidence_estimate", o.confidence, F.round("confidence", 4)), ("Average_bond_length", o.bond_length, F.round("avg_bond", 4)), ("Resolution", o.shown_resolution, c("dpi")), ("Page", o.page, c("page_no") + 1), ("Surrounding_box", o.coordinates, X.box_text(c("x1"), c("y1"), c("x2"), c("y2")))]
         line = F.concat(c("mol"), *[F.concat(F.lit(f"> <{n}>\n"), v.cast("string"), F.lit("\n\n")) for n, on, v in props if on], F.lit("$$$$"))
     else:
         line = X.output_line(c("structure"), *[v.cast("string") for on, v in shown if on])

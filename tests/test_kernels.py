@@ -353,7 +353,7 @@ def test_unread_pages_and_unwritten_formats(spark, monkeypatch):
     monkeypatch.setattr(S, "MOST_SEGMENTS", 20)
     assert S.page_segments(dots, 0.1, False) == ([], True)
     records = spark.createDataFrame([], R.RECORDS)
-    for o in (R.Options(format="rsmi"), R.Options(format="cmlr"), R.Options(format="sdf", embedded="smi")):
+    for o in (R.Options(format="rsmi"), R.Options(format="cmlr"), R.Options(format="sdf", embedded="inchi")):
         with pytest.raises(ValueError):
             R.lines(records, o)
 
