@@ -58,6 +58,51 @@ def cascade(readers: list[Callable[[np.ndarray], str]], alphabet: str = READABLE
     return read
 
 
+def cuts(mask: np.ndarray, most: int = 64) -> list[int]:
+    """Columns before which fused glyphs may be parted: both edges, and where a column has less ink than those beside it, the thinnest ones first."""
+    ink = mask.sum(axis=0)
+    inner = [k for k in range(1, len(ink)) if ink[k] <= ink[k - 1] and ink[k] <= ink[min(k + 1, len(ink) - 1)]]
+    return sorted({0, len(ink), *sorted(inner, key=lambda k: (ink[k], k))[: most - 2]})
+
+
+def split_fused(mask: np.ndarray, reader: Callable[[np.ndarray], str], low: int, high: int) -> list[tuple[str, int, int]]:
+    """(character, first column, end) of the glyphs that a part of ink is best read as, from left to right; none if nothing can be read.
+
+    Every window between two cuts, from `low` to `high` columns wide, is read by itself. Of the windows that were read those are taken that do not
+    overlap and cover most columns, of equal ones the fewest: a choice of weighted intervals.
+    """
+    at = cuts(mask)
+    windows = []
+    for i, a in enumerate(at):
+        for b in at[i + 1 :]:
+            if low <= b - a <= high:
+                part = mask[:, a:b]
+                rows, cols = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                if len(rows) and (c := reader(part[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1])) != UNKNOWN:
+                    windows.append((b, a, c))
+    best: dict[int, tuple[int, int, tuple]] = {at[0]: (0, 0, ())}
+    for end in at[1:]:
+        before = max((best[k] for k in at if k in best and k < end), key=lambda x: (x[0], x[1]))
+        taken = [(best[a][0] + b - a, best[a][1] - 1, (*best[a][2], (c, a, b))) for b, a, c in windows if b == end]
+        best[end] = max([before, *taken], key=lambda x: (x[0], x[1]))
+    return list(best[at[-1]][2])
+
+
+def fused_glyphs(glyphs: DataFrame, reader: Callable[[np.ndarray], str], low: int, high: int) -> DataFrame:
+    """glyphs (height, width, ink binary, ...) that nobody could read, a row for each character read in them, with `a`, first and last column."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, g in enumerate(pdf.itertuples()):
+                rows += [(k, *found) for found in split_fused(np.frombuffer(g.ink, np.uint8).reshape(g.height, g.width) > 0, reader, low, high)]
+            out = pdf.iloc[[r[0] for r in rows]].copy()
+            out["a"], out["first"], out["last"] = [r[1] for r in rows], [r[2] for r in rows], [r[3] - 1 for r in rows]
+            yield out
+
+    return glyphs.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in glyphs.schema) + ", a string, first int, last int")
+
+
 def first_known(*answers: Column) -> Column:
     """The first of several readers' columns that is not unknown."""
     return F.coalesce(*[F.when(a != UNKNOWN, a) for a in answers], F.lit(UNKNOWN))

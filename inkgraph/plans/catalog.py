@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import agents, ensemble, evaluate, graph, labels, outline, select, spatial, stats, strokes
+from ..operators import agents, claims, ensemble, evaluate, graph, labels, outline, select, spatial, stats, strokes
 from ..sources import dictionary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,11 +111,11 @@ def dictionary_lines(spark, sf):
 
 
 def brand_types(spark, sf) -> DataFrame:
-    part = table(spark, sf, "part").where("p_size > 25")
+    part = table(spark, sf, "part")
     return dictionary.last_wins(part.select(F.col("p_brand").alias("key"), F.col("p_type").alias("value"), F.col("p_partkey").alias("n")))
 
 
-BRANDS = "dict AS (SELECT key, value FROM (SELECT p_brand AS key, p_type AS value, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS k FROM part WHERE p_size > 25) WHERE k = 1)"
+BRANDS = "dict AS (SELECT key, value FROM (SELECT p_brand AS key, p_type AS value, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS k FROM part) WHERE k = 1)"
 #: A label for each part: its brand, one of two letters, or H.
 LABEL = "CASE p_partkey % 4 WHEN 0 THEN 'h' WHEN 1 THEN 'H' ELSE p_brand END"
 
@@ -240,12 +240,6 @@ def connected_components(spark, sf):
     return graph.components(part_edges(spark, sf))
 
 
-@query(f"WITH {CC} SELECT component, min(node % 97) AS x1, min(node % 89) AS y1, max(node % 97) AS x2, max(node % 89) AS y2, count(*) AS n FROM cc GROUP BY component")
-def fragment_bbox(spark, sf):
-    nodes = graph.components(part_edges(spark, sf)).withColumn("x", F.col("node") % 97).withColumn("y", F.col("node") % 89)
-    return graph.component_boxes(nodes, [])
-
-
 def order_bonds(spark, sf) -> DataFrame:
     """A graph an order: its lines as bonds between part and supplier, atoms numbered small."""
     li = table(spark, sf, "lineitem")
@@ -255,6 +249,17 @@ def order_bonds(spark, sf) -> DataFrame:
 BONDS = "bonds AS (SELECT DISTINCT l_orderkey, l_linenumber AS bond_idx, l_partkey % 6 AS a, l_suppkey % 6 AS b, CASE WHEN l_tax > 0.04 THEN 2 ELSE 1 END AS type, l_discount > 0.08 AS arom FROM lineitem)"
 
 
+@query(f"""WITH RECURSIVE {BONDS}, n AS (SELECT l_orderkey, a, b FROM bonds UNION SELECT l_orderkey, b, a FROM bonds),
+r AS (SELECT l_orderkey, a AS node, a AS seen FROM n UNION SELECT r.l_orderkey, r.node, n.b FROM r JOIN n ON r.l_orderkey = n.l_orderkey AND r.seen = n.a),
+c AS (SELECT l_orderkey, node, min(seen) AS component FROM r GROUP BY ALL)
+SELECT l_orderkey, component, min((l_orderkey * 31 + node * 37) % 97) AS x1, min((l_orderkey * 17 + node * 53) % 89) AS y1, max((l_orderkey * 31 + node * 37) % 97) AS x2, max((l_orderkey * 17 + node * 53) % 89) AS y2, count(*) AS n FROM c GROUP BY ALL""")
+def fragment_bbox(spark, sf):
+    """Fragments of a graph an order, several in many of them."""
+    k, n = F.col("l_orderkey"), F.col("node")
+    nodes = graph.components(order_bonds(spark, sf), ["l_orderkey"]).withColumn("x", (k * 31 + n * 37) % 97).withColumn("y", (k * 17 + n * 53) % 89)
+    return graph.component_boxes(nodes, ["l_orderkey"])
+
+
 @query(f"""WITH {BONDS}, e AS (SELECT l_orderkey, a AS atom_idx, type, arom FROM bonds UNION ALL SELECT l_orderkey, b, type, arom FROM bonds)
 SELECT l_orderkey, atom_idx FROM e GROUP BY ALL HAVING count(*) = 1 AND max(type) = 1 AND NOT bool_or(arom)""")
 def degree_terminal(spark, sf):
@@ -279,10 +284,12 @@ def multi_edge_order(spark, sf):
     return graph.merged_bonds(order_bonds(spark, sf), ["l_orderkey"])
 
 
-@query("SELECT c_custkey AS atom_idx FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ")
+@query(f"""WITH {BONDS}, a AS (SELECT DISTINCT l_orderkey, unnest(range(6)) AS atom_idx FROM lineitem)
+SELECT l_orderkey, atom_idx FROM a WHERE NOT EXISTS (SELECT 1 FROM bonds b WHERE b.l_orderkey = a.l_orderkey AND (b.a = atom_idx OR b.b = atom_idx))""")
 def disconnected_nodes(spark, sf):
-    bonds = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("a"), F.col("o_custkey").alias("b"))
-    return graph.disconnected_atoms(table(spark, sf, "customer").select(F.col("c_custkey").alias("atom_idx")), bonds, [])
+    """Of six atoms an order those on none of its bonds."""
+    atoms = table(spark, sf, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<long>")).alias("atom_idx"))
+    return graph.disconnected_atoms(atoms, order_bonds(spark, sf), ["l_orderkey"])
 
 
 @query(f"""WITH {PTS}, p AS (SELECT page_no, a.id AS id1, b.id AS id2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM pts a JOIN pts b USING (page_no) WHERE a.label % 2 = 0 AND b.label % 2 = 1)
@@ -370,12 +377,17 @@ def geometry_offsets(spark, sf):
     return p.select("id", F.round(d, 6).alias("d"), F.round(off, 6).alias("off"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'N' WHEN o_orderkey % 5 = 1 THEN 'N' WHEN o_orderkey % 5 = 2 THEN 'O' WHEN o_orderkey % 5 = 3 THEN '' ELSE 'NH3' END AS bare,
-CASE WHEN o_orderkey % 5 = 0 THEN 1 WHEN o_orderkey % 5 = 1 THEN -2 WHEN o_orderkey % 5 = 2 THEN -1 WHEN o_orderkey % 5 = 3 THEN 0 ELSE 2 END AS charge FROM orders""")
+#: Signs before and after an element's letters: up to two minus, then one plus in front, up to two plus or minus behind; or none but signs.
+CHARGED = "substr('--', 1, p_size % 3) || CASE WHEN p_partkey % 4 = 0 THEN '+' ELSE '' END || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE upper(substr(p_name, 1, 1)) END || substr(CASE WHEN p_partkey % 2 = 0 THEN '++' ELSE '--' END, 1, CAST(p_partkey % 3 AS INT))"
+
+
+@query(f"""WITH l AS (SELECT p_partkey, {CHARGED} AS label FROM part), s AS (SELECT *, replace(replace(label, '-', ''), '+', '') AS bare, replace(label, '-', '') AS no_minus, length(label) - length(replace(label, '-', '')) AS minus, length(label) - length(replace(label, '+', '')) AS plus FROM l)
+SELECT p_partkey, label, bare, (CASE WHEN bare = '' THEN 0 ELSE plus - greatest(length(no_minus) - length(ltrim(no_minus, '+')) - 1, 0) END
+ - CASE WHEN bare = '' OR no_minus[1:1] = '+' THEN 0 ELSE minus - greatest(length(label) - length(ltrim(label, '-')) - 1, 0) END)::INT AS charge FROM s""")
 def label_charge(spark, sf):
-    label = F.element_at(F.array(*[F.lit(x) for x in ("N+", "N--", "-O", "+", "-+NH3-+")]), (F.col("o_orderkey") % 5).cast("int") + 1)
-    bare, charge = labels.signed_charge(label)
-    return table(spark, sf, "orders").select("o_orderkey", bare.alias("bare"), charge.alias("charge"))
+    part = table(spark, sf, "part").select("p_partkey", F.expr(CHARGED).alias("label"))
+    bare, charge = labels.signed_charge(F.col("label"))
+    return part.select("p_partkey", "label", bare.alias("bare"), charge.alias("charge"))
 
 
 @query("""SELECT l_orderkey, CASE WHEN count(*) > 1 THEN list_sort(list(l_quantity))[3 * (count(*) - 1) // 4 + 1] ELSE 10.0 END AS p75,
@@ -489,3 +501,65 @@ def small_straight_curves(spark, sf):
     curves = table(spark, sf, "orders").select(F.col("o_orderkey").alias("curve_id"), F.col("o_custkey").alias("page_no"), (F.col("o_totalprice") / 1000 - 50).alias("area"))
     points = points.join(curves.select("curve_id", "page_no"), "curve_id")
     return strokes.small_bonds(points, curves, ["page_no"], 300.0, 40.0, 2.5)
+
+
+def upright_strokes(spark, sf) -> DataFrame:
+    """A stroke a part, 100 a page: upright, slanted or level by its number."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    x, y = (k * 37 % 240).cast("double"), (k * 53 % 180).cast("double")
+    return table(spark, sf, "part").select(F.expr("p_partkey div 100").alias("page_no"), k.alias("bond_idx"), x.alias("x1"), y.alias("y1"), (x + k % 5 * 2).alias("x2"), (y + 6 + n % 20).alias("y2"), (1 + F.floor(n / 45)).cast("int").alias("type"), (k % 7 != 0).alias("alone"))
+
+
+STROKES = """b AS (SELECT p_partkey // 100 AS page_no, p_partkey AS bond_idx, (p_partkey * 37 % 240)::DOUBLE AS x1, (p_partkey * 53 % 180)::DOUBLE AS y1, p_partkey * 37 % 240 + p_partkey % 5 * 2 AS x2, p_partkey * 53 % 180 + 6 + p_size % 20 AS y2, (1 + p_size // 45)::INT AS type, p_partkey % 7 <> 0 AS alone FROM part),
+l AS (SELECT s_suppkey // 5 AS page_no, s_suppkey AS letter_idx, (s_suppkey * 71 % 240)::DOUBLE AS x, (s_suppkey * 29 % 180)::DOUBLE AS y, 6.0::DOUBLE + s_suppkey % 4 AS r FROM supplier)"""
+
+
+@query(f"""WITH RECURSIVE {STROKES}, t AS (SELECT page_no, bond_idx AS id, (x1 + x2) / 2 AS sx, (y1 + y2) / 2 AS sy, x1, y1, x2, y2, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS size FROM b WHERE type = 1 AND alone AND abs(x1 - x2) < abs(y1 - y2)),
+s AS (SELECT * FROM t WHERE size > 7 AND size < 22),
+m AS (SELECT s.*, letter_idx, x, y, r, sqrt((sx - x) ** 2 + (sy - y) ** 2) AS d FROM s JOIN l USING (page_no)),
+p AS (SELECT page_no, id, letter_idx, row_number() OVER (PARTITION BY page_no ORDER BY round(d, 6), id, letter_idx) AS k FROM m WHERE d < 44 AND d < size / 2 + r AND abs(sy - y) < least(size / 2, r)),
+g AS (SELECT page_no, 0::BIGINT AS k, []::BIGINT[] AS ids, []::BIGINT[] AS letters, NULL::BIGINT AS id FROM (SELECT DISTINCT page_no FROM p)
+      UNION ALL SELECT g.page_no, p.k, CASE WHEN free THEN list_append(ids, p.id) ELSE ids END, CASE WHEN free THEN list_append(letters, letter_idx) ELSE letters END, CASE WHEN free THEN p.id END
+      FROM g JOIN p ON p.page_no = g.page_no AND p.k = g.k + 1, LATERAL (SELECT NOT list_contains(ids, p.id) AND NOT list_contains(letters, letter_idx) AS free)),
+c AS (SELECT page_no, id FROM g WHERE id IS NOT NULL),
+i AS (SELECT DISTINCT page_no, id FROM m WHERE d < 44 AND least(abs(((x2 - x1) * (x - x1) + (y2 - y1) * (y - y1)) / size), abs(((x2 - x1) * (x - x2) + (y2 - y1) * (y - y2)) / size)) - r <= size / 2 AND abs(((y2 - y1) * (x - x1) - (x2 - x1) * (y - y1)) / size) <= r / 2),
+u AS (SELECT page_no, id FROM s ANTI JOIN i USING (page_no, id) WHERE abs(x1 - x2) < 3 AND abs(y1 - y2) > 7)
+SELECT page_no, id AS bond_idx, a, sx AS x, sy AS y, round(size / 2, 6) AS r FROM (SELECT page_no, id, 'l' AS a FROM c UNION ALL SELECT page_no, id, 'I' FROM u ANTI JOIN c USING (page_no, id)) JOIN s USING (page_no, id)""")
+def stroke_characters(spark, sf):
+    k = F.col("s_suppkey")
+    letters = table(spark, sf, "supplier").select(F.expr("s_suppkey div 5").alias("page_no"), k.alias("letter_idx"), (k * 71 % 240).cast("double").alias("x"), (k * 29 % 180).cast("double").alias("y"), (6.0 + k % 4).alias("r"))
+    return claims.stroke_letters(upright_strokes(spark, sf), letters, ["page_no"], 7.0, 22.0).withColumn("r", F.round("r", 6))
+
+
+@query(f"""WITH {STROKES}, x AS (SELECT page_no, letter_idx AS box, x - 9 AS bx1, y - 12 AS by1, x + 9 AS bx2, y + 12 AS by2 FROM l)
+SELECT page_no, bond_idx, x1, y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.page_no = b.page_no AND x1 BETWEEN bx1 AND bx2 AND y1 BETWEEN by1 AND by2 AND x2 BETWEEN bx1 AND bx2 AND y2 BETWEEN by1 AND by2)""")
+def bonds_outside_glyphs(spark, sf):
+    k = F.col("s_suppkey")
+    x, y = k * 71 % 240, k * 29 % 180
+    boxes = table(spark, sf, "supplier").select(F.expr("s_suppkey div 5").alias("page_no"), k.alias("box"), (x - 9).alias("x1"), (y - 12).alias("y1"), (x + 9).alias("x2"), (y + 12).alias("y2"))
+    return claims.bonds_outside_glyphs(upright_strokes(spark, sf), boxes, ["page_no"]).select("page_no", "bond_idx", "x1", "y1", "x2", "y2")
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey, l_linenumber AS bond_idx, l_partkey % 9 AS a, l_suppkey % 9 AS b, l_quantity::DOUBLE AS x1, (l_partkey % 30)::DOUBLE AS y1, l_quantity + l_linenumber AS x2, l_partkey % 30 + l_suppkey % 7 AS y2 FROM lineitem WHERE l_partkey % 9 <> l_suppkey % 9),
+n AS (SELECT l_orderkey, a, b FROM e UNION SELECT l_orderkey, b, a FROM e),
+r AS (SELECT l_orderkey, a AS node, a AS seen FROM n UNION SELECT r.l_orderkey, r.node, n.b FROM r JOIN n ON r.l_orderkey = n.l_orderkey AND r.seen = n.a),
+c AS (SELECT l_orderkey, node, min(seen) AS component FROM r GROUP BY ALL),
+g AS (SELECT e.l_orderkey, component, min(least(x1, x2)) AS x1, min(least(y1, y2)) AS y1, max(greatest(x1, x2)) AS x2, max(greatest(y1, y2)) AS y2, count(*) AS n FROM e JOIN c ON c.l_orderkey = e.l_orderkey AND c.node = e.a GROUP BY ALL)
+SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, round(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 2, 6) AS r FROM g WHERE x2 - x1 < 30 AND y2 - y1 < 25 AND n > 1""")
+def unread_characters(spark, sf):
+    c = F.col
+    li = table(spark, sf, "lineitem").where("l_partkey % 9 <> l_suppkey % 9")
+    x, y = c("l_quantity").cast("double"), (c("l_partkey") % 30).cast("double")
+    bonds = li.select("l_orderkey", c("l_linenumber").alias("bond_idx"), (c("l_partkey") % 9).alias("a"), (c("l_suppkey") % 9).alias("b"), x.alias("x1"), y.alias("y1"), (x + c("l_linenumber")).alias("x2"), (y + c("l_suppkey") % 7).alias("y2"))
+    return claims.unread_groups(bonds, ["l_orderkey"], 30.0, 25.0, 1).withColumn("r", F.round("r", 6))
+
+
+@query("""WITH g AS (SELECT p_partkey // 200 AS page_no, p_partkey AS id, p_partkey * 37 % 151 AS x1, p_partkey * 53 % 127 AS y1, p_partkey * 37 % 151 + 5 + p_size % 3 AS x2, p_partkey * 53 % 127 + 9 + p_size % 4 AS y2, p_size % 3 = 0 AS digit FROM part),
+m AS (SELECT d.page_no, d.id AS mark, l.id AS glyph, abs(d.x1 - l.x2) AS gap FROM g d JOIN g l ON d.page_no = l.page_no AND d.digit AND NOT l.digit
+      WHERE d.x1 BETWEEN l.x2 - (l.x2 - l.x1 + 1) * 0.25 AND l.x2 + (l.x2 - l.x1 + 1) AND (d.y1 + d.y2) / 2 BETWEEN (l.y1 + l.y2) / 2 AND l.y2 + (l.y2 - l.y1 + 1) * 0.5)
+SELECT page_no, mark, glyph FROM m QUALIFY row_number() OVER (PARTITION BY page_no, mark ORDER BY gap, glyph) = 1""")
+def subscript_letters(spark, sf):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    x, y = k * 37 % 151, k * 53 % 127
+    g = table(spark, sf, "part").select(F.expr("p_partkey div 200").alias("page_no"), k.alias("glyph_idx"), x.alias("x1"), y.alias("y1"), (x + 5 + n % 3).alias("x2"), (y + 9 + n % 4).alias("y2"), (n % 3 == 0).alias("digit"))
+    return claims.subscripts(g.where("not digit"), g.where("digit"), ["page_no"])
