@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import agents, claims, ensemble, evaluate, graph, labels, outline, select, spatial, stats, strokes
+from ..operators import agents, claims, ensemble, evaluate, graph, labels, outline, select, spatial, stats, strokes, tidy
 from ..sources import dictionary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -563,3 +563,32 @@ def subscript_letters(spark, sf):
     x, y = k * 37 % 151, k * 53 % 127
     g = table(spark, sf, "part").select(F.expr("p_partkey div 200").alias("page_no"), k.alias("glyph_idx"), x.alias("x1"), y.alias("y1"), (x + 5 + n % 3).alias("x2"), (y + 9 + n % 4).alias("y2"), (n % 3 == 0).alias("digit"))
     return claims.subscripts(g.where("not digit"), g.where("digit"), ["page_no"])
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey, round(l_extendedprice / 10000, 2) AS gap, 16.0::DOUBLE AS average FROM lineitem WHERE l_extendedprice / 10000 < 8),
+s AS (SELECT *, coalesce(lead(gap) OVER (PARTITION BY l_orderkey ORDER BY gap), average / 2) - gap AS step FROM p WHERE gap < average / 2)
+SELECT l_orderkey, round(gap + least(step / 2, average / 16), 6) AS reach FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY step DESC, gap DESC) = 1""")
+def double_bond_gaps(spark, sf):
+    """Gaps of parallel lines of a drawing: an order's prices."""
+    li = table(spark, sf, "lineitem")
+    pairs = li.select("l_orderkey", F.round(F.col("l_extendedprice") / 10000, 2).alias("gap"), F.lit(16.0).alias("average")).where(li["l_extendedprice"] / 10000 < 8)
+    return tidy.double_gaps(pairs, ["l_orderkey"]).withColumn("reach", F.round("reach", 6))
+
+
+@query("""WITH b AS (SELECT DISTINCT l_orderkey, (l_partkey % 6 * 6 + l_suppkey % 6)::INT AS bond_idx, (l_partkey % 6)::INT AS a, (l_suppkey % 6)::INT AS b FROM lineitem WHERE l_partkey % 6 <> l_suppkey % 6),
+p AS (SELECT DISTINCT l_orderkey, n AS atom_idx, ((l_orderkey * 31 + n * 37) % 97)::DOUBLE AS x, ((l_orderkey * 17 + n * 53) % 89)::DOUBLE AS y FROM lineitem, (SELECT unnest(range(6))::INT AS n)),
+l AS (SELECT b.*, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS len FROM b JOIN p ON p.l_orderkey = b.l_orderkey AND p.atom_idx = a JOIN p q ON q.l_orderkey = b.l_orderkey AND q.atom_idx = b),
+o AS (SELECT p.* FROM p WHERE EXISTS (SELECT 1 FROM b WHERE b.l_orderkey = p.l_orderkey AND (b.a = p.atom_idx OR b.b = p.atom_idx))),
+m AS (SELECT l.l_orderkey, bond_idx, atom_idx, ((x2 - x1) * (x - x1) + (y2 - y1) * (y - y1)) / len AS along, ((y2 - y1) * (x - x1) - (x2 - x1) * (y - y1)) / len AS off, len FROM l JOIN o ON o.l_orderkey = l.l_orderkey AND atom_idx <> a AND atom_idx <> b WHERE len > 0),
+j AS (SELECT l_orderkey, bond_idx, list(atom_idx ORDER BY along, atom_idx) AS joints FROM m WHERE abs(off) < 6 AND along > 6 AND along < len - 6 GROUP BY ALL),
+e AS (SELECT b.*, list_concat([a], coalesce(joints, []), [b]) AS ends FROM b LEFT JOIN j USING (l_orderkey, bond_idx)),
+k AS (SELECT l_orderkey, bond_idx, ends, unnest(range(1, len(ends))) AS k FROM e)
+SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY bond_idx, k) - 1)::INT AS bond_idx, ends[k] AS a, ends[k + 1] AS b, 1 AS type FROM k""")
+def bonds_split_at_joints(spark, sf):
+    """A graph an order of six atoms, its bonds between those that its lines name."""
+    c, li = F.col, table(spark, sf, "lineitem")
+    a, b = (c("l_partkey") % 6).cast("int"), (c("l_suppkey") % 6).cast("int")
+    bonds = li.where("l_partkey % 6 <> l_suppkey % 6").select("l_orderkey", (a * 6 + b).alias("bond_idx"), a.alias("a"), b.alias("b"), F.lit(1).alias("type")).distinct()
+    atoms = li.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("atom_idx"))
+    atoms = atoms.select("*", ((c("l_orderkey") * 31 + c("atom_idx") * 37) % 97).cast("double").alias("x"), ((c("l_orderkey") * 17 + c("atom_idx") * 53) % 89).cast("double").alias("y"))
+    return tidy.split_at_joints(atoms, bonds, 6.0, ["l_orderkey"])
