@@ -130,25 +130,32 @@ def collapsed(points: DataFrame, reach: float, keys: list[str] = ()) -> DataFram
     return whole.groupBy(*keys, "id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
 
 
-def rejoin_pairs(atoms: DataFrame, fragments: DataFrame, keys: list[str], average: float) -> DataFrame:
+def rejoin_pairs(atoms: DataFrame, fragments: DataFrame, keys: list[str], average: float | str) -> DataFrame:
     """keys, a, b, gap, coincide: for each two fragments of a graph of at most three the closest pair of atoms near enough to join.
 
     atoms: keys, atom_idx, x, y, label; fragments: keys, atom_idx, component. Fragments have over two atoms. A gap over a third and
-    under 1.1 of the average bond is a new bond if no label is longer than one character; a smaller one makes the atoms coincide.
+    under 1.1 of the average bond (a number, or a column of atoms) is a new bond if no label is longer than one character; a smaller one makes the atoms
+    coincide. Atoms meet by cells of 1.1 average bonds; a is the atom of the fragment with the smaller name.
     """
-    own = list(keys)
-    f = atoms.join(fragments, [*own, "atom_idx"]).withColumn("_graph", F.lit(0))
-    fragments, keys = fragments.withColumn("_graph", F.lit(0)), [*own, "_graph"]
+    from ..functions.geometry import distance
+    from .spatial import near_pairs
+
+    c, own = F.col, list(keys)
+    unit = c(average) if isinstance(average, str) else F.lit(float(average))
+    keys = [*own, "_graph"]  # a graph without keys is one too
+    fragments = fragments.withColumn("_graph", F.lit(0))
     sizes = fragments.groupBy(*keys, "component").count()
-    few = sizes.groupBy(*keys).agg(F.count("*").alias("n")).where("n between 2 and 3")
-    f = f.join(sizes.where("count > 2").drop("count"), [*keys, "component"], "left_semi").join(few, keys, "left_semi")
-    left = f.select(*keys, F.col("component").alias("c1"), F.col("atom_idx").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("label").alias("al"))
-    right = f.select(*keys, F.col("component").alias("c2"), F.col("atom_idx").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("label").alias("bl"))
-    pairs = left.join(right, keys).where("c1 < c2").withColumn("gap", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
-    best = pairs.groupBy(*keys, "c1", "c2").agg(F.min(F.struct("gap", "a", "b", "al", "bl")).alias("p")).select(*keys, "p.*")
-    short = (F.length(F.trim("al")) < 2) & (F.length(F.trim("bl")) < 2)
-    near = F.col("gap") <= average / 3
-    return best.where(near | ((F.col("gap") < 1.1 * average) & short)).select(*own, "a", "b", "gap", near.alias("coincide"))
+    few = sizes.groupBy(*keys).agg(F.count("*").alias("n")).where("n between 2 and 3").drop("n")
+    f = atoms.withColumn("_unit", unit).withColumn("_graph", F.lit(0)).join(fragments, [*keys, "atom_idx"]).join(few, keys, "left_semi")
+    f = f.join(sizes.where("count > 2").drop("count"), [*keys, "component"], "left_semi").select(*keys, "component", "atom_idx", "x", "y", "label", "_unit")
+    points = f.select(*keys, c("atom_idx").alias("id"), (c("x") / c("_unit")).alias("x"), (c("y") / c("_unit")).alias("y"))
+    side = lambda k: f.select(*keys, c("atom_idx").alias(f"id{k}"), c("component").alias(f"c{k}"), c("x").alias(f"x{k}"), c("y").alias(f"y{k}"), c("label").alias(f"l{k}"), *([c("_unit")] if k == 1 else []))
+    met = near_pairs(points, points, 1.1, distance, keys).select(*keys, "id1", "id2").join(side(1), [*keys, "id1"]).join(side(2), [*keys, "id2"]).where("c1 < c2")
+    gap = distance(c("x1"), c("y1"), c("x2"), c("y2"))
+    best = met.groupBy(*keys, "c1", "c2", "_unit").agg(F.min(F.struct(gap.alias("gap"), c("id1").alias("a"), c("id2").alias("b"), "l1", "l2")).alias("p")).select(*keys, "_unit", "p.*")
+    short = (F.length(F.trim("l1")) < 2) & (F.length(F.trim("l2")) < 2)
+    near = c("gap") <= c("_unit") / 3
+    return best.where(near | ((c("gap") < 1.1 * c("_unit")) & short)).select(*own, "a", "b", "gap", near.alias("coincide"))
 
 
 FEATURES = (

@@ -199,14 +199,23 @@ def structures(graphs: DataFrame, spelling: DataFrame | None = None, superatoms:
     """RECORDS of GRAPHS, one for each fragment worth keeping: labels corrected by `spelling` (key, value), charges taken from them,
     groups resolved by `superatoms` (key, SMILES as value), then the structure's text, 26 features and their weighted sum.
 
-    A fragment is named by its smallest atom. One with 5 atoms or fewer, or 250 or more, is left out. An atom that a superatom
+    Fragments of a graph of two or three that come near each other are joined (see graph.rejoin_pairs). A fragment is named by its smallest atom. One with 5 atoms or fewer, or 250 or more, is left out. An atom that a superatom
     replaces counts as a labelled carbon among the features. graphs is read several times: cut its lineage before.
     """
+    from ..sources.storage import cut
+
     spark, part, c = graphs.sparkSession, [*BOX, "frag_id"], F.col
     empty = spark.createDataFrame([], "key string, value string")
     raw = graphs.select(*BOX, F.explode("atoms").alias("v")).select(*BOX, "v.*")
     links = graph.distinct_bonds(graphs.select(*BOX, F.explode("bonds").alias("v")).select(*BOX, "v.*"), BOX)
-    own = graph.components(links, BOX).select(*BOX, c("node").alias("atom_idx"), c("component").alias("frag_id"))
+    own = graph.components(links, BOX).select(*BOX, c("node").alias("atom_idx"), "component")
+    # parts of one drawing that the tracing left apart
+    gaps = cut(graph.rejoin_pairs(raw.join(graphs.select(*BOX, "average"), BOX), own, BOX, "average"))
+    if gaps.head(1):
+        made = gaps.where("not coincide").select(*BOX, (c("a") * 1000 + c("b") + 1_000_000).cast("int").alias("bond_idx"), "a", "b", F.lit(1).alias("type"), *[F.lit(False).alias(n) for n in ("hash", "wedge", "arom")])
+        raw, links = tidy.united(raw, links.unionByName(made), gaps.where("coincide").select(*BOX, "a", "b"), BOX)
+        own = graph.components(links, BOX).select(*BOX, c("node").alias("atom_idx"), "component")
+    own = own.withColumnRenamed("component", "frag_id")
     sizes = own.groupBy(*part).count().where((c("count") > select.MIN_ATOMS) & (c("count") < select.MAX_ATOMS)).drop("count")
     own = own.join(sizes, part, "left_semi")
     bonds = links.join(own.withColumnRenamed("atom_idx", "a"), [*BOX, "a"])

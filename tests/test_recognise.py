@@ -110,3 +110,34 @@ def test_pages_of_which_there_is_nothing_have_a_reason(spark, monkeypatch):
     assert [r.doc_id for r in R.lines(records, OPTIONS).collect()] == [0]
     (sdf,) = R.lines(records, R.Options(format="sdf", embedded="can")).collect()
     assert f"> <SMILES>\n{rows[0].structure}\n" in sdf.line
+
+
+def test_fragments_that_come_near_are_one(spark):
+    zigzag = lambda first, x, y=50.0, up=5.0: [(first + k, x + 10.0 * k, y + up * (k % 2), " ") for k in range(4)]
+    atoms = [*zigzag(0, 0.0), *zigzag(4, 39.0), *zigzag(8, 71.0, 55.0, -5.0)]  # a gap of nine tenths of a bond, then one of a fifth
+    bonds = [(n, a, a + 1, 1, False, False, False) for n, a in enumerate([0, 1, 2, 4, 5, 6, 8, 9, 10])]
+    far = [(k, 500.0 * (k // 6) + 10.0 * k, 5.0 * (k % 2), " ") for k in range(12)]
+    links = [(k, k, k + 1, 1, False, False, False) for k in range(11) if k != 5]
+    graphs = spark.createDataFrame([(1, 0, 0, 2, 300, 0, 0, 1.0, 10.0, atoms, bonds), (2, 0, 0, 2, 300, 0, 0, 1.0, 10.0, far, links)], R.GRAPHS)
+    got = sorted((r.doc_id, r.structure) for r in R.structures(graphs).collect())
+    assert got == [(1, "C" * 11), (2, "C" * 6), (2, "C" * 6)]
+
+
+def test_accuracy_of_a_folder(spark, tmp_path):
+    from inkgraph.plans.accuracy import accuracy
+    from inkgraph.sources import images
+
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "truth").mkdir()
+    for name, kind in (("one", "wedge"), ("two", "hash")):
+        (tmp_path / "pages" / f"{name}.png").write_bytes(images.encode_png(methylhexane(kind)))
+        a, b = chem.parse_smiles("CCCC(C)CC")
+        xy = [(0, 0), (1, -0.5), (2, 0), (3, -0.5), (3, -1.5), (4, 0), (5, -0.5)]
+        for atom, (x, y) in zip(a, xy, strict=True):
+            atom["x"], atom["y"] = x, y
+        (mark,) = [x for x in b if {x["a"], x["b"]} == {3, 4}]
+        mark.update(a=3, b=4, wedge=True)  # true of the first page, the mirror image of the second
+        (tmp_path / "truth" / f"{name}.sdf").write_text(chem.sd_record(chem.molfile(a, b), {}))
+    (tmp_path / "truth" / "three.sdf").write_text(chem.sd_record(chem.molfile(*chem.parse_smiles("CO")), {}))
+    got = accuracy(images.read_pages(spark, str(tmp_path / "pages")), chem.read_sd(spark, str(tmp_path / "truth")), OPTIONS).first()
+    assert (got.identical, got.total) == (1, 3) and got.recall == pytest.approx(1 / 3)
