@@ -135,12 +135,13 @@ GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 5 >= n_shingles * 4
 OP8_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
-p AS (SELECT doc_id, i, line, h, lag(h) OVER (PARTITION BY doc_id ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM h),
-s AS (SELECT doc_id, regexp_replace(string_agg(CASE WHEN p IS NOT NULL AND n - i >= 2 AND (h = p OR ((p * 1000003 + h) >> 6) % 3 = 0) THEN '1' ELSE '0' END, '' ORDER BY i), '1.', '10', 'g') AS signs FROM p GROUP BY doc_id),
+p AS (SELECT doc_id, i, line, h, lag(h) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM h),
+s AS (SELECT doc_id, regexp_replace(string_agg(CASE WHEN p IS NOT NULL AND (h = p OR ((p * 1000003 + h) >> 6) % 3 = 0) THEN '1' ELSE '0' END, '' ORDER BY i), '1.', '10', 'g') AS signs FROM p GROUP BY doc_id),
 b AS (SELECT doc_id, i, line, substr(signs, i, 1) = '1' AS border FROM p JOIN s USING (doc_id)),
 c AS (SELECT doc_id, i, line, coalesce(sum(border::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
 t AS (SELECT doc_id, k, min(i) AS i, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, k),
-r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) AS nth FROM t WHERE n >= 2),
+u AS (SELECT doc_id, k, i, n < 2 AS tail, CASE WHEN n < 2 THEN lag(chunk) OVER (PARTITION BY doc_id ORDER BY k) || chr(10) || chunk ELSE chunk END AS key FROM t),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY tail, key ORDER BY doc_id, i) AS nth FROM u WHERE key IS NOT NULL),
 m AS (SELECT c.doc_id, c.i, line, coalesce(nth, 1) > 1 AS gone FROM c LEFT JOIN r USING (doc_id, k)),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256

@@ -15,7 +15,7 @@ def plain(rows):
         for i, line in enumerate(lines):
             h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
             cut = before is not None and (h == before or ((before * 1000003 + h) >> 6) % 3 == 0)
-            if cut and i - start >= 1 and i < len(lines) - 2 or i == len(lines) - 1:
+            if cut and i - start >= 1 or i == len(lines) - 1:
                 out.append((start, lines[start : i + 1]))
                 start = i + 1
             before = h
@@ -24,15 +24,16 @@ def plain(rows):
     key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
     seen, out = set(), {}
     for r in sorted({r for r in rows if r[1] is not None}, key=key):
-        kept, n = [], 0
+        kept, n, last = [], 0, None
         for _, chunk in cut_up(r[1]):
-            name = tuple(chunk)
-            if len(chunk) >= 2 and name in seen:
+            tail = len(chunk) < 2  # what is left at the end goes by the chunk before it too
+            name = (tail, *(last if tail and last else []), *chunk) if last or not tail else None
+            if name and name in seen:
                 n += len(chunk)
             else:
                 kept += chunk
-            if len(chunk) >= 2:
-                seen.add(name)
+            seen.add(name)
+            last = chunk
         out[r] = (len(r[1].split("\n")), n, "\n".join(kept))
     return Counter((r[0], *out.get(r, (0, 0, ""))) for r in rows)
 
