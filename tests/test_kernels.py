@@ -214,6 +214,85 @@ def test_png_and_pnm():
     assert images.sniff(b"%PDF-1") == "pdf" and images.sniff(b"zz") is None
 
 
+def filtered_png(a, depth, colour, kinds, interlace=False, extra=b""):
+    """A PNG of samples (height, width, channels) under the filters given, row by row; byte by byte."""
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def packed(row):
+        if depth == 16:
+            return list(row.astype(">u2").tobytes())
+        if depth == 8:
+            return row.tolist()
+        bits = "".join(format(v, f"0{depth}b") for v in row.tolist())
+        bits += "0" * (-len(bits) % 8)
+        return [int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)]
+
+    def rows(part):
+        unit, out, above = max(1, part.shape[2] * depth // 8), b"", None
+        for y, row in enumerate(part.reshape(len(part), -1)):
+            line = packed(row)
+            above, kind = above or [0] * len(line), kinds[y % len(kinds)]
+            got = []
+            for i, v in enumerate(line):
+                l, u, c = (line[i - unit] if i >= unit else 0), above[i], (above[i - unit] if i >= unit else 0)
+                by_distance = sorted([(abs(u - c), 0, l), (abs(l - c), 1, u), (abs(l + u - 2 * c), 2, c)])[0][2]
+                got.append((v - (0, l, u, (l + u) // 2, by_distance)[kind]) % 256)
+            out, above = out + bytes([kind, *got]), line
+        return out
+
+    h, w, _ = a.shape
+    passes = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)] if interlace else [(0, 0, 1, 1)]
+    raw = b"".join(rows(a[y::dy, x::dx]) for x, y, dx, dy in passes if a[y::dy, x::dx].size)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlace)) + extra + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("interlace", [False, True])
+@pytest.mark.parametrize("shape", [(13, 11), (1, 9), (9, 1), (3, 40), (1, 1)])
+@pytest.mark.parametrize("kinds", [(0,), (1, 2), (3,), (4,), (0, 1, 2, 3, 4)])
+def test_png_of_all_depths_and_filters(shape, kinds, interlace):
+    rng = np.random.default_rng(7)
+    for depth, colour, n in ((1, 0, 1), (2, 0, 1), (4, 0, 1), (8, 0, 1), (16, 0, 1), (8, 2, 3), (16, 2, 3), (8, 4, 2), (16, 6, 4)):
+        a = rng.integers(0, 1 << depth, (*shape, n)).astype(np.uint16)
+        want = np.round(a * (255 / ((1 << depth) - 1)))
+        if colour in (4, 6):
+            alpha = want[..., -1:] / 255
+            want = np.round(want[..., :-1] * alpha + 255 * (1 - alpha))
+        got = images.decode_png(filtered_png(a, depth, colour, kinds, interlace))
+        assert (got.reshape(want.shape) == want).all(), (depth, colour)
+
+
+def test_png_palettes_and_transparent_shades():
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    a = np.array([[0, 1], [2, 1]], np.uint16)[:, :, None]
+    colours = chunk(b"PLTE", bytes([10, 20, 30, 40, 50, 60, 70, 80, 90]))
+    got = images.decode_png(filtered_png(a, 2, 3, (0,), extra=colours + chunk(b"tRNS", bytes([0]))))
+    assert got.tolist() == [[[255] * 3, [40, 50, 60]], [[70, 80, 90], [40, 50, 60]]]
+    assert images.decode_png(filtered_png(a, 2, 3, (4,), extra=colours)).tolist()[0][0] == [10, 20, 30]
+    assert images.decode_png(filtered_png(a, 8, 0, (0,), extra=chunk(b"tRNS", b"\0\1"))).tolist() == [[0, 255], [2, 255]]
+
+
+def test_pnm_of_all_kinds():
+    a = np.array([[0, 1, 1], [1, 0, 0]])
+    ink = (1 - a) * 255
+    assert (images.decode(b"P1\n# c\n3 2\n0 1 1\n100")[0] == ink).all()
+    assert (images.decode(b"P4 3 2\n" + bytes([0b01100000, 0b10000000]))[0] == ink).all()
+    assert images.decode(b"P2\n2 1 # w h\n15\n0 # black\n15")[0].tolist() == [[0, 255]]
+    assert images.decode(b"P3\n1 1\n255\n1 2 3")[0].tolist() == [[[1, 2, 3]]]
+    assert images.decode(b"P5 2 1 65535\n\0\0\xff\xff")[0].tolist() == [[0, 255]]
+    assert [x.tolist() for x in images.decode(b"P6 1 1 255\n\x01\x02\x03\nP5 1 1 255\n\x09")] == [[[[1, 2, 3]]], [[9]]]
+    with pytest.raises(ValueError):
+        images.decode(b"P5 x")
+
+
 def test_segmentation(spark):
     page = np.full((400, 400), 255, np.uint8)
     page[40:240, 40:240] = np.minimum(page[40:240, 40:240], hexagon())
