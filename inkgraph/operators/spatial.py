@@ -69,19 +69,25 @@ def near_segments(points: DataFrame, segments: DataFrame, reach: float, keys: li
     """keys, id1, id2, along, off: points (keys, id, x, y) beside segments (keys, id, x1, y1, x2, y2) and nearer than `reach` to their line.
 
     `along` is where a point projects, from 0 to the segment's length, both included; `off` its signed distance as of `geometry.offset_from_line`. A segment is
-    dealt to the cells around points spaced by `reach` along it, so to a number of cells in proportion to its length. A segment without length meets none.
+    dealt to the cells around places spaced by `reach` along it, so to a number of cells in proportion to its length, each once. A segment without length
+    meets none.
     """
-    keys, side, c = list(keys), 2.0 * reach, F.col
+    # a point beside the line is within hypot(1, 1/2) reaches of a place; so far around a place there are the cells of four corners
+    keys, wide, side, c = list(keys), 1.12 * reach, 2.25 * reach, F.col
+    cell = lambda x, y: F.shiftleft(_cell(x, side), 32) + _cell(y, side)
     s = segments.select(*keys, c("id").alias("id2"), *[c(n).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")]).withColumn("size", distance(c("x1"), c("y1"), c("x2"), c("y2"))).where("size > 0")
-    step = F.explode(F.sequence(F.lit(0), F.ceil(c("size") / reach).cast("int"))).alias("step")
-    s = s.select("*", step).withColumn("at", F.least(c("step") * reach, c("size")) / c("size"))
-    s = s.select("*", _cell(c("x1") + (c("x2") - c("x1")) * c("at"), side).alias("mx"), _cell(c("y1") + (c("y2") - c("y1")) * c("at"), side).alias("my"))
-    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    s = s.select("*", F.explode(around).alias("i")).select("*", F.explode(around).alias("j"))
-    s = s.select(*keys, "id2", "x1", "y1", "x2", "y2", "size", (c("mx") + c("i")).alias("cx"), (c("my") + c("j")).alias("cy")).distinct()
-    p = points.select(*keys, c("id").alias("id1"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).withColumn("cx", _cell(c("x"), side)).withColumn("cy", _cell(c("y"), side))
+
+    own = [*keys, "id2", "x1", "y1", "x2", "y2", "size"]
+    s = s.select(*own, F.explode(F.sequence(F.lit(0), F.ceil(c("size") / reach).cast("int"))).alias("k"))
+    # along a line a cell is entered once, so what the place before did not have is new; the first has none before. Steps are columns, so each is computed once
+    s = s.select(*own, (F.least(c("k") * reach, c("size")) / c("size")).alias("now"), F.when(c("k") > 0, (c("k") - 1) * reach / c("size")).alias("old"))
+    s = s.select(*own, *[(c(f"{n}1") + (c(f"{n}2") - c(f"{n}1")) * c(t)).alias(f"{t}_{n}") for t in ("now", "old") for n in "xy"])
+    s = s.select(*own, *[_cell(c(f"{t}_{n}") + i * wide, side).alias(f"{t}_{n}{i + 1}") for t in ("now", "old") for n in "xy" for i in (-1, 1)])
+    four = lambda t: F.array(*[F.shiftleft(f"{t}_x{i}", 32) + c(f"{t}_y{j}") for i in (0, 2) for j in (0, 2)])
+    s = s.select(*own, F.explode(F.array_except(four("now"), four("old"))).alias("cell"))
+    p = points.select(*keys, c("id").alias("id1"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).withColumn("cell", cell(c("x"), c("y")))
     line = (c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y"))
-    met = p.join(s, [*keys, "cx", "cy"]).withColumn("along", along_line(*line)).withColumn("off", offset_from_line(*line))
+    met = p.join(s, [*keys, "cell"]).withColumn("along", along_line(*line)).withColumn("off", offset_from_line(*line))
     return met.where((c("along") >= 0) & (c("along") <= c("size")) & (F.abs("off") < reach)).select(*keys, "id1", "id2", "along", "off")
 
 
