@@ -87,23 +87,46 @@ def bond_lengths(atoms: DataFrame, bonds: DataFrame, keys: list[str]) -> DataFra
     return both.withColumn("length", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
 
 
-def components(edges: DataFrame, keys: list[str] = (), cut=None) -> DataFrame:
+def frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame | None:
+    """Values of `by` on over a thousandth of all rows and over `least`, so fewer than a thousand; None if there are none, or no more rows than `least`."""
+    n = rows.count()
+    if n <= least:
+        return None
+    few = rows.groupBy(*by).count().where(F.col("count") > max(n // 1000, least)).select(*by)
+    return few if few.head(1) else None
+
+
+def looked_up(rows: DataFrame, table: DataFrame, by: list[str], few: DataFrame | None, how: str) -> DataFrame:
+    """rows joined with `table`, which has a row at most for a value of `by`; the rows of frequent values stay where they are, and their part of the table is broadcast."""
+    if few is None:
+        return rows.join(table, by, how)
+    few = F.broadcast(few)
+    hot = rows.join(few, by, "left_semi").join(F.broadcast(table.join(few, by, "left_semi")), by, how)
+    return hot.unionByName(rows.join(few, by, "left_anti").join(table, by, how))
+
+
+def components(edges: DataFrame, keys: list[str] = (), cut=None, hot_rows: int = 1_000_000) -> DataFrame:
     """keys, node, component: the smallest node reachable over edges (keys, a, b).
 
     Rounds of neighbour minimum and label jump, so the number of rounds grows with the logarithm of a chain's length. `cut`
-    writes each round's labels to reliable storage; by default that is DataFrame.checkpoint.
+    writes each round's labels to reliable storage; by default that is storage.cut. A node with over `hot_rows` edges, or a label that over so many nodes carry, does not go through one task.
     """
     if cut is None:
         from ..sources.storage import cut
     keys = list(keys)
     links = cut(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = frequent(links, [*keys, "b"], hot_rows)
+    hubs = None if hubs is None else cut(hubs)
     labels = cut(links.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("m")).select(*keys, "node", F.least("node", "m").alias("component")))
+    many = labels.count() > hot_rows
     while True:
-        near = links.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).select(*keys, F.col("a").alias("node"), "component")
+        near = looked_up(links, labels.withColumnRenamed("node", "b"), [*keys, "b"], hubs, "inner").select(*keys, F.col("a").alias("node"), "component")
         low = labels.unionByName(near).groupBy(*keys, "node").agg(F.min("component").alias("low"))
+        low = cut(low) if many else low  # counted and read twice
+        hot = frequent(low, [*keys, "low"], hot_rows) if many else None
         jump = labels.select(*keys, F.col("node").alias("low"), F.col("component").alias("far"))
         old = labels.withColumnRenamed("component", "old")
-        moved = low.join(jump, [*keys, "low"], "left").join(old, [*keys, "node"])
+        moved = looked_up(low, jump, [*keys, "low"], hot, "left").join(old, [*keys, "node"])
         new = cut(moved.select(*keys, "node", F.least("low", F.coalesce("far", "low")).alias("component"), "old"))
         labels = new.drop("old")
         if not new.where("component <> old").head(1):

@@ -187,3 +187,13 @@ def test_components_equal_union_find(spark):
         top[y] = x
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(list(edges), "a long, b long")).collect()}
     assert got == {n: find(n) for n in list(top)} and len(set(got.values())) > 20
+
+
+@pytest.mark.parametrize("keys", [[], ["page"]])
+def test_components_with_hubs_and_frequent_labels(spark, keys):
+    # a star around 500, a chain that hangs on it, a pair; hubs and labels over 20 rows take the broadcast way
+    edges = [(p, 500, 600 + k) for p in (1, 2) for k in range(80)] + [(p, 600 + k, 601 + k) for p in (1, 2) for k in range(79, 120)] + [(1, 3, 4), (2, 7, 500)]
+    df = spark.createDataFrame(edges, "page int, a long, b long")
+    plain, split = (sorted(map(tuple, graph.components(df, keys, hot_rows=n).select(*keys, "node", "component").collect())) for n in (10**6, 20))
+    assert plain == split and len(plain) == (122 + 2 + 1 if not keys else 2 * 122 + 2 + 1)
+    assert graph.frequent(df, ["a"], 20).collect() == [(500,)] and graph.frequent(df, ["a"], 10**6) is None
