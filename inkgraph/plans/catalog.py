@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import agents, claims, ensemble, evaluate, graph, labels, outline, select, spatial, stats, strokes, tidy
-from ..sources import dictionary
+from ..operators import agents, claims, ensemble, evaluate, graph, labels, outline, segment, select, spatial, stats, strokes, tidy
+from ..sources import dictionary, images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -431,6 +431,56 @@ def deleted_curves(spark, sf):
     return graph.without_curves(tree, tree, ["page_no"], children=True).select("page_no", "curve_id", "length")
 
 
+#: What of a page's cells is ink: over a third of them, or most along lines eight cells apart.
+DENSE, LINES = "value > 50", "value > 10 AND (event_id % 32 - event_id DIV 32 % 32) % 8 = 0"
+
+
+def cell_segments(spark, sf, ink: str = DENSE) -> DataFrame:
+    """Segments of pages drawn from cells, by the kernel that reads scans."""
+    cells = table(spark, sf, "events").where(ink).select(F.lit(0).alias("doc_id"), F.expr("event_id div 1024").alias("page_no"), (F.col("event_id") % 32).alias("x"), F.expr("event_id div 32 % 32").alias("y"))
+    return segment.measured(segment.find_segments(images.pages_of_cells(cells, 32, 32)))
+
+
+#: Segments by closure over the eight neighbours, named in the order of their first cells; every second cell at a corner of which is no ink makes the margin.
+SEGMENTS_OF = """RECURSIVE ink AS (SELECT (event_id // 1024)::INT AS page_no, (event_id % 32)::INT AS x, (event_id // 32 % 32)::INT AS y, event_id % 1024 AS id FROM events WHERE INK),
+near AS (SELECT a.page_no, a.id, b.id AS far FROM ink a JOIN ink b ON a.page_no = b.page_no AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+r AS (FROM near UNION SELECT r.page_no, r.id, n.far FROM r JOIN near n ON r.page_no = n.page_no AND r.far = n.id),
+low AS (SELECT page_no, id, min(far) AS root FROM r GROUP BY ALL),
+big AS (SELECT page_no, root, (row_number() OVER (PARTITION BY page_no ORDER BY root) - 1)::INT AS segment_id FROM low GROUP BY page_no, root HAVING count(*) > 2),
+seg AS (SELECT i.*, segment_id FROM ink i JOIN low USING (page_no, id) JOIN big USING (page_no, root)),
+corner AS (SELECT a.page_no, a.id FROM ink a JOIN ink b ON a.page_no = b.page_no AND abs(a.x - b.x) = 1 AND abs(a.y - b.y) = 1 GROUP BY ALL HAVING count(*) = 4),
+margin AS (SELECT page_no, segment_id, x, y FROM seg ANTI JOIN corner USING (page_no, id) QUALIFY row_number() OVER (PARTITION BY page_no, segment_id ORDER BY id) % 2 = 1)"""
+SEGS, LINE_SEGS = (SEGMENTS_OF.replace("INK", i.replace("DIV", "//")) for i in (DENSE, LINES))
+
+
+@query(f"""WITH {SEGS}, m AS (SELECT page_no, segment_id, count(*)::INT AS margin_points, sum(y * 32 + x) AS margin_sum FROM margin GROUP BY ALL),
+b AS (SELECT page_no, segment_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*)::INT AS area FROM seg GROUP BY ALL)
+SELECT b.*, CASE WHEN x2 = x1 THEN 0.0 ELSE round((y2 - y1) / (x2 - x1)::DOUBLE, 6) END::DOUBLE AS aspect, round(area / ((x2 - x1 + 1) * (y2 - y1 + 1))::DOUBLE, 6) AS fill, margin_points, margin_sum::BIGINT AS margin_sum FROM b JOIN m USING (page_no, segment_id)""")
+def page_segments(spark, sf):
+    digest = F.aggregate("margin", F.lit(0).cast("long"), lambda s, p: s + p["y"] * 32 + p["x"])
+    return cell_segments(spark, sf).select("page_no", "segment_id", "x1", "y1", "x2", "y2", "area", F.round("aspect", 6).alias("aspect"), F.round("fill", 6).alias("fill"), F.size("margin").alias("margin_points"), digest.alias("margin_sum"))
+
+
+@query(f"""WITH {SEGS}, n AS (SELECT page_no, segment_id, count(*) AS area FROM seg GROUP BY ALL),
+g AS (SELECT a.page_no, a.segment_id AS id1, b.segment_id AS id2, min(greatest(abs(a.x - b.x), abs(a.y - b.y))) AS d FROM margin a JOIN margin b ON a.page_no = b.page_no AND a.segment_id < b.segment_id WHERE abs(a.x - b.x) < 4 AND abs(a.y - b.y) < 4 GROUP BY ALL)
+SELECT g.*, (greatest(a.area, b.area) // least(a.area, b.area))::INT AS ratio FROM g JOIN n a ON a.page_no = g.page_no AND a.segment_id = id1 JOIN n b ON b.page_no = g.page_no AND b.segment_id = id2""")
+def segment_gaps(spark, sf):
+    return segment.distances(cell_segments(spark, sf), 4).select("page_no", "id1", "id2", "d", "ratio")
+
+
+@query(f"""WITH {LINE_SEGS}, e AS (SELECT DISTINCT a.page_no, a.segment_id AS a, b.segment_id AS b FROM margin a JOIN margin b ON a.page_no = b.page_no AND abs(a.x - b.x) < 3 AND abs(a.y - b.y) < 3),
+c AS (FROM e UNION SELECT c.page_no, c.a, e.b FROM c JOIN e ON c.page_no = e.page_no AND c.b = e.a),
+k AS (SELECT page_no, a AS segment_id, min(b) AS cluster FROM c GROUP BY ALL),
+s AS (SELECT page_no, segment_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS n FROM seg GROUP BY ALL),
+f AS (SELECT *, n / ((x2 - x1 + 1) * (y2 - y1 + 1))::DOUBLE AS fill, CASE WHEN x2 = x1 THEN 0.0 ELSE (y2 - y1) / (x2 - x1)::DOUBLE END AS aspect FROM s),
+b AS (SELECT page_no, cluster, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, sum(n)::BIGINT AS n FROM f JOIN k USING (page_no, segment_id) GROUP BY ALL HAVING bool_or(fill < 0.2 AND aspect > 0.1 AND aspect < 10))
+SELECT page_no, x1, y1, x2, y2, n, (row_number() OVER (PARTITION BY page_no ORDER BY y1, x1, y2, x2, cluster) - 1)::INT AS box_id FROM b""")
+def drawing_boxes(spark, sf):
+    """Segments nearer than 3 cells as drawings, those of them that hold a sparse segment."""
+    m = cell_segments(spark, sf, LINES)
+    return segment.drawing_boxes(segment.clusters(m, segment.distances(m, 4), 3)).drop("doc_id")
+
+
 def page_glyphs(spark, sf) -> DataFrame:
     """A character a part, 200 a page."""
     k = F.col("p_partkey")

@@ -1,4 +1,4 @@
-"""Pages from image files. PNG and PNM are decoded here; Spark's own `image` source serves other formats it knows."""
+"""Pages from image files. PNG, PNM and TIFF are decoded here; Spark's own `image` source serves other formats it knows."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import raster
+from .tiff import decode_tiff
 
 PAGES = "doc_id long, path string, page_no int, width int, height int, gray binary, adaptive boolean, inverted boolean, error string"
 
@@ -174,6 +175,8 @@ def decode(data: bytes) -> list[np.ndarray]:
         return [decode_png(data)]
     if kind == "pnm":
         return decode_pnm(data)
+    if kind == "tiff":
+        return decode_tiff(data)
     raise ValueError(f"image type {kind or 'unknown'} is not decoded")
 
 
@@ -207,5 +210,26 @@ def read_pages(spark: SparkSession, path: str, glob: str = "*", invert: bool = F
     return pages_of(files.select("path", "content"), invert, adaptive)
 
 
+def pages_of_cells(cells: DataFrame, width: int, height: int) -> DataFrame:
+    """doc_id, page_no, width, height, gray, adaptive: pages drawn from cells of ink (doc_id, page_no, x, y), black on white; repeated cells and those outside change nothing.
+
+    A page is a row, so its pixels come together in one task: it is bounded by its size, as cells are made distinct first.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            gray = []
+            for at in pdf["at"]:
+                a = np.full(width * height, 255, np.uint8)
+                a[np.asarray(at, np.int64)] = 0
+                gray.append(a.tobytes())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "page_no": pdf["page_no"], "width": width, "height": height, "gray": gray, "adaptive": False})
+
+    inside = cells.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    at = inside.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), (F.col("y") * width + F.col("x")).cast("long").alias("at"))
+    pages = at.groupBy("doc_id", "page_no").agg(F.collect_set("at").alias("at"))
+    return pages.mapInPandas(run, "doc_id long, page_no int, width int, height int, gray binary, adaptive boolean")
+
+
 def page_count(pages: DataFrame) -> DataFrame:
     return pages.where("error IS NULL").groupBy("doc_id").agg(F.count("*").alias("pages"))

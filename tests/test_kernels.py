@@ -293,6 +293,13 @@ def test_pnm_of_all_kinds():
         images.decode(b"P5 x")
 
 
+def test_pages_of_cells(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 2, 1), (1, 0, 2, 1), (1, 0, 3, 0), (1, 0, -1, 1), (1, 1, 1, 1), (2, 0, 9, 9)], "doc_id int, page_no int, x int, y int")
+    got = {(r.doc_id, r.page_no): np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width).tolist() for r in images.pages_of_cells(cells, 3, 2).collect()}
+    assert got == {(1, 0): [[0, 255, 255], [255, 255, 0]], (1, 1): [[255, 255, 255], [255, 0, 255]]}
+    assert images.pages_of_cells(cells.limit(0), 3, 2).count() == 0
+
+
 def test_segmentation(spark):
     page = np.full((400, 400), 255, np.uint8)
     page[40:240, 40:240] = np.minimum(page[40:240, 40:240], hexagon())
