@@ -53,8 +53,9 @@ def agent_strings(glyphs: DataFrame, arrows: DataFrame, keys: list[str], reach:
     cos, sin = (F.abs(ends[k + 2] - ends[k]) / distance(*ends) for k in (0, 1))
     w, h = c("x2") - c("x1") + 1, c("y2") - c("y1") + 1
     mine = mine.withColumn("w", F.round(w * cos + h * sin, 6)).withColumn("h", F.round(w * sin + h * cos, 6))
-    mine = mine.withColumn("mean_w", F.avg("w").over(arrow)).withColumn("mean_h", F.avg("h").over(arrow))
     down = arrow.orderBy("across", "along", "glyph_id")
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order: sums of doubles hang on it, and gaps of just half a mean on the sums
+    mine = mine.withColumn("mean_w", F.avg("w").over(whole)).withColumn("mean_h", F.avg("h").over(whole))
     lines = mine.withColumn("line", F.coalesce(F.lag("across").over(down) + c("mean_h") / 2 < c("across"), F.lit(False)).cast("int")).withColumn("line", F.sum("line").over(down))
     line = Window.partitionBy(*keys, "arrow_id", "line").orderBy("along", "glyph_id")
     gap = (c("along") - c("w") / 2) - (F.lag("along").over(line) + F.lag("w").over(line) / 2)
