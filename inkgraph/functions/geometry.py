@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.hypot(x2 - x1, y2 - y1)
+    """As a root of squares, which IEEE rounds alike everywhere; hypot's last bit varies, and what lies just at a segment's end hangs on it."""
+    w, h = (x2 - x1).cast("double"), (y2 - y1).cast("double")
+    return F.sqrt(w * w + h * h)
 
 
 def chebyshev(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -82,9 +82,11 @@ def counts(atoms: DataFrame, bonds: DataFrame, keys: list[str]) -> DataFrame:
 
 def bond_lengths(atoms: DataFrame, bonds: DataFrame, keys: list[str]) -> DataFrame:
     """bonds with x1, y1, x2, y2 and length."""
+    from ..functions.geometry import distance
+
     at = lambda end, x, y: atoms.select(*keys, F.col("atom_idx").alias(end), F.col("x").alias(x), F.col("y").alias(y))
     both = bonds.join(at("a", "x1", "y1"), [*keys, "a"]).join(at("b", "x2", "y2"), [*keys, "b"])
-    return both.withColumn("length", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    return both.withColumn("length", distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
 
 
 def frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame | None:

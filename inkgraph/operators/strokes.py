@@ -24,7 +24,8 @@ def facing(sides: DataFrame, reach: float, keys: list[str], least_cos: float = 0
     at = lambda name, p: sides.select(*keys, c("id").alias(name), *[c(n).cast("double").alias(f"{p}_{n}") for n in ("x1", "y1", "x2", "y2")])
     both = met.join(at("short", "s"), [*keys, "short"]).join(at("long", "l"), [*keys, "long"])
     s, t = ([c(f"{p}_{n}") for n in ("x1", "y1", "x2", "y2")] for p in "sl")
-    longer = F.struct(distance(*t), -c("long")) > F.struct(distance(*s), -c("short"))
+    # to as many digits as all that is ranked: the last bits of equal lengths differ
+    longer = F.struct(F.round(distance(*t), 6), -c("long")) > F.struct(F.round(distance(*s), 6), -c("short"))
     ends = [offset_from_line(*t, s[k], s[k + 1]) for k in (0, 2)]
     gap = F.greatest(F.abs(ends[0]), F.abs(ends[1]))
     return both.where(longer & (cos_between(*s, *t) < -least_cos)).withColumn("gap", F.round(gap, 6)).where(c("gap") < reach)
@@ -54,7 +55,7 @@ def strokes(sides: DataFrame, cells: DataFrame, reach: float, keys: list[str]) -
     ends = F.struct(F.round(-distance(*s), 6).alias("size"), c("gap"), "short", *[along_line(*t, s[k], s[k + 1]).alias(n) for k, n in ((2, "first"), (0, "last"))], *[v.alias(n) for v, n in zip(t, ("x1", "y1", "x2", "y2"), strict=True)])
     best = pairs.groupBy(*keys, "short").agg(F.min(F.struct("gap", "long", ends.alias("e"))).alias("b")).select(*keys, "short", "b.long", "b.e")
     root = best.join(best.select(*keys, c("short").alias("long")), [*keys, "long"], "left_anti").groupBy(*keys, c("long").alias("id")).agg(F.min("e").alias("e"), F.count("*").alias("members"))
-    root = root.select(*keys, "id", "e.*", "members").withColumn("length", F.hypot(c("x2") - c("x1"), c("y2") - c("y1")))
+    root = root.select(*keys, "id", "e.*", "members").withColumn("length", distance(c("x1"), c("y1"), c("x2"), c("y2")))
     ux, uy = (c("x2") - c("x1")) / c("length"), (c("y2") - c("y1")) / c("length")
     lo, hi, half = F.least(F.lit(0.0), "first"), F.greatest("length", "last"), c("gap") / 2
     line = {"x1": c("x1") + ux * lo - uy * half, "y1": c("y1") + uy * lo + ux * half, "x2": c("x1") + ux * hi - uy * half, "y2": c("y1") + uy * hi + ux * half}
