@@ -5,11 +5,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .labels import ELEMENTS
 
+#: Graphs of up to so many edges are searched for components as they are, about so many edges at a time; larger ones by rounds.
+SMALL_EDGES = 1 << 16
+
 
 def ends(bonds: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """A row for each end of each bond."""
@@ -107,15 +113,67 @@ def looked_up(rows: DataFrame, table: DataFrame, by: list[str], few: DataFrame |
     return hot.unionByName(rows.join(few, by, "left_anti").join(table, by, how))
 
 
-def components(edges: DataFrame, keys: list[str] = (), cut=None, hot_rows: int = 1_000_000) -> DataFrame:
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the nodes 0 to n - 1 that each is connected with over edges a[i]-b[i]."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def _small_components(keys: list[str], kinds: StructType):
+    names = kinds.names
+
+    def run(table: pa.Table) -> pa.Table:
+        n, graph = table.num_rows, np.zeros(table.num_rows, np.int64)
+        for k in keys:
+            code = table.column(k).combine_chunks().dictionary_encode().indices.to_numpy()
+            graph = np.unique(graph * n + code, return_inverse=True)[1]
+        ends = pa.concat_arrays([table.column(k).combine_chunks() for k in "ab"])
+        values, order = np.unique(ends.to_numpy(zero_copy_only=False), return_inverse=True)
+        # numbers of nodes: by graph, then by value, so the smallest number is the smallest node
+        _, first, node = np.unique(np.tile(graph, 2) * len(values) + order, return_index=True, return_inverse=True)
+        root = _roots(node[:n], node[n:], len(first))
+        own = table.select(keys).take(pa.array(first % n))
+        return pa.table([*own.columns, ends.take(pa.array(first)), ends.take(pa.array(first[root]))], names=names)
+
+    return run
+
+
+def components(edges: DataFrame, keys: list[str] = (), cut=None, hot_rows: int = 1_000_000, small: int = SMALL_EDGES) -> DataFrame:
     """keys, node, component: the smallest node reachable over edges (keys, a, b).
 
-    Rounds of neighbour minimum and label jump, so the number of rounds grows with the logarithm of a chain's length. `cut`
-    writes each round's labels to reliable storage; by default that is storage.cut. A node with over `hot_rows` edges, or a label that over so many nodes carry, does not go through one task.
+    Graphs (by keys) of up to `small` edges are shuffled once, dealt to buckets of about so many edges, and searched there. Larger ones, and one without keys, take
+    rounds of neighbour minimum and label jump, whose number grows with the logarithm of a chain's length. `cut` writes edges, results and each round's labels to
+    reliable storage; by default that is storage.cut. A node with over `hot_rows` edges, or a label that over so many nodes carry, does not go through one task.
     """
     if cut is None:
         from ..sources.storage import cut
-    keys = list(keys)
+    keys, small = list(keys), min(small, hot_rows)
+    if not keys:
+        return _by_rounds(edges, keys, cut, hot_rows)
+    c = F.col
+    kind = edges.select("a").union(edges.select("b")).schema["a"].dataType
+    # null is no graph and no node; a node whose other end is null stands by itself
+    pairs = edges.select(*keys, F.coalesce("a", "b").cast(kind).alias("a"), F.coalesce("b", "a").cast(kind).alias("b")).dropna(subset=[*keys, "a"])
+    pairs = cut(pairs)  # counted and read twice
+    n = pairs.count()
+    large = cut(pairs.groupBy(*keys).count().where(c("count") > small).select(*keys)) if n > small else None  # fewer than n / small
+    has_large = large is not None and bool(large.head(1))
+    few = pairs.join(F.broadcast(large), keys, "left_anti") if has_large else pairs
+    kinds = StructType([*(pairs.schema[k] for k in keys), StructField("node", kind), StructField("component", kind)])
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(n // max(small, 1) + 1)).alias("_bucket")
+    out = cut(few.select(*keys, "a", "b", bucket).groupBy("_bucket").applyInArrow(_small_components(keys, kinds), kinds))
+    if has_large:
+        out = out.unionByName(_by_rounds(pairs.join(F.broadcast(large), keys, "left_semi"), keys, cut, hot_rows))
+    return out
+
+
+def _by_rounds(edges: DataFrame, keys: list[str], cut, hot_rows: int) -> DataFrame:
     links = cut(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     hubs = frequent(links, [*keys, "b"], hot_rows)
     hubs = None if hubs is None else cut(hubs)
