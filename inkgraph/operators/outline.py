@@ -1,7 +1,7 @@
 """Outlines of ink as a tree of curves, as sets of rows.
 
 The sides of cells that ink does not share are directed, ink on their right, so each runs on into one next side: a successor table.
-Rings get their names by pointer jumping, in as many rounds as the logarithm of the longest ring; area and box are sums over a ring.
+Rings get their names as components of sides and successors; area and box are sums over a ring.
 What encloses a ring is found where a scan line leaves it: the curve met last to its left encloses it or lies beside it.
 """
 
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import raster
+from . import graph, raster
 
 #: A side's number is its start, row by row, then its direction: 0 right, 1 down, 2 left, 3 up. Rows and columns stay below 2^24.
 BITS = 24
@@ -52,13 +52,8 @@ def rings(cells: DataFrame, keys: list[str], cut=None) -> DataFrame:
     turn = F.array_min(F.transform("ways", lambda w: F.pmod(w - c("side") + 1, F.lit(4))))
     edge = edge.join(out, [*keys, "ex", "ey"]).withColumn("next", _number(c("ex"), c("ey"), F.pmod(c("side") + turn - 1, F.lit(4))))
     edge = cut(edge.select(*keys, "id", "next", "x", "y", "side", "ex", "ey"))
-    low = edge.select(*keys, "id", c("next").alias("far"), F.least("id", "next").alias("low"))
-    while True:
-        ahead = low.select(*keys, c("id").alias("far"), c("low").alias("far_low"), c("far").alias("far_far"))
-        new = cut(low.join(ahead, [*keys, "far"]).select(*keys, "id", c("far_far").alias("far"), F.least("low", "far_low").alias("low"), (c("far_low") < c("low")).alias("moved")))
-        low = new.drop("moved")
-        if not new.where("moved").head(1):  # then no later step finds less either
-            return edge.join(low.select(*keys, "id", c("low").alias("curve_id")), [*keys, "id"])
+    ring = graph.components(edge.select(*keys, c("id").alias("a"), c("next").alias("b")), keys, cut)
+    return edge.join(ring.select(*keys, c("node").alias("id"), c("component").alias("curve_id")), [*keys, "id"])
 
 
 def curves(ring: DataFrame, keys: list[str], cut=None) -> DataFrame:
