@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import along_line, chebyshev, distance, offset_from_line, overlap_ratio
@@ -65,19 +65,35 @@ def inside_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], side: flo
     return p.join(b, [*keys, "cx", "cy"]).where("x between x1 and x2 and y between y1 and y2").select(*keys, "id", "box")
 
 
-def near_segments(points: DataFrame, segments: DataFrame, reach: float, keys: list[str] = ()) -> DataFrame:
+#: Points of a graph up to which its segments meet each of them, in place of the cells they run through.
+FEW_POINTS = 32
+
+
+def near_segments(points: DataFrame, segments: DataFrame, reach: float, keys: list[str] = (), more: list[str] = (), few: int = FEW_POINTS) -> DataFrame:
     """keys, id1, id2, along, off: points (keys, id, x, y) beside segments (keys, id, x1, y1, x2, y2) and nearer than `reach` to their line.
 
-    `along` is where a point projects, from 0 to the segment's length, both included; `off` its signed distance as of `geometry.offset_from_line`. A segment is
-    dealt to the cells around places spaced by `reach` along it, so to a number of cells in proportion to its length, each once. A segment without length
-    meets none.
+    `along` is where a point projects, from 0 to the segment's length, both included; `off` its signed distance as of `geometry.offset_from_line`. A segment
+    whose keys have up to `few` points meets all of them. Others are dealt to the cells around places spaced by `reach` along them, so to a number of
+    cells in proportion to their length, each once. A segment without length meets none. `more` names columns of segments that are passed on.
     """
     # a point beside the line is within hypot(1, 1/2) reaches of a place; so far around a place there are the cells of four corners
     keys, wide, side, c = list(keys), 1.12 * reach, 2.25 * reach, F.col
     cell = lambda x, y: F.shiftleft(_cell(x, side), 32) + _cell(y, side)
-    s = segments.select(*keys, c("id").alias("id2"), *[c(n).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")]).withColumn("size", distance(c("x1"), c("y1"), c("x2"), c("y2"))).where("size > 0")
+    s = segments.select(*keys, c("id").alias("id2"), *[c(n).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")], *more).withColumn("size", distance(c("x1"), c("y1"), c("x2"), c("y2"))).where("size > 0")
+    p = points.select(*keys, c("id").alias("id1"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y"))
+
+    own = [*keys, "id2", "x1", "y1", "x2", "y2", *more, "size"]
+    line = (c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y"))
+
+    def beside(met: DataFrame) -> DataFrame:
+        met = met.withColumn("along", along_line(*line)).withColumn("off", offset_from_line(*line))
+        return met.where((c("along") >= 0) & (c("along") <= c("size")) & (F.abs("off") < reach)).select(*keys, "id1", "id2", "along", "off", *more)
 
-    own = [*keys, "id2", "x1", "y1", "x2", "y2", "size"]
+    if keys:
+        p = p.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+        crowded = p.where(c("_n") > few).select(*keys).distinct()
+        close = beside(s.join(p.where(c("_n") <= few), keys))
+        p, s = p.where(c("_n") > few), s.join(crowded, keys, "left_semi")
     s = s.select(*own, F.explode(F.sequence(F.lit(0), F.ceil(c("size") / reach).cast("int"))).alias("k"))
     # along a line a cell is entered once, so what the place before did not have is new; the first has none before. Steps are columns, so each is computed once
     s = s.select(*own, (F.least(c("k") * reach, c("size")) / c("size")).alias("now"), F.when(c("k") > 0, (c("k") - 1) * reach / c("size")).alias("old"))
@@ -85,10 +101,8 @@ def near_segments(points: DataFrame, segments: DataFrame, reach: float, keys: li
     s = s.select(*own, *[_cell(c(f"{t}_{n}") + i * wide, side).alias(f"{t}_{n}{i + 1}") for t in ("now", "old") for n in "xy" for i in (-1, 1)])
     four = lambda t: F.array(*[F.shiftleft(f"{t}_x{i}", 32) + c(f"{t}_y{j}") for i in (0, 2) for j in (0, 2)])
     s = s.select(*own, F.explode(F.array_except(four("now"), four("old"))).alias("cell"))
-    p = points.select(*keys, c("id").alias("id1"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).withColumn("cell", cell(c("x"), c("y")))
-    line = (c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y"))
-    met = p.join(s, [*keys, "cell"]).withColumn("along", along_line(*line)).withColumn("off", offset_from_line(*line))
-    return met.where((c("along") >= 0) & (c("along") <= c("size")) & (F.abs("off") < reach)).select(*keys, "id1", "id2", "along", "off")
+    far = beside(p.withColumn("cell", cell(c("x"), c("y"))).join(s, [*keys, "cell"]))
+    return close.unionByName(far) if keys else far
 
 
 def near_boxes(boxes: DataFrame, reach: float, keys: list[str] = (), side: float | None = None) -> DataFrame:

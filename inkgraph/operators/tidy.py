@@ -88,10 +88,11 @@ def parallel_merged(atoms: DataFrame, bonds: DataFrame, drawings: DataFrame, key
 def split_at_joints(atoms: DataFrame, bonds: DataFrame, reach: float, keys: list[str]) -> DataFrame:
     """bonds cut at atoms of other bonds that lie nearer than `reach` to them, and farther than that from their ends, numbered anew in their order."""
     c = F.col
-    line = graph.bond_lengths(atoms, bonds, keys)
+    atoms, bonds = cut(atoms), cut(bonds)  # read three times and twice
+    line = graph.bond_lengths(atoms, bonds, keys).select(*keys, c("bond_idx").alias("id"), "x1", "y1", "x2", "y2", "a", "b", "length")
     on = graph.connected_atoms(atoms, bonds, keys).select(*keys, c("atom_idx").alias("id"), "x", "y")
-    met = spatial.near_segments(on, line.select(*keys, c("bond_idx").alias("id"), "x1", "y1", "x2", "y2"), reach, keys).select(*keys, c("id1").alias("atom_idx"), c("id2").alias("bond_idx"), "along")
-    met = met.join(line.select(*keys, "bond_idx", "a", "b", "length"), [*keys, "bond_idx"]).where("atom_idx <> a and atom_idx <> b").where((c("along") > reach) & (c("along") < c("length") - reach))
+    met = spatial.near_segments(on, line, reach, keys, ["a", "b", "length"]).withColumnsRenamed({"id1": "atom_idx", "id2": "bond_idx"})
+    met = met.where("atom_idx <> a and atom_idx <> b").where((c("along") > reach) & (c("along") < c("length") - reach))
     joints = met.groupBy(*keys, "bond_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("along", "atom_idx"))), lambda j: j["atom_idx"]).alias("joints"))  # few on a bond
     ends = F.concat(F.array("a"), F.coalesce("joints", F.array().cast("array<int>")), F.array("b"))
     rest = [n for n in bonds.columns if n not in ("a", "b", "bond_idx", *keys)]
