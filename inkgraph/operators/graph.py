@@ -15,6 +15,16 @@ from .labels import ELEMENTS
 
 #: Graphs of up to so many edges are searched for components as they are, about so many edges at a time; larger ones by rounds.
 SMALL_EDGES = 1 << 16
+#: Rows of a task that makes them distinct, about.
+DEALT_ROWS = 1 << 19
+
+
+def distinct_rows(rows: DataFrame, dealt: int = DEALT_ROWS) -> DataFrame:
+    """distinct() for rows few of which are equal: counted, and dealt to tasks of about `dealt` rows.
+
+    A table of them before the shuffle saves nothing there, and it and what is joined to a partition after it hold as much as a split or a coalesced partition has.
+    """
+    return rows.repartition(rows.count() // dealt + 1, *rows.columns).distinct()
 
 
 def ends(bonds: DataFrame, keys: list[str], *more: str) -> DataFrame:

@@ -226,7 +226,7 @@ def point_collapse(spark, sf):
 
 def part_edges(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    return li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
+    return graph.distinct_rows(li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")))
 
 
 CC = """RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem),
@@ -243,7 +243,7 @@ def connected_components(spark, sf):
 def order_bonds(spark, sf) -> DataFrame:
     """A graph an order: its lines as bonds between part and supplier, atoms numbered small."""
     li = table(spark, sf, "lineitem")
-    return li.select("l_orderkey", F.col("l_linenumber").alias("bond_idx"), (F.col("l_partkey") % 6).alias("a"), (F.col("l_suppkey") % 6).alias("b"), F.when(F.col("l_tax") > 0.04, 2).otherwise(1).alias("type"), (F.col("l_discount") > 0.08).alias("arom")).distinct()
+    return graph.distinct_rows(li.select("l_orderkey", F.col("l_linenumber").alias("bond_idx"), (F.col("l_partkey") % 6).alias("a"), (F.col("l_suppkey") % 6).alias("b"), F.when(F.col("l_tax") > 0.04, 2).otherwise(1).alias("type"), (F.col("l_discount") > 0.08).alias("arom")))
 
 
 BONDS = "bonds AS (SELECT DISTINCT l_orderkey, l_linenumber AS bond_idx, l_partkey % 6 AS a, l_suppkey % 6 AS b, CASE WHEN l_tax > 0.04 THEN 2 ELSE 1 END AS type, l_discount > 0.08 AS arom FROM lineitem)"
