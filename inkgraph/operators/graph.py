@@ -15,6 +15,8 @@ from .labels import ELEMENTS
 
 #: Graphs of up to so many edges are searched for components as they are, about so many edges at a time; larger ones by rounds.
 SMALL_EDGES = 1 << 16
+#: Edges of larger graphs that a task holds at once as it leaves out those which connect nothing new.
+HELD_EDGES = 1 << 20
 #: Rows of a task that makes them distinct, about.
 DEALT_ROWS = 1 << 19
 
@@ -154,37 +156,63 @@ def _small_components(keys: list[str], kinds: StructType):
     return run
 
 
-def components(edges: DataFrame, keys: list[str] = (), cut=None, hot_rows: int = 1_000_000, small: int = SMALL_EDGES) -> DataFrame:
+def _forests(pairs: DataFrame, keys: list[str], kinds: StructType, held: int) -> DataFrame:
+    """keys, a, b: edges that connect the same nodes as pairs do, without a shuffle; a task keeps one for each node it meets, while those are up to held / 2."""
+    search = _small_components(keys, kinds)
+
+    def run(batches):
+        tables, n = [], 0
+        for batch in batches:
+            tables.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n >= held:
+                found = search(pa.concat_tables(tables, promote_options="default")).rename_columns([*keys, "a", "b"])
+                if found.num_rows > held // 2:
+                    yield from found.to_batches()
+                    tables, n = [], 0
+                else:
+                    tables, n = [found], found.num_rows
+        if n:
+            yield from search(pa.concat_tables(tables, promote_options="default")).rename_columns([*keys, "a", "b"]).to_batches()
+
+    return pairs.select(*keys, "a", "b").mapInArrow(run, StructType([StructField(name, k.dataType) for name, k in zip([*keys, "a", "b"], kinds)]))
+
+
+def components(edges: DataFrame, keys: list[str] = (), cut=None, hot_rows: int = 1_000_000, small: int = SMALL_EDGES, held: int = HELD_EDGES) -> DataFrame:
     """keys, node, component: the smallest node reachable over edges (keys, a, b).
 
-    Graphs (by keys) of up to `small` edges are shuffled once, dealt to buckets of about so many edges, and searched there. Larger ones, and one without keys, take
+    Graphs (by keys) of up to `small` edges are shuffled once, dealt to buckets of about so many edges, and searched there. Larger ones, and one without keys, lose
+    edges that connect nothing new, `held` at a time, as they are read and again in the order of their components so far. What is left takes
     rounds of neighbour minimum and label jump, whose number grows with the logarithm of a chain's length. `cut` writes edges, results and each round's labels to
     reliable storage; by default that is storage.cut. A node with over `hot_rows` edges, or a label that over so many nodes carry, does not go through one task.
     """
     if cut is None:
         from ..sources.storage import cut
     keys, small = list(keys), min(small, hot_rows)
-    if not keys:
-        return _by_rounds(edges, keys, cut, hot_rows)
     c = F.col
     kind = edges.select("a").union(edges.select("b")).schema["a"].dataType
     # null is no graph and no node; a node whose other end is null stands by itself
     pairs = edges.select(*keys, F.coalesce("a", "b").cast(kind).alias("a"), F.coalesce("b", "a").cast(kind).alias("b")).dropna(subset=[*keys, "a"])
+    kinds = StructType([*(pairs.schema[k] for k in keys), StructField("node", kind), StructField("component", kind)])
+    if not keys:
+        return _by_rounds(pairs, keys, kinds, cut, hot_rows, held)
     pairs = cut(pairs)  # counted and read twice
     n = pairs.count()
     large = cut(pairs.groupBy(*keys).count().where(c("count") > small).select(*keys)) if n > small else None  # fewer than n / small
     has_large = large is not None and bool(large.head(1))
     few = pairs.join(F.broadcast(large), keys, "left_anti") if has_large else pairs
-    kinds = StructType([*(pairs.schema[k] for k in keys), StructField("node", kind), StructField("component", kind)])
     bucket = F.pmod(F.xxhash64(*keys), F.lit(n // max(small, 1) + 1)).alias("_bucket")
     out = cut(few.select(*keys, "a", "b", bucket).groupBy("_bucket").applyInArrow(_small_components(keys, kinds), kinds))
     if has_large:
-        out = out.unionByName(_by_rounds(pairs.join(F.broadcast(large), keys, "left_semi"), keys, cut, hot_rows))
+        out = out.unionByName(_by_rounds(pairs.join(F.broadcast(large), keys, "left_semi"), keys, kinds, cut, hot_rows, held))
     return out
 
 
-def _by_rounds(edges: DataFrame, keys: list[str], cut, hot_rows: int) -> DataFrame:
-    links = cut(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+def _by_rounds(pairs: DataFrame, keys: list[str], kinds: StructType, cut, hot_rows: int, held: int) -> DataFrame:
+    edges = cut(_forests(pairs, keys, kinds, held))
+    if (n := edges.count()) > held:  # b is the smallest node so far; up to its order, edges of one component may be anywhere
+        edges = cut(_forests(edges.repartitionByRange(n // (2 * held) + 1, *keys, "b", "a"), keys, kinds, held))
+    links = cut(distinct_rows(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))))
     hubs = frequent(links, [*keys, "b"], hot_rows)
     hubs = None if hubs is None else cut(hubs)
     labels = cut(links.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("m")).select(*keys, "node", F.least("node", "m").alias("component")))

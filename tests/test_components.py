@@ -56,3 +56,21 @@ def test_rings_take_no_rounds(spark):
     ring = outline.rings(cells, ["page"], cut)
     assert ring.select("curve_id").distinct().count() == 1 and ring.count() == 86
     assert len(cuts) <= 4
+
+
+@pytest.mark.parametrize("held", [1 << 20, 300])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_edges_that_connect_nothing_new_go_before_the_rounds(spark, keys, held):
+    rng = random.Random(5)
+    rows = [(k, 100 * k + a, 100 * k + 50 + b) for k in range(5) for a in range(30) for b in range(30)] + [(7, 990, 990), (7, 995, None)]
+    rng.shuffle(rows)
+    cuts = []
+
+    def cut(df):
+        cuts.append(df.localCheckpoint())
+        return cuts[-1]
+
+    got = graph.components(spark.createDataFrame(rows, "k int, a long, b long").repartition(4), keys, cut, small=0, held=held)
+    want = [(*([k] if keys else []), n, c) for k, n, c in plain([(k, a, a if b is None else b) for k, a, b in rows])]
+    assert sorted(map(tuple, got.collect())) == want
+    assert max(df.count() for df in cuts[3 if keys else 0 :]) < (len(rows) if held == 300 else len(rows) // 2)
