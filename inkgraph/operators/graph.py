@@ -181,7 +181,7 @@ def _forests(pairs: DataFrame, keys: list[str], kinds: StructType, held: int) ->
 def components(edges: DataFrame, keys: list[str] = (), cut=None, hot_rows: int = 1_000_000, small: int = SMALL_EDGES, held: int = HELD_EDGES) -> DataFrame:
     """keys, node, component: the smallest node reachable over edges (keys, a, b).
 
-    Graphs (by keys) of up to `small` edges are shuffled once, dealt to buckets of about so many edges, and searched there. Larger ones, and one without keys, lose
+    Graphs (by keys) of up to `small` edges are shuffled once, dealt to buckets of about half as many edges, and searched there. Larger ones, and one without keys, lose
     edges that connect nothing new, `held` at a time, as they are read and again in the order of their components so far. What is left takes
     rounds of neighbour minimum and label jump, whose number grows with the logarithm of a chain's length. `cut` writes edges, results and each round's labels to
     reliable storage; by default that is storage.cut. A node with over `hot_rows` edges, or a label that over so many nodes carry, does not go through one task.
@@ -198,10 +198,15 @@ def components(edges: DataFrame, keys: list[str] = (), cut=None, hot_rows: int =
         return _by_rounds(pairs, keys, kinds, cut, hot_rows, held)
     pairs = cut(pairs)  # counted and read twice
     n = pairs.count()
-    large = cut(pairs.groupBy(*keys).count().where(c("count") > small).select(*keys)) if n > small else None  # fewer than n / small
-    has_large = large is not None and bool(large.head(1))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(2 * n // max(small, 1) + 1)).alias("_bucket")
+    has_large = False
+    if n > small:  # a graph above the bound fills a bucket beyond it, half full else: few graphs are counted, and fewer than n / small found
+        full = cut(pairs.groupBy(bucket).count().where(c("count") > small).select("_bucket"))
+        if full.head(1):
+            large = pairs.select("*", bucket).join(F.broadcast(full), "_bucket", "left_semi").groupBy(*keys).count()
+            large = cut(large.where(c("count") > small).select(*keys))
+            has_large = bool(large.head(1))
     few = pairs.join(F.broadcast(large), keys, "left_anti") if has_large else pairs
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(n // max(small, 1) + 1)).alias("_bucket")
     out = cut(few.select(*keys, "a", "b", bucket).groupBy("_bucket").applyInArrow(_small_components(keys, kinds), kinds))
     if has_large:
         out = out.unionByName(_by_rounds(pairs.join(F.broadcast(large), keys, "left_semi"), keys, kinds, cut, hot_rows, held))

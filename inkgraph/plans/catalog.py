@@ -240,10 +240,14 @@ def connected_components(spark, sf):
     return graph.components(part_edges(spark, sf))
 
 
-def order_bonds(spark, sf) -> DataFrame:
+def order_lines(spark, sf) -> DataFrame:
     """A graph an order: its lines as bonds between part and supplier, atoms numbered small."""
     li = table(spark, sf, "lineitem")
-    return graph.distinct_rows(li.select("l_orderkey", F.col("l_linenumber").alias("bond_idx"), (F.col("l_partkey") % 6).alias("a"), (F.col("l_suppkey") % 6).alias("b"), F.when(F.col("l_tax") > 0.04, 2).otherwise(1).alias("type"), (F.col("l_discount") > 0.08).alias("arom")))
+    return li.select("l_orderkey", F.col("l_linenumber").alias("bond_idx"), (F.col("l_partkey") % 6).alias("a"), (F.col("l_suppkey") % 6).alias("b"), F.when(F.col("l_tax") > 0.04, 2).otherwise(1).alias("type"), (F.col("l_discount") > 0.08).alias("arom"))
+
+
+def order_bonds(spark, sf) -> DataFrame:
+    return graph.distinct_rows(order_lines(spark, sf))
 
 
 BONDS = "bonds AS (SELECT DISTINCT l_orderkey, l_linenumber AS bond_idx, l_partkey % 6 AS a, l_suppkey % 6 AS b, CASE WHEN l_tax > 0.04 THEN 2 ELSE 1 END AS type, l_discount > 0.08 AS arom FROM lineitem)"
@@ -256,7 +260,7 @@ SELECT l_orderkey, component, min((l_orderkey * 31 + node * 37) % 97) AS x1, min
 def fragment_bbox(spark, sf):
     """Fragments of a graph an order, several in many of them."""
     k, n = F.col("l_orderkey"), F.col("node")
-    nodes = graph.components(order_bonds(spark, sf), ["l_orderkey"]).withColumn("x", (k * 31 + n * 37) % 97).withColumn("y", (k * 17 + n * 53) % 89)
+    nodes = graph.components(order_lines(spark, sf), ["l_orderkey"]).withColumn("x", (k * 31 + n * 37) % 97).withColumn("y", (k * 17 + n * 53) % 89)
     return graph.component_boxes(nodes, ["l_orderkey"])
 
 

@@ -74,3 +74,26 @@ def test_edges_that_connect_nothing_new_go_before_the_rounds(spark, keys, held):
     want = [(*([k] if keys else []), n, c) for k, n, c in plain([(k, a, a if b is None else b) for k, a, b in rows])]
     assert sorted(map(tuple, got.collect())) == want
     assert max(df.count() for df in cuts[3 if keys else 0 :]) < (len(rows) if held == 300 else len(rows) // 2)
+
+
+def test_small_graphs_are_not_counted_one_by_one(spark):
+    rows = [(k, k % 7, k % 5) for k in range(2000)]
+    cuts = []
+
+    def cut(df):
+        cuts.append(df.localCheckpoint())
+        return cuts[-1]
+
+    got = graph.components(spark.createDataFrame(rows, "k int, a long, b long"), ["k"], cut, small=100)
+    assert sorted(map(tuple, got.collect())) == plain(rows)
+    assert ["k"] not in [df.columns for df in cuts] and len(cuts) == 3
+
+
+def test_fragments_take_lines_as_they_are(spark, monkeypatch):
+    from inkgraph.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    once = graph.components(catalog.order_bonds(spark, sf), ["l_orderkey"])
+    want = once.groupBy("l_orderkey", "component").count().count()
+    monkeypatch.setattr(graph, "distinct_rows", None)
+    assert catalog.fragment_bbox(spark, sf).count() == want
